@@ -1,3 +1,3 @@
 """All registered queries, by area."""
-from rillmap.catalog import spatial_points, spatial_shapes  # noqa: F401
+from rillmap.catalog import cleaning, linkage, scalars, spatial_points, spatial_shapes  # noqa: F401
 from rillmap.catalog.base import ORACLES, QUERIES  # noqa: F401

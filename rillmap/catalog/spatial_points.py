@@ -164,8 +164,8 @@ def _(t):
 
 @query("score_by_train_distance", """WITH te AS (SELECT pid, x, y, v, v*0.8+100 AS p FROM px_points WHERE region=0), tr AS (SELECT * FROM px_points WHERE region<>0),
 d AS (SELECT te.pid, any_value(te.v) AS v, any_value(te.p) AS p, min(sqrt((te.x-tr.x)*(te.x-tr.x)+(te.y-tr.y)*(te.y-tr.y))) AS dist FROM te, tr GROUP BY te.pid),
-e AS (SELECT list_distinct([quantile_cont(dist,0.2),quantile_cont(dist,0.4),quantile_cont(dist,0.6),quantile_cont(dist,0.8)]) AS q FROM d),
-b AS (SELECT d.*, len(list_filter(q, lambda z: z < dist)) AS bin FROM d, e)
+e AS (SELECT list_distinct([quantile_cont(dist,0.2),quantile_cont(dist,0.4),quantile_cont(dist,0.6),quantile_cont(dist,0.8)]) AS q, min(dist) AS mn FROM d),
+b AS (SELECT d.*, len(list_filter(q, lambda z: z < dist AND z > mn)) AS bin FROM d, e)
 SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(1-sum((v-p)*(v-p))/(sum(v*v)-sum(v)*sum(v)/count(*)), 6) AS r2, round(avg(dist),6) AS mean_dist FROM b GROUP BY 1""")
 def _(t):
     rows = t.px_points.withColumn("p", F.col("v") * 0.8 + 100)

@@ -85,9 +85,9 @@ def _(t):
 @query("crossing_skew", f"""WITH {TWO},
 ms AS (SELECT *, sum(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))) OVER (PARTITION BY lid ORDER BY seg) AS m2, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS len FROM px_lines),
 lk AS (SELECT pid, 1 AS w, lid FROM two UNION ALL SELECT pid, 2, lid2 FROM two WHERE lid2 IS NOT NULL),
-at AS (SELECT * FROM (SELECT lk.pid, lk.w, lk.lid, m2-len+t*len AS m, row_number() OVER (PARTITION BY lk.pid, lk.w ORDER BY d, sd.seg) AS rn
+spot AS (SELECT * FROM (SELECT lk.pid, lk.w, lk.lid, m2-len+t*len AS m, row_number() OVER (PARTITION BY lk.pid, lk.w ORDER BY d, sd.seg) AS rn
   FROM lk JOIN sd ON sd.pid=lk.pid AND sd.lid=lk.lid JOIN ms ON ms.lid=sd.lid AND ms.seg=sd.seg) q WHERE rn=1),
-en AS (SELECT pid, w, at.lid, greatest(m-15.0,0.0) AS a, least(m+15.0, (SELECT max(m2) FROM ms WHERE ms.lid=at.lid)) AS b FROM at),
+en AS (SELECT pid, w, spot.lid, greatest(m-15.0,0.0) AS a, least(m+15.0, (SELECT max(m2) FROM ms WHERE ms.lid=spot.lid)) AS b FROM spot),
 xy AS (SELECT pid, w, arg_min(CASE WHEN a BETWEEN m2-len AND m2 THEN x1+(a-(m2-len))/len*(x2-x1) END, CASE WHEN a BETWEEN m2-len AND m2 THEN seg END) AS ax,
  arg_min(CASE WHEN a BETWEEN m2-len AND m2 THEN y1+(a-(m2-len))/len*(y2-y1) END, CASE WHEN a BETWEEN m2-len AND m2 THEN seg END) AS ay,
  arg_min(CASE WHEN b BETWEEN m2-len AND m2 THEN x1+(b-(m2-len))/len*(x2-x1) END, CASE WHEN b BETWEEN m2-len AND m2 THEN seg END) AS bx,

@@ -167,9 +167,10 @@ def line_intersections(a: DataFrame, b: DataFrame, size: float, residual: Column
 
     A pair can share several cells; it is kept only in the cell that holds the crossing point, so nothing is deduplicated.
     """
-    right = segment_cells(b, size, 0.0)
+    slack = size * 1e-6     # the computed point may round across a cell border
+    right = segment_cells(b, size, slack)
     right = right.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], "_cx", "_cy")
-    j = segment_cells(a, size, 0.0).join(right, ["_cx", "_cy"])
+    j = segment_cells(a, size, slack).join(right, ["_cx", "_cy"])
     j = j if residual is None else j.where(residual)
     ax, ay = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     bx, by = F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
@@ -178,7 +179,6 @@ def line_intersections(a: DataFrame, b: DataFrame, size: float, residual: Column
     t, u = (sx * by - sy * bx) / F.nullif(den, F.lit(0.0)), (sx * ay - sy * ax) / F.nullif(den, F.lit(0.0))
     j = j.withColumn("_t", t).withColumn("_u", u).where(F.col("_t").between(0, 1) & F.col("_u").between(0, 1))
     j = j.withColumn("ix", F.col("x1") + F.col("_t") * ax).withColumn("iy", F.col("y1") + F.col("_t") * ay)
-    # the computed point may round across a cell border, so it is clamped into the box of both segments' cells
     return j.where((cell("ix", size) == F.col("_cx")) & (cell("iy", size) == F.col("_cy"))).drop("_cx", "_cy", "_t", "_u")
 
 
