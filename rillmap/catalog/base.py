@@ -83,8 +83,10 @@ def oracle_text(sql: str) -> str:
     if not views:
         return sql
     ctes = ",\n".join(f"{v} AS ({view_text(v)})" for v in views)
-    body = sql[4:].lstrip() if sql[:4].upper() == "WITH" else None
-    return f"WITH {ctes},\n{body}" if body is not None else f"WITH {ctes}\n{sql}"
+    for head in ("WITH RECURSIVE", "WITH"):
+        if sql.upper().startswith(head):
+            return f"{head} {ctes},\n{sql[len(head):].lstrip()}"
+    return f"WITH {ctes}\n{sql}"
 
 
 class Tables:

@@ -174,8 +174,8 @@ def cycle_sql():
     return ", ".join(out)
 
 
-SURV = f"""SELECT p_partkey AS id, CASE WHEN p_size%6=0 THEN NULL ELSE CAST(p_size/40.0 AS DOUBLE) END AS Outlet_Openness, CAST(p_size/5.0 AS DOUBLE) AS Outlet_Height,
-CASE WHEN p_size%5=0 THEN NULL ELSE CAST((p_size-3)/20.0 AS DOUBLE) END AS Outlet_Drop_To_Water_Surface, CASE WHEN p_size%10=0 THEN NULL ELSE CAST(p_size/30.0 AS DOUBLE) END AS Outlet_Drop_To_Stream_Bottom, {cycle_sql()} FROM part"""
+SURV = f"""SELECT p_partkey AS id, CASE WHEN p_size%6=0 THEN NULL ELSE CAST(p_size AS DOUBLE)/40 END AS Outlet_Openness, CAST(p_size AS DOUBLE)/5 AS Outlet_Height,
+CASE WHEN p_size%5=0 THEN NULL ELSE CAST(p_size-3 AS DOUBLE)/20 END AS Outlet_Drop_To_Water_Surface, CASE WHEN p_size%10=0 THEN NULL ELSE CAST(p_size AS DOUBLE)/30 END AS Outlet_Drop_To_Stream_Bottom, {cycle_sql()} FROM part"""
 
 
 def category_sql(name):
@@ -198,9 +198,9 @@ def _(s):
     return s.select("id", *[SC.category_score(F.col(col), scores, default).alias(n) for n, (col, scores, default) in SC.CATEGORIES.items()])
 
 
-@query("weighted_composite", f"WITH s AS ({SURV}), {SCORED} SELECT id, round(coalesce(composite,0.0),6)::DOUBLE AS composite, round(greatest(0.0,least(1.0,least(coalesce(composite,0.0),coalesce(outlet_drop,1.0)))),6)::DOUBLE AS final FROM w")
+@query("weighted_composite", f"WITH s AS ({SURV}), {SCORED} SELECT id, round(coalesce(composite,0.0),9)::DOUBLE AS composite, round(greatest(0.0,least(1.0,least(coalesce(composite,0.0),coalesce(outlet_drop,1.0)))),9)::DOUBLE AS final FROM w")
 def _(t):
-    return SC.add_passability(t.sql(SURV)).select("id", r("composite").alias("composite"), r("final").alias("final"))
+    return SC.add_passability(t.sql(SURV)).select("id", r("composite", 9).alias("composite"), r("final", 9).alias("final"))
 
 
 @query("polygon_area", """WITH p AS (SELECT gid, radians(40+ymin/20000) AS a, radians(40+ymax/20000) AS b, radians(-75+xmin/20000) AS w, radians(-75+xmax/20000) AS e FROM px_polys)
@@ -274,22 +274,22 @@ def _(t):
 
 
 # Elevations from the embedding values; some samples are missing.
-ELEV = "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN abs(v)<0.01 THEN NULL ELSE round(v*100,3) END) AS z FROM embeddings"
+ELEV = "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN abs(v)<0.01 THEN NULL ELSE v*100 END) AS z FROM embeddings"
 
 
 def elevations(t):
-    z = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v) >= 0.01, F.round(v * 100, 3)))
+    z = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v) >= 0.01, v * 100))
     return t.embeddings.select("vec_id", z.alias("z"))
 
 
 @query("window_array_features", f"""WITH s AS ({ELEV}), a AS (SELECT vec_id, z[1:10] AS a FROM s), f AS (SELECT *, len(list_filter(a, lambda v: v IS NOT NULL))=10 AS full_ FROM a)
-SELECT vec_id, CASE WHEN full_ THEN round(list_avg(a),6) END AS w_mean, CASE WHEN full_ THEN list_max(a) END AS w_max, CAST(CASE WHEN full_ THEN [90,150,210,270,330,390,450,510,570,630][list_position(a,list_max(a))] END AS INT) AS w_argmax,
+SELECT vec_id, CASE WHEN full_ THEN round(list_avg(a),6) END AS w_mean, CASE WHEN full_ THEN round(list_max(a),7) END AS w_max, CAST(CASE WHEN full_ THEN [90,150,210,270,330,390,450,510,570,630][list_position(a,list_max(a))] END AS INT) AS w_argmax,
 CASE WHEN full_ THEN round((-4.5::DOUBLE*a[1]-3.5*a[2]-2.5*a[3]-1.5*a[4]-0.5*a[5]+0.5*a[6]+1.5*a[7]+2.5*a[8]+3.5*a[9]+4.5*a[10])/82.5,6)::DOUBLE END AS w_slope,
 round(a[1]/(abs(a[10])+0.001),6)::DOUBLE AS w_ratio_90_630, round(a[4]/(abs(a[10])+0.001),6)::DOUBLE AS w_ratio_270_630 FROM f""")
 def _(t):
     a = elevations(t).select("vec_id", F.slice("z", 1, 10).alias("a"))
     out = TE.add_window_features(a, "a", "w").drop("a")
-    return out.select("vec_id", "w_max", "w_argmax", *[r(c).alias(c) for c in ("w_mean", "w_slope", "w_ratio_90_630", "w_ratio_270_630")])
+    return out.select("vec_id", r("w_max", 7).alias("w_max"), "w_argmax", *[r(c).alias(c) for c in ("w_mean", "w_slope", "w_ratio_90_630", "w_ratio_270_630")])
 
 
 @query("ring_slope_roughness", f"""WITH s AS ({ELEV}), q AS (SELECT vec_id, z[1] AS n, z[2] AS s, z[3] AS e, z[4] AS w, z[1:4] AS a FROM s)
@@ -324,10 +324,10 @@ COLS = {**{f"fd_ring_mean_{rr}": f"list_avg({ring(i)})-z[1]" for i, rr in enumer
         "fd_step_dn_10_25": "dn[3]-dn[5]", "fd_step_up_3_10": "up[3]-up[1]", "fd_axis_idx": "ax", "fd_sd_all": "list_stddev_pop(z[1:49])", "fd_distinct": "len(list_distinct(list_transform(list_filter(z[1:49], lambda v: v IS NOT NULL), lambda v: round(v,2))))"}
 
 
-@query("profile_features", PROFILE + f" SELECT vec_id, {', '.join(f'CASE WHEN z[1] IS NOT NULL THEN round(({v})::DOUBLE,5) END AS {k}' for k, v in COLS.items())} FROM u")
+@query("profile_features", PROFILE + f" SELECT vec_id, {', '.join(f'CASE WHEN z[1] IS NOT NULL THEN round(({v})::DOUBLE,7) END AS {k}' for k, v in COLS.items())} FROM u")
 def _(t):
     out = TE.add_profile_features(elevations(t).withColumn("z", F.slice("z", 1, 49)), "z")
-    return out.select("vec_id", *[r(c, 5).alias(c) for c in COLS])
+    return out.select("vec_id", *[r(c, 7).alias(c) for c in COLS])
 
 
 @query("perched_flag", """SELECT CASE WHEN d IS NOT NULL THEN CASE WHEN d>0.25 THEN 1.0 ELSE 0.0 END END::DOUBLE AS perched, CAST(CASE WHEN d IS NULL THEN NULL WHEN d<=0 THEN 0 WHEN d<=0.25 THEN 1 ELSE 2 END AS INT) AS class, count(*) AS n

@@ -53,6 +53,17 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[floa
     return out
 
 
+def quantiles_by(df: DataFrame, value: str, group: Sequence[str], q: float, name: str = "q") -> DataFrame:
+    """Linearly interpolated quantile per group, by cumulative counts; no group is gathered."""
+    group = list(group)
+    ranks = value_ranks(df.select(*group, F.col(value).cast("double").alias(value)), value, group)
+    at = ranks.groupBy(*group).agg(((F.sum("n") - 1) * F.lit(float(q))).alias("_h"))
+    upto = F.col("below") + F.col("n")
+    two = ranks.join(at, group).groupBy(*group, "_h").agg(F.min(F.when(upto > F.floor("_h"), F.col(value))).alias("_a"),
+                                                         F.min(F.when(upto > F.ceil("_h"), F.col(value))).alias("_b"))
+    return two.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias(name))
+
+
 def bin_by_edges(value: str | Column, edges: Sequence[float]) -> Column:
     """Number of edges below the value."""
     value = F.col(value) if isinstance(value, str) else value
