@@ -75,7 +75,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "cp1252")
     marked = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("n_chars").cast("string").alias("n_chars"), F.lit("café").alias("mark"))
-    marked.write.option("header", True).option("encoding", "windows-1252").csv(f"{path}.csv")
+    marked.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}.csv")
     WR.write_table(marked, path)
     both = RD.read_table(t.spark, f"{path}.csv").intersect(RD.read_table(t.spark, f"{path}.parquet"))
     return both.where("mark = 'café'").select("doc_id", "lang", "n_chars", F.length("lang").cast("bigint").alias("k"))

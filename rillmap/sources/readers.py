@@ -22,11 +22,22 @@ def csv_strings(spark: SparkSession, path: str | list[str], columns: Sequence[st
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+# What Windows-1252 puts in place of the control characters of ISO-8859-1.
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_CP1252 = "".join(bytes([ord(c)]).decode("cp1252") for c in _C1)
+
+
+def csv_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Windows-1252 CSV: read as ISO-8859-1, then the 27 characters in which the two differ are replaced."""
+    df = csv_strings(spark, path, encoding="ISO-8859-1")
+    return df.select(*[F.translate(F.col(f"`{c}`"), _C1, _CP1252).alias(c) for c in df.columns])
+
+
 def csv_with_fallback(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 CSV; a file with undecodable bytes is read as Windows-1252 instead."""
     df = csv_strings(spark, path)
     broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False)) for c in df.columns]), lambda b: b)
-    return csv_strings(spark, path, encoding="windows-1252") if df.where(broken).limit(1).count() else df
+    return csv_windows(spark, path) if df.where(broken).limit(1).count() else df
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
