@@ -111,9 +111,8 @@ def _(t):
 def _(t):
     d = SP.group_size_weight(table(t), "huc", 0.5, "w_group").withColumn("w_recent", F.exp((F.col("year") - 2026) / 8.0))
     with ML.kept(d) as d:
-        a = ML.oof(d, "fold", FOLDS, "linear", IN, "y", "plain")
-        a = ML.oof(a, "fold", FOLDS, "linear", IN, "y", "by_group", weight="w_group")
-        a = ML.oof(a, "fold", FOLDS, "linear", IN, "y", "by_year", weight="w_recent")
+        a = ML.oof_many(d, "fold", FOLDS, {"plain": ML.Variant("linear", IN), "by_group": ML.Variant("linear", IN, weight="w_group"),
+                                           "by_year": ML.Variant("linear", IN, weight="w_recent")}, "y")
     return r6(ML.score_variants(a, "y", ["plain", "by_group", "by_year"]), "variant", "n")
 
 
@@ -154,8 +153,8 @@ def _(t):
 @query("direct_classifier_ranking")
 def _(t):
     with ML.kept(table(t).withColumn("label", (F.col("y") < 0.3).cast("int"))) as d:
-        o = ML.oof(d, "fold", FOLDS, "boosted", ML.Inputs(NUM), "y", "reg", **FAST)
-        o = ML.oof(o, "fold", FOLDS, "classifier", ML.Inputs(NUM), "label", "direct", **FAST)
+        o = ML.oof_many(d, "fold", FOLDS, {"reg": ML.Variant("boosted", ML.Inputs(NUM), params=FAST),
+                                           "direct": ML.Variant("classifier", ML.Inputs(NUM), "label", params=FAST)}, "y")
     parts = []
     for how, risk in (("regression, ranked", 1 - F.col("reg")), ("classifier", F.col("direct"))):
         s = o.select("rid", "label", risk.alias("risk"))
@@ -167,8 +166,7 @@ def _(t):
 @query("train_window_filter")
 def _(t):
     with ML.kept(table(t)) as d:
-        o = ML.oof(d, "fold", FOLDS, "linear", IN, "y", "all_years")
-        o = ML.oof(o, "fold", FOLDS, "linear", IN, "y", "recent", train_where=F.col("year") >= 1999)
+        o = ML.oof_many(d, "fold", FOLDS, {"all_years": ML.Variant("linear", IN), "recent": ML.Variant("linear", IN, where=F.col("year") >= 1999)}, "y")
     recent = o.withColumn("part", F.when(F.col("year") >= 1999, "recent rows").otherwise("older rows"))
     return r6(ML.score_variants(recent, "y", ["all_years", "recent"], ["part"]), "variant", "part", "n")
 
@@ -176,8 +174,7 @@ def _(t):
 @query("transfer_eval")
 def _(t):
     with ML.kept(table(t).withColumn("source", F.when(F.col("st") < 4, "A").otherwise("B"))) as d:
-        a = ML.oof(d, "fold", FOLDS, "linear", IN, "y", "from_a", train_where=F.col("source") == "A")
-        a = ML.oof(a, "fold", FOLDS, "linear", IN, "y", "from_both")
+        a = ML.oof_many(d, "fold", FOLDS, {"from_a": ML.Variant("linear", IN, where=F.col("source") == "A"), "from_both": ML.Variant("linear", IN)}, "y")
     return r6(ML.score_variants(a, "y", ["from_a", "from_both"], ["source"]), "variant", "source", "n")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmap.operators.ranking import running_sums, value_ranks, with_rank
+from rillmap.session import cut
 
 
 # ---- bins and quantiles
@@ -106,7 +107,8 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
 
     Rows collapse to distinct (y, p) pairs with counts, so the two rank joins never see repeated rows.
     """
-    pairs = df.where(finite(y, p)).groupBy(F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    pairs = cut(df.where(finite(y, p)).groupBy(F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count("*").alias("_c")))
+    total = float(pairs.agg(F.sum("_c")).first()[0] or 1)
     by = lambda c: pairs.groupBy(c).agg(F.sum("_c").alias("_n"))
 
     def ranks(c: str, name: str) -> DataFrame:
@@ -114,9 +116,7 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
         return r.select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
 
     joined = pairs.join(ranks("_y", "_ry"), "_y").join(ranks("_p", "_rp"), "_p")
-    total = joined.agg(F.sum("_c")).scalar()
-    a, b = F.col("_ry") / total - 0.5, F.col("_rp") / total - 0.5
-    a, b = a - 0.5 / total, b - 0.5 / total
+    a, b = ((F.col(c) - (total + 1) / 2) / total for c in ("_ry", "_rp"))     # centred and scaled, so sums stay exact enough
     s = joined.agg(F.sum(F.col("_c") * a * b).alias("ab"), F.sum(F.col("_c") * a * a).alias("aa"), F.sum(F.col("_c") * b * b).alias("bb"),
                    F.sum("_c").alias("n"))
     tiny = (F.col("aa") > 1e-15) & (F.col("bb") > 1e-15)

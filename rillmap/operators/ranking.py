@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from rillmap.session import cut
 
+SMALL_ROWS = 20_000    # a table counted to be no larger than this is ranked by one plain window
+
 
 def seeded_key(seed: int, *ids: str | Column) -> Column:
     """A reproducible 32-bit number per (seed, id): the order or coin used by every sampling operator."""
@@ -41,6 +43,11 @@ def ordered(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     )
 
 
+def is_small(df: DataFrame) -> bool:
+    """Counted, not estimated; the limit keeps the count cheap where the table is large."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def with_rank(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (), name: str = "rn",
               total: str | None = None) -> DataFrame:
     """Add the 1-based row number of ``order`` inside ``group``; ``order`` must be unique inside a group.
@@ -48,6 +55,10 @@ def with_rank(df: DataFrame, order: Sequence[str | Column], group: Sequence[str]
     ``total`` names an extra column with the group's row count.
     """
     group = list(group)
+    if is_small(df):
+        one = Window.partitionBy(*(group or [F.lit(1)]))
+        rank = F.row_number().over(one.orderBy(*order)).cast("bigint").alias(name)
+        return df.select("*", rank, *([F.count("*").over(one).alias(total)] if total else []))
     rows = ordered(df, [*group, *order])
     counts = rows.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part") if group else Window.orderBy("_part")
@@ -83,10 +94,12 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
     )
 
 
-def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], group: Sequence[str] = (),
-                 lead_counts: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums along ``order`` inside ``group`` by range partition: {column: output name}."""
     group = list(group)
+    if is_small(df):
+        one = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(one).alias(o) for c, o in sums.items()])
     rows = ordered(df, [*group, *order])
     inner = Window.partitionBy(*group, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.sum(c).over(inner).alias(f"_run_{o}") for c, o in sums.items()])

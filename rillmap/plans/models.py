@@ -35,7 +35,10 @@ Hook = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 @contextmanager
 def kept(df: DataFrame):
-    """A table that several fits read; released when they are done."""
+    """A table that several fits read; released when they are done. A table in fewer partitions than there are cores is spread."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
@@ -63,9 +66,11 @@ def preprocess(train: DataFrame, inputs: Inputs, scale: bool = False, rare: int
     flagged = [c for c in numeric if gaps[c]]
     casts = [f"CAST({c} AS DOUBLE) AS n_{c}" for c in numeric] + [f"CAST({c} IS NULL AS DOUBLE) AS m_{c}" for c in flagged]
     stages: list = []
+    if categorical:     # all categories with at least ``rare`` rows, counted in one pass
+        long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])))
+        common = long.where("v IS NOT NULL").groupBy("c", "v").count().where(F.col("count") >= rare).collect()
     for c in categorical:
-        counts = train.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias(c)).count().where(F.col("count") >= rare)
-        labels = [r[0] for r in counts.orderBy(F.col("count").desc(), c).collect()]      # categories with at least ``rare`` rows
+        labels = [r["v"] for r in sorted((r for r in common if r["c"] == c), key=lambda r: (-r["count"], r["v"]))]
         mode = (labels[0] if labels else "none").replace("'", "''")
         casts.append(f"coalesce(CAST({c} AS STRING), '{mode}') AS s_{c}")
         stages.append(StringIndexerModel.from_labels(labels or ["none"], inputCol=f"s_{c}", outputCol=f"i_{c}", handleInvalid="keep"))
@@ -119,24 +124,42 @@ def predict(model: PipelineModel, df: DataFrame, name: str, bounded: bool = Fals
 
 # ---- out of fold
 
-def oof(df: DataFrame, fold: str, folds: Sequence[int], kind: str, inputs: Inputs, target: str, name: str = "oof", prep: Hook | None = None,
-        weight: str | None = None, train_where: Column | None = None, bounded: bool = False, seed: int = 0, **params) -> DataFrame:
-    """Each row predicted by a model that has not seen its fold.
+@dataclass
+class Variant:
+    """One model to compare: its kind, inputs and, where they differ, target, row weight, training rows and settings."""
+    kind: str
+    inputs: Inputs
+    target: str | None = None
+    weight: str | None = None
+    where: Column | None = None
+    params: dict = field(default_factory=dict)
+
+
+def oof_many(df: DataFrame, fold: str, folds: Sequence[int], variants: dict[str, Variant], target: str, prep: Hook | None = None) -> DataFrame:
+    """Each row predicted, once per variant, by a model that has not seen its fold.
 
-    ``prep(train, test)`` may add columns computed from the training rows only; ``train_where`` limits the training rows.
+    ``prep(train, test)`` may add columns computed from the training rows only. The folds' test rows are put together once,
+    for all variants.
     """
     parts = []
     for k in folds:
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
         if prep is not None:
             train, test = prep(train, test)
-        if train_where is not None:
-            train = train.where(train_where)
-        model = fit(train, kind, inputs, target, weight, seed, **params)
-        parts.append(predict(model, test, name, bounded, probability=kind == "classifier").select(*df.columns, name))
+        for name, v in variants.items():
+            rows = train if v.where is None else train.where(v.where)
+            model = fit(rows, v.kind, v.inputs, v.target or target, v.weight, **v.params)
+            test = predict(model, test, name, probability=v.kind == "classifier")
+        parts.append(test.select(*df.columns, *variants))
     return cut(reduce(DataFrame.unionByName, parts))
 
 
+def oof(df: DataFrame, fold: str, folds: Sequence[int], kind: str, inputs: Inputs, target: str, name: str = "oof", prep: Hook | None = None,
+        train_where: Column | None = None, **params) -> DataFrame:
+    """Out-of-fold predictions of one model."""
+    return oof_many(df, fold, folds, {name: Variant(kind, inputs, where=train_where, params=params)}, target, prep)
+
+
 def ensemble_oof(df: DataFrame, fold: str, folds: Sequence[int], members: Sequence[tuple[str, dict]], inputs: Inputs, target: str, name: str = "oof") -> DataFrame:
     """Equal-weight mean of several members, clipped to [0, 1]; one pass per fold."""
     parts = []
@@ -218,7 +241,7 @@ def residual_stack(df: DataFrame, fold: str, folds: Sequence[int], base: Inputs,
 
 def ablation_table(df: DataFrame, fold: str, folds: Sequence[int], sets: dict[str, Inputs], target: str, kind: str = "boosted", **params) -> DataFrame:
     """The same folds over named feature sets."""
-    wide = reduce(lambda acc, kv: oof(acc, fold, folds, kind, kv[1], target, kv[0], **params), sets.items(), df)
+    wide = oof_many(df, fold, folds, {n: Variant(kind, i, params=params) for n, i in sets.items()}, target)
     return score_variants(wide, target, list(sets))
 
 
@@ -238,11 +261,8 @@ def forward_selection(df: DataFrame, fold: str, folds: Sequence[int], groups: di
     chosen: list[str] = []
     best, log = float("-inf"), []
     while len(chosen) < len(groups):
-        scores = {}
-        for g in groups:
-            if g not in chosen:
-                cols = [c for h in [*chosen, g] for c in groups[h]]
-                scores[g] = M.regression_by(oof(df, fold, folds, kind, Inputs(cols), target, **params), target, "oof").first()["r2"] or 0.0
+        sets = {g: Inputs([c for h in [*chosen, g] for c in groups[h]]) for g in groups if g not in chosen}
+        scores = {r["variant"]: r["r2"] or 0.0 for r in ablation_table(df, fold, folds, sets, target, kind, **params).collect()}   # one row per set
         top = max(sorted(scores), key=scores.get)
         keep = scores[top] >= best + gain
         log.append((len(chosen) + 1, top, float(scores[top]), bool(keep)))
@@ -281,21 +301,19 @@ def noise_grid(df: DataFrame, fold: str, folds: Sequence[int], inputs: Inputs, f
     """R2 per (noise in the training answers, noise in the test answers); the noise is fixed by seed."""
     noisy = df.withColumns({**{f"_tr{i}": noisy_answer(F.col(flag), rid, 10 + int(e * 100), e, kind) for i, e in enumerate(rates)},
                             **{f"_te{i}": noisy_answer(F.col(flag), rid, 1, e, kind) for i, e in enumerate(rates)}})
-    names, parts = [], []
+    parts = []
     for k in folds:
         train, test = noisy.where(F.col(fold) != k), noisy.where(F.col(fold) == k)
         for i, a in enumerate(rates):
             m = fit(train.withColumn("answer", F.col(f"_tr{i}")), model, inputs.plus("answer"), target, **params)
             for j, b in enumerate(rates):
-                name = f"{a}|{b}"
-                names.append(name) if name not in names else None
+                name = f"{i}__{j}"
                 test = predict(m, test.withColumn("answer", F.col(f"_te{j}")), name).drop("answer")
         parts.append(test)
-    preds = cut(reduce(DataFrame.unionByName, parts).withColumnsRenamed({n: n.replace(".", "_").replace("|", "__") for n in names}))
-    safe = [n.replace(".", "_").replace("|", "__") for n in names]
-    s = score_variants(preds, target, safe)
-    side = lambda i: F.replace(F.split("variant", "__")[i], F.lit("_"), F.lit(".")).cast("double")
-    return s.select(side(0).alias("train_noise"), side(1).alias("test_noise"), "n", "r2")
+    preds = cut(reduce(DataFrame.unionByName, parts))
+    pairs = [f"{i}__{j}" for i in range(len(rates)) for j in range(len(rates))]
+    rate = lambda i: F.element_at(F.array(*[F.lit(float(e)) for e in rates]), F.split("variant", "__")[i].cast("int") + 1)
+    return score_variants(preds, target, pairs).select(rate(0).alias("train_noise"), rate(1).alias("test_noise"), "n", "r2")
 
 
 # ---- weights, domains and groups
