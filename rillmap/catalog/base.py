@@ -27,16 +27,15 @@ SELECT s_suppkey AS lid, CAST(seg AS INT) AS seg, CAST((s_suppkey*3571)%20011+se
        CAST((s_suppkey*15485)%20011+CASE WHEN seg=1 THEN (s_suppkey%7)*50 ELSE 0 END AS DOUBLE) AS y1,
        CAST((s_suppkey*3571)%20011+(seg+1)*300 AS DOUBLE) AS x2,
        CAST((s_suppkey*15485)%20011+CASE WHEN seg=0 THEN (s_suppkey%7)*50 ELSE 0 END AS DOUBLE) AS y2
-  FROM supplier CROSS JOIN (VALUES (0),(1)) t(seg)""",
+  FROM (SELECT s_suppkey, 0 AS seg FROM supplier UNION ALL SELECT s_suppkey, 1 AS seg FROM supplier) u""",
     "px_polys": """
 SELECT n_nationkey AS gid, CAST((n_nationkey%5)*4000 AS DOUBLE) AS xmin, CAST((n_nationkey%5)*4000+4000 AS DOUBLE) AS xmax,
        CAST(CAST(floor(n_nationkey/5.0) AS INT)*4000 AS DOUBLE) AS ymin,
        CAST(CAST(floor(n_nationkey/5.0) AS INT)*4000+4000 AS DOUBLE) AS ymax
   FROM nation WHERE n_nationkey%6<>5""",
     "px_grid": """
-SELECT CAST(r AS INT) AS row_i, CAST(k AS INT) AS col_i, CAST((r*31+k*17)%97 AS DOUBLE) AS val
-  FROM (SELECT (n1.n_nationkey*2+a.b) AS r FROM nation n1 CROSS JOIN (VALUES (0),(1)) a(b)) q1
-  CROSS JOIN (SELECT (n2.n_nationkey*2+d.e) AS k FROM nation n2 CROSS JOIN (VALUES (0),(1)) d(e)) q2""",
+SELECT row_i, col_i, CAST((row_i*31+col_i*17)%97 AS DOUBLE) AS val
+  FROM (SELECT DISTINCT CAST(CAST(floor(o_orderkey/50.0) AS BIGINT)%50 AS INT) AS row_i, CAST(o_orderkey%50 AS INT) AS col_i FROM orders) q""",
     "px_surveys": """
 SELECT l_orderkey AS code, l_linenumber AS pipe, CAST(l_shipdate AS DATE) AS observed,
        CAST(CASE WHEN l_quantity=1 THEN -1.0 ELSE CAST(l_discount AS DECIMAL(4,2))*10 END AS DOUBLE) AS score,

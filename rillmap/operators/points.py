@@ -99,9 +99,10 @@ def _descend(queries: DataFrame, targets: DataFrame, k: int, radius: float | Non
             "_qid", "_qx", "_qy", (cell("_qx", size) + F.col("_o.i")).alias("_cx"), (cell("_qy", size) + F.col("_o.j")).alias("_cy"))
         front = around.join(_cells(shifted, size), ["_cx", "_cy"])
     else:
-        # at most 4 x 4 cells by construction, so every query can look at all of them
-        top = F.broadcast(_cells(shifted, size).withColumn("_all", F.lit(1)))
-        front = q.withColumn("_all", F.lit(1)).join(top, "_all").drop("_all")
+        # the extent is cut into 4 x 4 cells, so every query can look at all of them
+        names = ("_cx", "_cy", "_n", "_x0", "_x1", "_y0", "_y1")
+        top = [F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in _cells(shifted, size).collect()]
+        front = q.select("*", F.inline(F.array(*top)))
     front = _prune(front, k, radius)
     for level in range(1, levels + 1):
         size /= 4

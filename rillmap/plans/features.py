@@ -194,12 +194,16 @@ def way_context(df: DataFrame, roads: DataFrame, water: DataFrame, pid: str, rid
 def build_multi(df: DataFrame, pid: str, states: DataFrame, basins: DataFrame, structures: DataFrame, sid: str, radius: float, band: float,
                 logs: Sequence[str] = (), ways: tuple[DataFrame, str, float] | None = None, xy=("x", "y"), txy=("sx", "sy")) -> DataFrame:
     """State and basin tags (a point outside all basins gets the nearest one), code prefixes, logs, inventory and way matches."""
-    state = S.point_in_polygon(df, states, pid, "state", band, xy)
-    out = df.join(state, pid, "left")
-    out = S.tag_polygon(out, basins, pid, "huc8", band, xy, fallback=True, start=band)
+    spots = df.select(pid, *xy)     # each search starts from the positions alone, not from the table built so far
+    state = S.point_in_polygon(spots, states, pid, "state", band, xy)
+    basin = S.tag_polygon(spots, basins, pid, "huc8", band, xy, fallback=True, start=band).drop(*xy)
+    match = P.match_inventory(spots, structures, pid, sid, radius, True, xy, txy).drop(*xy)
+    out = df.join(state, pid, "left").join(basin, pid, "left").join(match, pid, "left")
+    out = out.withColumnsRenamed({"matched": "nbi_matched", "dist": "nbi_dist_m"})
     out = out.withColumns({"huc6": X.code_prefix(F.col("huc8"), 6), "huc4": X.code_prefix(F.col("huc8"), 4), **{f"log_{c}": log10_clipped(F.col(c), 1.0) for c in logs}})
-    out = P.match_inventory(out, structures, pid, sid, radius, True, xy, txy).withColumnsRenamed({"matched": "nbi_matched", "dist": "nbi_dist_m"})
-    return match_ways(out, ways[0], pid, ways[1], ways[2], xy) if ways else out
+    if ways:
+        out = out.join(match_ways(spots, ways[0], pid, ways[1], ways[2], xy).drop(*xy), pid, "left")
+    return out
 
 
 def fold_safe_neighbours(df: DataFrame, pid: str, label: str, flag: str, group: str, fold: str, folds: Sequence[int], kmax: int = 80, ball: float = 5000.0, xy=("x", "y")) -> DataFrame:
