@@ -14,7 +14,7 @@ from rillmap.session import scratch_path
 NUM = ["f_quantity", "f_price", "f_tax", "f_signal"]
 CAT = ["flag", "status"]
 FOLDS = range(3)
-FAST = dict(maxIter=4, maxDepth=3)
+FAST = dict(maxIter=3, maxDepth=3)
 
 
 def table(t):
@@ -45,7 +45,7 @@ def _(t):
 @query("model_ladder")
 def _(t):
     with ML.kept(table(t)) as d:
-        return r6(ML.model_ladder(d, "fold", FOLDS, IN, "y", ("mean", "linear", "ridge", "elasticnet", "random_forest", "boosted")), "variant", "n")
+        return r6(ML.model_ladder(d, "fold", FOLDS, IN, "y", settings={"boosted": FAST, "random_forest": dict(numTrees=5, maxDepth=4)}), "variant", "n")
 
 
 MEMBERS = [("linear", {}), ("boosted", FAST), ("random_forest", dict(numTrees=5, maxDepth=4))]

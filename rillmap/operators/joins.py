@@ -64,7 +64,7 @@ def match_multipass(left: DataFrame, right: DataFrame, key: str, lid: str, rid:
     """
     dx, dy = F.col(lxy[0]) - F.col(rxy[0]), F.col(lxy[1]) - F.col(rxy[1])
     dist, gap = F.sqrt(dx * dx + dy * dy), F.abs(F.col(lscore) - F.col(rscore))
-    spread = (F.coalesce(F.max(value) - F.min(value), F.lit(0.0)) > ambig).alias("ambiguous")
+    spread = (F.coalesce(F.max("_top") - F.min(value), F.lit(0.0)) > ambig).alias("ambiguous")
     best = F.min(F.struct("match_m", rid, "gap")).alias("_b")
 
     def closest(pairs: DataFrame, number: int) -> DataFrame:
@@ -72,8 +72,10 @@ def match_multipass(left: DataFrame, right: DataFrame, key: str, lid: str, rid:
         return g.select(lid, f"_b.{rid}", value, F.lit(number).alias("pass"), "_b.match_m", "_b.gap", "ambiguous")
 
     lcols, rcols = left.select(lid, key, *lxy, lscore), right.select(rid, key, *rxy, rscore, value)
-    one = closest(verified_pairs(lcols, rcols, key, dist, gap, max_m, tol), 1)
+    one = closest(verified_pairs(lcols, rcols.withColumn("_top", F.col(value)), key, dist, gap, max_m, tol), 1)
     rest_l, rest_r = unused(lcols, one, lid).drop(key), unused(rcols, one, rid).drop(key)
+    # copies of a right row at one place with one score: only the smallest id can be chosen, the values count together
+    rest_r = rest_r.groupBy(*rxy, rscore).agg(F.min(rid).alias(rid), F.min(value).alias(value), F.max(value).alias("_top"))
     around = rest_r.withColumn("_o", F.explode(block())).select(
         *rest_r.columns, (cell(rxy[0], max_m) + F.col("_o.i")).alias("_cx"), (cell(rxy[1], max_m) + F.col("_o.j")).alias("_cy"))
     near = (rest_l.withColumn("_cx", cell(lxy[0], max_m)).withColumn("_cy", cell(lxy[1], max_m)).join(around, ["_cx", "_cy"])

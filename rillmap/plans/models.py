@@ -192,15 +192,11 @@ def score_variants(preds: DataFrame, target: str, variants: Sequence[str], by: S
     return M.regression_by(long, target, "_p", ["variant", *by])
 
 
-def model_ladder(df: DataFrame, fold: str, folds: Sequence[int], inputs: Inputs, target: str, kinds: Sequence[str] = LADDER) -> DataFrame:
+def model_ladder(df: DataFrame, fold: str, folds: Sequence[int], inputs: Inputs, target: str, kinds: Sequence[str] = LADDER,
+                 settings: dict[str, dict] | None = None) -> DataFrame:
     """All models on the same folds: one row of metrics per model."""
-    parts = []
-    for k in folds:
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        for kind in kinds:
-            test = predict(fit(train, kind, inputs, target), test, kind)
-        parts.append(test)
-    return score_variants(cut(reduce(DataFrame.unionByName, parts)), target, kinds)
+    variants = {k: Variant(k, inputs, params=(settings or {}).get(k, {})) for k in kinds}
+    return score_variants(oof_many(df, fold, folds, variants, target), target, kinds)
 
 
 def group_tuning(df: DataFrame, fold: str, folds: int, inputs: Inputs, target: str, kind: str, grid: dict[str, Sequence], n: int, seed: int = 0,
