@@ -249,7 +249,11 @@ def _(t):
     return SP.group_kfold(t.px_preds, "huc", 5, 0, True).groupBy("fold", "huc").agg(F.count("*").alias("n"))
 
 
-@query("repeated_group_kfold")
+@query("repeated_group_kfold", f"""WITH RECURSIVE g AS (SELECT huc, count(*) AS n FROM px_preds GROUP BY huc),
+o AS (SELECT r, huc, n, row_number() OVER (PARTITION BY r ORDER BY n DESC, ('0x'||substr(md5(r||':'||huc),1,8))::BIGINT, huc::VARCHAR) AS i FROM g, (VALUES (0),(1),(2)) v(r)),
+w AS (SELECT r, 0::BIGINT AS i, NULL::INT AS huc, NULL::BIGINT AS fold, [{",".join(["0::BIGINT"] * 5)}] AS load FROM (VALUES (0),(1),(2)) v(r) UNION ALL
+ SELECT o.r, o.i, o.huc, list_position(load, list_min(load))-1, list_transform(load, lambda x, j: CASE WHEN j=list_position(load, list_min(load)) THEN x+o.n ELSE x END) FROM w JOIN o ON o.r=w.r AND o.i=w.i+1)
+SELECT r AS repeat, CAST(fold AS INT) AS fold, count(*) AS n, count(DISTINCT w.huc) AS groups FROM w JOIN px_preds p ON p.huc=w.huc WHERE i>0 GROUP BY 1,2""")
 def _(t):
     folds = SP.repeated_group_kfold(t.px_preds, "huc", 5, 3)
     return t.px_preds.join(folds, "huc").groupBy("repeat", "fold").agg(F.count("*").alias("n"), F.count_distinct("huc").alias("groups"))
@@ -260,10 +264,15 @@ def _(t):
     return SP.leave_one_out_groups(t.px_preds, "huc", 1480)
 
 
-@query("locked_group_holdout")
+@query("locked_group_holdout", f"""WITH RECURSIVE d AS (SELECT l_partkey%97 AS basin, st FROM px_preds), c AS (SELECT basin, count(*) AS n FROM d GROUP BY basin),
+o AS (SELECT basin, n, row_number() OVER (ORDER BY {KEY.format(20, 'basin')}, basin::VARCHAR) AS i FROM c WHERE n>=20),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS basin, 0::BIGINT AS acc, false AS took UNION ALL
+ SELECT o.i, o.basin, CASE WHEN acc<0.15*(SELECT count(*) FROM d) AND acc+o.n<=0.19*(SELECT count(*) FROM d) THEN acc+o.n ELSE acc END, acc<0.15*(SELECT count(*) FROM d) AND acc+o.n<=0.19*(SELECT count(*) FROM d) FROM w JOIN o ON o.i=w.i+1),
+k AS (SELECT basin FROM w WHERE took)
+SELECT basin IN (SELECT basin FROM k) AS locked, count(*) AS n, count(DISTINCT basin) AS groups, count(DISTINCT st) AS regions FROM d GROUP BY 1""")
 def _(t):
-    d = SP.locked_holdout(t.px_preds, "huc", "st", 20, min_group=20)
-    return d.groupBy("locked").agg(F.count("*").alias("n"), F.count_distinct("huc").alias("groups"), F.count_distinct("st").alias("regions"))
+    d = SP.locked_holdout(t.px_preds.select((F.col("l_partkey") % 97).alias("basin"), "st"), "basin", "st", 20, min_group=20)
+    return d.groupBy("locked").agg(F.count("*").alias("n"), F.count_distinct("basin").alias("groups"), F.count_distinct("st").alias("regions"))
 
 
 @query("calibration_split", f"""WITH k AS (SELECT rid, p, row_number() OVER (ORDER BY {KEY.format(4, 'rid')}, rid) AS rn FROM px_preds) SELECT CASE WHEN rn<=2000 THEN 'calibration' ELSE 'train' END AS part, count(*) AS n, round(sum(p),4) AS s FROM k GROUP BY 1""")
