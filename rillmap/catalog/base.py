@@ -49,7 +49,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_discount AS D
             +(CAST(l_tax AS DECIMAL(4,2))-CAST(0.04 AS DECIMAL(4,2)))*2 AS DOUBLE) AS p,
        CAST(CAST(0.5 AS DECIMAL(4,2))+(CAST(l_tax AS DECIMAL(4,2))-CAST(0.04 AS DECIMAL(4,2))) AS DOUBLE) AS p0,
        CAST(l_suppkey%40 AS INT) AS huc, CAST(l_suppkey%13 AS INT) AS st,
-       l_orderkey*1000003+l_partkey*1009+l_suppkey*101+l_linenumber+CAST(l_quantity AS BIGINT)*1000000007 AS rid
+       ((l_orderkey*8+l_linenumber)*64+CAST(l_quantity AS BIGINT))*1048576+l_partkey AS rid
   FROM lineitem""",
     "px_path": """
 SELECT user_id AS path, ts AS pos, event_id, value AS score, event_type='purchase' AS is_ref

@@ -19,7 +19,7 @@ FAST = dict(maxIter=3, maxDepth=3)
 
 def table(t):
     """Rows with a target, inputs with gaps, categories, groups and a group fold."""
-    rows = t.sql("""SELECT l_orderkey*1000003+l_partkey*1009+l_suppkey*101+l_linenumber+CAST(l_quantity AS BIGINT)*1000000007 AS rid, CAST(l_discount*10 AS DOUBLE) AS y, CASE WHEN l_quantity=7 THEN NULL ELSE l_quantity END AS f_quantity,
+    rows = t.sql("""SELECT ((l_orderkey*8+l_linenumber)*64+CAST(l_quantity AS BIGINT))*1048576+l_partkey AS rid, CAST(l_discount*10 AS DOUBLE) AS y, CASE WHEN l_quantity=7 THEN NULL ELSE l_quantity END AS f_quantity,
       l_extendedprice AS f_price, l_tax AS f_tax, l_discount*4+l_tax*2+l_quantity/200 AS f_signal, l_returnflag AS flag, CASE WHEN l_linenumber=3 THEN NULL ELSE l_linestatus END AS status,
       CAST(l_suppkey%40 AS INT) AS huc, CAST(l_suppkey%7 AS INT) AS st, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN l_discount>0.05 THEN 1.0 ELSE 0.0 END AS poor FROM lineitem""")
     return SP.group_kfold(rows.withColumn("poor", F.col("poor").cast("double")), "huc", 3, 0)
