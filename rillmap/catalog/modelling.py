@@ -277,8 +277,8 @@ f AS (SELECT p.pid, n_regionkey AS county_income, coalesce(dr.da, sc.area) AS da
  coalesce(CAST(ins.gid AS VARCHAR),'unknown') AS ecoregion, CASE WHEN st.sid IS NULL THEN 'none' WHEN st.size_m>25 THEN 'bridge' ELSE 'culvert' END AS kind, st.size_m, CASE WHEN g.val<>0 THEN g.val/1000 END AS precip_in
  FROM px_points p JOIN nation ON n_nationkey=p.grp LEFT JOIN dr ON dr.pid=p.pid LEFT JOIN sc ON sc.comid=dr.comid LEFT JOIN rd ON rd.pid=p.pid LEFT JOIN ad ON ad.pid=p.pid LEFT JOIN ins ON ins.pid=p.pid LEFT JOIN st ON st.pid=p.pid
  LEFT JOIN px_grid g ON col_i=CAST(floor(x/400.0) AS INT) AND row_i=CAST(floor((20000-y)/400.0) AS INT))
-SELECT pid, county_income, round(da,6) AS drainage_area_km2, round(log10(greatest(da,0.001)),6) AS log_drainage_area, precip AS sc_precip_mm, road_class, aadt, ecoregion, kind AS structure_is_bridge,
- CAST(CASE WHEN kind<>'none' THEN 2026-(1900+size_m) END AS INT) AS structure_age_yr, round(CASE kind WHEN 'bridge' THEN size_m*0.3048::DOUBLE WHEN 'culvert' THEN size_m*0.1524::DOUBLE END/(16.9::DOUBLE*power(greatest(da*0.3861021585::DOUBLE,0.01),0.401)*0.3048),6) AS constriction_ratio,
+SELECT pid, county_income, round(da,6) AS drainage_area_km2, CASE WHEN da IS NOT NULL THEN round(log10(greatest(da,0.001)),6) END AS log_drainage_area, precip AS sc_precip_mm, road_class, aadt, ecoregion, kind AS structure_is_bridge,
+ CAST(CASE WHEN kind<>'none' THEN 2026-(1900+size_m) END AS INT) AS structure_age_yr, CASE WHEN da IS NOT NULL THEN round(CASE kind WHEN 'bridge' THEN size_m*0.3048::DOUBLE WHEN 'culvert' THEN size_m*0.1524::DOUBLE END/(16.9::DOUBLE*power(greatest(da*0.3861021585::DOUBLE,0.01),0.401)*0.3048),6) END AS constriction_ratio,
  round(precip_in,6)::DOUBLE AS precip_24h_10yr_in FROM f""")
 def _(t):
     county = t.nation.select(F.upper("n_name").alias("county_name"), F.col("n_regionkey").alias("county_income"))

@@ -346,11 +346,12 @@ def win_table(preds: DataFrame, group: str, target: str, base: str, others: Sequ
 
 def per_group_models(df: DataFrame, group: str, fold: str, folds: Sequence[int], inputs: Inputs, target: str, minimum: int = 800, kind: str = "linear", **params) -> DataFrame:
     """Pooled model, pooled with the group as a category, own model for large groups (else the pooled one), and their mean."""
-    large = [r[0] for r in df.groupBy(group).count().where(F.col("count") >= minimum).select(group).collect()]
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.col(fold) != k).alias(f"t{k}") for k in folds]).collect()
     with_group = Inputs(inputs.numeric, [*inputs.categorical, group], inputs.extra)
     parts = []
     for k in folds:
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        large = [r[0] for r in counts if r["n"] >= minimum and r[f"t{k}"] > 0]     # a group that lies in one fold has nothing to train on
         test = predict(fit(train, kind, inputs, target, **params), test, "pooled")
         test = predict(fit(train, kind, with_group, target, **params), test, "pooled_group")
         own = [predict(fit(train.where(F.col(group) == g), kind, inputs, target, **params), test.where(F.col(group) == g), "own") for g in large]
