@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_token_files")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packing(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
