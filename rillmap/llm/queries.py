@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
+from rillmap.llm.language import held_out, identify_language
 from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.token_files import token_files
 
@@ -39,3 +40,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return identify_language(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
