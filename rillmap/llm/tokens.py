@@ -10,12 +10,14 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
-MOST_WORDS, MOST_IDS = 1_000_000, 12_000_000
+MOST_WORDS, MOST_IDS = 1_500_000, 16_000_000
 CLOSING = ".,;:!?"
 END_ID = 2
+LED = "\n"
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -35,11 +37,12 @@ class WordEncoder:
         self.pool = np.empty(0, np.uint32)
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """A word of letters and one closing mark has the ids of its letters and the id of the mark, so only the letters are encoded."""
-        closed = [w for w in words if w[-1] in CLOSING and len(w) > 2 and w[1:-1].isalpha() and w[0] == " "]
-        own = list(set(words).difference(closed))
-        self._add(list({w[:-1] for w in closed}.difference(self.known).union(own)))
+        closed = [w for w in keys if w[-1:] in self.marks and w[:-1].isalpha()]
+        own = set(keys).difference(closed)
+        own.update({w[:-1] for w in closed}.difference(self.known))
+        self._add(list(own))
         if closed:
             stem = np.fromiter((self.known[w[:-1]] for w in closed), np.int64, len(closed))
             mark = np.fromiter((self.marks[w[-1]] for w in closed), np.uint32, len(closed))
@@ -51,10 +54,11 @@ class WordEncoder:
             flat[upto - 1] = mark
             self._append(closed, flat, size)
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, keys: list[str]) -> None:
+        words = [w[1:] if w[:1] == LED else " " + w for w in keys]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.empty(0, np.uint32)
-        self._append(words, flat, np.fromiter(map(len, ids), np.int64, len(ids)))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._append(keys, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
 
     def _append(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         base = len(self.start)
@@ -64,26 +68,33 @@ class WordEncoder:
         self.known.update(zip(words, range(base, base + len(words))))
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def _keys(text: str) -> list[str]:
+        """The words of a text without the space before them; a first word, which has none, is marked by ``LED`` instead."""
         if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        return [first, *words] if first else words
+            first, *rest = _CUT.split(text)
+            rest = [w[1:] for w in rest]
+        else:
+            first, *rest = text.split(" ")
+            if not rest or rest[-1]:
+                return [LED + first, *rest]
+            rest[-1] = LED + " "
+        return [LED + first, *rest]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_WORDS or len(self.pool) > MOST_IDS:
             self._forget()
-        words: list[str] = []
+        keys: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                words += self._words(text)
-            ends[i] = len(words)
-        missing = list(set(words).difference(self.known))
-        if missing:
-            self._learn(missing)
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                keys += self._keys(text)
+            ends[i] = len(keys)
+        code = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(code < 0).tolist()
+        if new:
+            missing = [keys[i] for i in new]
+            self._learn(list(set(missing)))
+            code[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
         size = self.size[code]
         upto = np.concatenate([[0], np.cumsum(size)])
         place = np.repeat(self.start[code] - upto[:-1], size) + np.arange(upto[-1])
