@@ -10,6 +10,7 @@ from rillmap.llm.decontamination import contaminated, find_contamination, n_hit
 from rillmap.llm.language import held_out, identify_language
 from rillmap.llm.metric_tree import exact_top_k
 from rillmap.llm.packing import best_fit_packing
+from rillmap.llm.personal_data import KINDS, find_personal_data
 from rillmap.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(docs, table(spark, folder, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_personal_data(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
