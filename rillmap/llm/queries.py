@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillmap.llm.decontamination import contaminated, find_contamination, n_hit
 from rillmap.llm.language import held_out, identify_language
 from rillmap.llm.metric_tree import exact_top_k
+from rillmap.llm.near_duplicates import near_duplicates
 from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.personal_data import KINDS, find_personal_data
 from rillmap.llm.token_files import token_files
@@ -75,3 +76,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
