@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmap.llm.decontamination import contaminated, find_contamination, n_hit
 from rillmap.llm.language import held_out, identify_language
+from rillmap.llm.line_dedup import dedup_lines
 from rillmap.llm.metric_tree import exact_top_k
 from rillmap.llm.near_duplicates import near_duplicates
 from rillmap.llm.packing import best_fit_packing
@@ -81,3 +82,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM l),
+c AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS later FROM w WHERE following IS NOT NULL),
+g AS (SELECT doc_id, pos FROM c WHERE later UNION SELECT doc_id, pos + 1 FROM c WHERE later),
+m AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), FALSE) AS opens FROM m)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE opens) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM r GROUP BY doc_id""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
