@@ -49,24 +49,25 @@ class Rolling:
         return mix((sums[size:size + n] - sums[:n]) * self.inverse[:n])
 
 
-def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts with a blank after each, word starts and ends in them, and the number of words of each text."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    blank = _BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(data) and not blank[0]:
-        edge = np.concatenate([[0], edge])
-    start, stop = edge[0::2], edge[1::2]
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    return data, start, stop, np.diff(np.searchsorted(start, ends), prepend=0)
+def word_edges(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 bytes; a word also ends where the next text begins (``begins``)."""
+    word = ~_BLANK[data]
+    opens, closes = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1]
+    closes[:-1] &= ~word[1:]
+    cut = begins[(begins > 0) & (begins < len(data))]
+    opens[cut] |= word[cut]
+    closes[cut - 1] |= word[cut - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
 def word_hashes(texts: list[str | None], *rolling: Rolling):
     """(first text, words per text, fingerprints of all words, one array per ``rolling``) for consecutive groups of texts."""
     for first, group in pieces(texts, CHARS):
-        data, start, stop, count = word_spans(group)
-        yield first, count, [r.slices(r.byte[data], start, stop) for r in rolling]
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in group]
+        data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        start, stop = word_edges(data, np.concatenate([[0], ends[:-1]]))
+        yield first, np.diff(np.searchsorted(start, ends), prepend=0), [r.slices(r.byte[data], start, stop) for r in rolling]
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ from rillmap.llm.metric_tree import exact_top_k
 from rillmap.llm.near_duplicates import near_duplicates
 from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.personal_data import KINDS, find_personal_data
+from rillmap.llm.substring_dedup import dedup_substrings
 from rillmap.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,8 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"))
