@@ -14,6 +14,7 @@ from rillmap.llm.near_duplicates import near_duplicates
 from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.personal_data import KINDS, find_personal_data
 from rillmap.llm.substring_dedup import dedup_substrings
+from rillmap.llm.suffix_dedup import dedup_suffixes
 from rillmap.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_suffixes(table(spark, folder, "documents").select("doc_id", "text"))
