@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
-TRAIN_REGIONS = 400
+TRAIN_REGIONS = 150
 MOST_REGION = 400                # tokens; a longer stretch is cut at its next blank
-MARGIN = 3.0
-ROUNDS, RATE, DECAY = 40, 0.5, 1e-3
+MARGIN = 2.0
+ROUNDS, RATE, DECAY = 80, 0.1, 1e-3
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -218,7 +218,7 @@ def fit(examples: list[tuple[str, list[Span]]]) -> np.ndarray | None:
             data.append((start, end, rows, gold, len(region.tokens)))
     if not any(g.any() for *_, g, _ in data):
         return None
-    weights, seen = np.zeros((len(FEATURES), len(KINDS))), np.full((len(FEATURES), len(KINDS)), 1e-6)
+    weights, seen = np.zeros((len(FEATURES), len(KINDS))), np.ones((len(FEATURES), len(KINDS)))
     weights[0] = -4.0
     for _ in range(ROUNDS):
         slope = -DECAY * len(data) * weights
@@ -236,7 +236,7 @@ def fit(examples: list[tuple[str, list[Span]]]) -> np.ndarray | None:
                 behind[a] = _log_sum(np.append(behind[end[own]] + total[own], behind[a + 1]))
             share = np.exp(ahead[start][:, None] + scores + behind[end][:, None] - ahead[n])
             slope += rows.T @ (gold - share)
-        seen += slope ** 2
+        seen = 0.9 * seen + 0.1 * slope ** 2
         weights += RATE * slope / np.sqrt(seen)
     return weights
 
