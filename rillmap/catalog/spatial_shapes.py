@@ -45,7 +45,7 @@ nr AS (SELECT pid, gid FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER
 SELECT p.pid, coalesce(ins.gid, nr.gid) AS gid FROM px_points p LEFT JOIN ins USING (pid) JOIN nr ON nr.pid=p.pid""")
 def _(t):
     e = S.boxes_to_edges(t.px_polys, "gid")
-    return S.tag_polygon(t.px_points, e, "pid", "gid", 1000.0, fallback=True, start=1000.0).select("pid", "gid")
+    return S.tag_polygon(t.px_points, e, "pid", "gid", 1000.0, fallback=True).select("pid", "gid")
 
 
 @query("distance_to_boundary", f"""WITH {EDGES}, {INSIDE}, {EDGED}, near AS (SELECT pid, min(d) AS d FROM ed GROUP BY pid),
@@ -60,16 +60,17 @@ def _(t):
 CROSS = """ab AS (SELECT a.lid, a.seg, b.lid AS b_lid, b.seg AS b_seg, a.x1, a.y1, a.x2-a.x1 AS ax, a.y2-a.y1 AS ay, b.x2-b.x1 AS bx, b.y2-b.y1 AS by_,
  b.x1-a.x1 AS sx, b.y1-a.y1 AS sy FROM px_lines a JOIN px_lines b ON a.lid<b.lid),
 tu AS (SELECT *, (sx*by_-sy*bx)/nullif(ax*by_-ay*bx,0.0) AS t, (sx*ay-sy*ax)/nullif(ax*by_-ay*bx,0.0) AS u FROM ab),
-cr AS (SELECT lid, seg, b_lid, b_seg, x1+t*ax AS ix, y1+t*ay AS iy FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
+cs AS (SELECT lid, seg, b_lid, b_seg, x1+t*ax AS ix, y1+t*ay AS iy FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+cr AS (SELECT lid, b_lid, arg_min(ix, (seg, b_seg)) AS ix, arg_min(iy, (seg, b_seg)) AS iy FROM cs GROUP BY lid, b_lid)"""
 
 
 def crossings(t):
-    return S.line_intersections(t.px_lines, t.px_lines, 500.0, F.col("lid") < F.col("b_lid"))
+    return S.crossing_points(t.px_lines, t.px_lines, "lid", 500.0, F.col("lid") < F.col("b_lid"))
 
 
-@query("line_intersections", f"WITH {CROSS} SELECT lid, seg, b_lid, b_seg, round(ix,6) AS ix, round(iy,6) AS iy FROM cr")
+@query("line_intersections", f"WITH {CROSS} SELECT lid, b_lid, round(ix,6) AS ix, round(iy,6) AS iy FROM cr")
 def _(t):
-    return crossings(t).select("lid", "seg", "b_lid", "b_seg", F.round("ix", 6).alias("ix"), F.round("iy", 6).alias("iy"))
+    return crossings(t).select("lid", "b_lid", F.round("ix", 6).alias("ix"), F.round("iy", 6).alias("iy"))
 
 
 @query("distance_to_network", f"""WITH {CROSS}, d AS (SELECT pid, min(sqrt((x-ix)*(x-ix)+(y-iy)*(y-iy))) AS d FROM px_points, cr GROUP BY pid)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmap.operators.ranking import running_sums, value_ranks, with_rank
+from rillmap.operators.ranking import null_safe_join, running_sums, value_ranks, with_rank
 from rillmap.session import cut
 
 
@@ -35,7 +35,7 @@ def bin_counts(df: DataFrame, value: str, edges: Sequence[float], by: Sequence[s
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[float | None]:
     """Linearly interpolated quantiles. Only the order statistics asked for come to the driver."""
-    ranks = value_ranks(df.select(F.col(value).cast("double").alias(value)), value)
+    ranks = cut(value_ranks(df.select(F.col(value).cast("double").alias(value)), value))
     total = ranks.agg(F.sum("n")).first()[0]
     if not total:
         return [None] * len(qs)
@@ -60,7 +60,7 @@ def quantiles_by(df: DataFrame, value: str, group: Sequence[str], q: float, name
     ranks = value_ranks(df.select(*group, F.col(value).cast("double").alias(value)), value, group)
     at = ranks.groupBy(*group).agg(((F.sum("n") - 1) * F.lit(float(q))).alias("_h"))
     upto = F.col("below") + F.col("n")
-    two = ranks.join(at, group).groupBy(*group, "_h").agg(F.min(F.when(upto > F.floor("_h"), F.col(value))).alias("_a"),
+    two = null_safe_join(ranks, at, group).groupBy(*group, "_h").agg(F.min(F.when(upto > F.floor("_h"), F.col(value))).alias("_a"),
                                                          F.min(F.when(upto > F.ceil("_h"), F.col(value))).alias("_b"))
     return two.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias(name))
 
@@ -88,7 +88,8 @@ def calibration_table(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFram
 # ---- regression
 
 def finite(*cols: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    """Present, not NaN and not infinite in all columns."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in cols])
 
 
 def regression_by(df: DataFrame, y: str, p: str, by: Sequence[str] = (), min_n: int = 0, extra: Sequence[Column] = ()) -> DataFrame:

@@ -1,20 +1,22 @@
 """Point-to-point joins on a grid: nearest, mutual nearest, k nearest, pairs within a distance, tiles.
 
-Nothing here tests all pairs. Points at the same place are collapsed first. Where a grid cell still holds many places, the
-search descends into cells a quarter as wide and keeps only those that can still hold an answer (nearest corner not beyond
-the k-th farthest corner seen), so the pairs tested per point stay bounded however dense one cell is, and no pair is lost.
+Nothing here tests all pairs, and every search has one plan at all table sizes. Query points and targets at the same place are collapsed first. Occupied
+cells of the finest level are counted and frozen once; the coarser levels are rolled up from that small table. A search goes down a fixed number of levels,
+each a quarter as wide, and keeps only the cells that can still hold an answer (nearest corner not beyond the k-th farthest corner seen), so what is
+left to test is what lies in a few of the finest cells, and no pair is lost.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmap.operators.ranking import first_k
+from rillmap.session import cut
 
-CELL_LIMIT = 64        # places in one cell before the search goes one level finer
-MAX_LEVELS = 12
+RADIUS_LEVELS = 2      # quarterings below cells as wide as the search radius
+EXTENT_LEVELS = 6      # quarterings below the 4 x 4 cells of the whole extent
 ABOVE = 1.0 + 1e-9     # slack for rounding when bounds are compared
 
 
@@ -33,30 +35,26 @@ def block(reach: int = 1) -> Column:
     return F.flatten(F.transform(span, lambda i: F.transform(span, lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def placed(x: str, y: str) -> Column:
+    """Both coordinates are numbers; rows without a position take part in no search."""
+    return F.coalesce((F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf")), F.lit(False))
+
+
 def places(df: DataFrame, tid: str, x: str, y: str) -> DataFrame:
     """One row per distinct position with its smallest id, which is the id a tie at that position resolves to."""
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-            .groupBy(F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
+    return (df.where(placed(x, y)).groupBy(F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"))
             .agg(F.min(tid).alias("_tid")))
 
 
-def _fullest(targets: DataFrame, size: float) -> int:
-    counted = targets.groupBy(cell("_tx", size), cell("_ty", size)).count()
-    return counted.agg(F.max("count")).first()[0] or 0
-
-
-def _levels_needed(targets: DataFrame, size: float) -> int:
-    """How often a cell must be quartered (per axis) until no cell holds more than ``CELL_LIMIT`` places."""
-    level = 0
-    while level < MAX_LEVELS and (full := _fullest(targets, size / 4**level)) > CELL_LIMIT:
-        level += max(1, int(math.log(full / CELL_LIMIT, 16)))
-    return min(level, MAX_LEVELS)
+def _pointlike(targets: DataFrame) -> DataFrame:
+    return targets.select("*", F.col("_tx").alias("_x0"), F.col("_tx").alias("_x1"), F.col("_ty").alias("_y0"), F.col("_ty").alias("_y1"))
 
 
-def _cells(targets: DataFrame, size: float) -> DataFrame:
-    return targets.groupBy(cell("_tx", size).alias("_cx"), cell("_ty", size).alias("_cy")).agg(
-        F.count("*").alias("_n"), F.min("_tx").alias("_x0"), F.max("_tx").alias("_x1"),
-        F.min("_ty").alias("_y0"), F.max("_ty").alias("_y1"))
+def _merged(cells: DataFrame, by: int) -> DataFrame:
+    """Cells ``4 ** by`` times as wide."""
+    wide = lambda c: F.floor(F.col(c) / float(4**by)).cast("bigint").alias(c)
+    return cells.groupBy("_by", wide("_cx"), wide("_cy")).agg(F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+                                                              F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
 
 
 def _prune(front: DataFrame, k: int, radius: float | None) -> DataFrame:
@@ -69,77 +67,76 @@ def _prune(front: DataFrame, k: int, radius: float | None) -> DataFrame:
     front = front.withColumn("_lo", planar(dx, dy)).withColumn("_hi", planar(fx, fy))
     if radius is not None:
         front = front.where(F.col("_lo") <= radius)
-    per_query = Window.partitionBy("_qid")
+    per_query = Window.partitionBy("_qid", "_by")
     if k == 1:
         bounded = front.withColumn("_ub", F.min("_hi").over(per_query))
     else:
         seen = F.sum("_n").over(per_query.orderBy("_hi").rangeBetween(Window.unboundedPreceding, 0))
-        bounded = front.withColumn("_seen", seen).withColumn(
-            "_ub", F.min(F.when(F.col("_seen") >= k, F.col("_hi"))).over(per_query))
-    return bounded.where(F.col("_ub").isNull() | (F.col("_lo") <= F.col("_ub") * ABOVE)).select(
-        "_qid", "_qx", "_qy", "_cx", "_cy")
+        bounded = front.withColumn("_seen", seen).withColumn("_ub", F.min(F.when(F.col("_seen") >= k, F.col("_hi"))).over(per_query))
+    return bounded.where(F.col("_ub").isNull() | (F.col("_lo") <= F.col("_ub") * ABOVE)).select("_qid", "_qx", "_qy", "_by", "_cx", "_cy")
 
 
-def _descend(queries: DataFrame, targets: DataFrame, k: int, radius: float | None) -> DataFrame:
-    """Pairs (_qid, _tid, dist) that contain the k nearest targets of every query, by cells of decreasing size."""
+def search(queries: DataFrame, targets: DataFrame, k: int, radius: float | None = None, distance: Column | None = None) -> DataFrame:
+    """Rows of ``targets`` with ``_qid`` and ``dist`` that contain the k nearest targets of every query.
+
+    Queries are (_qid, _qx, _qy, _by), one per place. A target is filed by (_tx, _ty), reaches over (_x0, _x1, _y0, _y1) and is seen by queries of its
+    own ``_by`` only. Targets wider than a point are for searches without radius; ``distance`` then tells how far one is from (_qx, _qy).
+    """
     if radius is not None:
-        size, x0, y0 = float(radius), 0.0, 0.0
+        levels, size, x0, y0 = RADIUS_LEVELS, float(radius), 0.0, 0.0
     else:
         e = targets.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
-        if e[0] is None:
-            return queries.select("_qid").limit(0).select("_qid", F.lit(None).cast("bigint").alias("_tid"),
-                                                          F.lit(None).cast("double").alias("dist"))
-        x0, y0 = e[0], e[2]
-        size = max(e[1] - e[0], e[3] - e[2], 1e-6) * 1.001 / 4
-    shifted = targets.withColumn("_tx", F.col("_tx") - x0).withColumn("_ty", F.col("_ty") - y0)
-    q = queries.withColumn("_qx", F.col("_qx") - x0).withColumn("_qy", F.col("_qy") - y0)
-    levels = _levels_needed(shifted, size)
+        x0, y0 = e[0] or 0.0, e[2] or 0.0
+        levels, size = EXTENT_LEVELS, max((e[1] or 0.0) - x0, (e[3] or 0.0) - y0, 1e-6) * 1.001 / 4
+    fine = size / 4**levels
+    at = lambda c, o, s: cell(F.col(c) - o, s)
+    filed = targets.withColumns({"_cx": at("_tx", x0, fine), "_cy": at("_ty", y0, fine)})
+    finest = cut(_merged(filed.withColumn("_n", F.lit(1).cast("bigint")), 0))
     if radius is not None:
-        around = q.withColumn("_o", F.explode(block())).select(
-            "_qid", "_qx", "_qy", (cell("_qx", size) + F.col("_o.i")).alias("_cx"), (cell("_qy", size) + F.col("_o.j")).alias("_cy"))
-        front = around.join(_cells(shifted, size), ["_cx", "_cy"])
+        around = queries.withColumn("_o", F.explode(block())).select(
+            "_qid", "_qx", "_qy", "_by", (at("_qx", x0, size) + F.col("_o.i")).alias("_cx"), (at("_qy", y0, size) + F.col("_o.j")).alias("_cy"))
+        front = around.join(_merged(finest, levels), ["_by", "_cx", "_cy"])
     else:
         # the extent is cut into 4 x 4 cells, so every query can look at all of them
         names = ("_cx", "_cy", "_n", "_x0", "_x1", "_y0", "_y1")
-        top = [F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in _cells(shifted, size).collect()]
-        front = q.select("*", F.inline(F.array(*top)))
+        top = [F.struct(F.lit(r["_by"]).alias("_b"), *[F.lit(r[n]).alias(n) for n in names]) for r in _merged(finest, levels).collect()]
+        if not top:
+            return queries.join(filed.drop("_tid", "_by"), F.lit(False)).select("*", F.lit(0.0).alias("dist"), F.lit(None).cast(targets.schema["_tid"].dataType).alias("_tid"))
+        front = queries.select("*", F.inline(F.array(*top))).where(F.col("_b") == F.col("_by")).drop("_b")
     front = _prune(front, k, radius)
-    for level in range(1, levels + 1):
-        size /= 4
-        children = _cells(shifted, size).withColumn("_px", cell("_cx", 4)).withColumn("_py", cell("_cy", 4))
-        up = front.select("_qid", "_qx", "_qy", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
-        front = _prune(up.join(children, ["_px", "_py"]), k, radius)
-    leaves = shifted.select("*", cell("_tx", size).alias("_cx"), cell("_ty", size).alias("_cy"))
-    pairs = front.join(leaves, ["_cx", "_cy"]).withColumn(
-        "dist", planar(F.col("_qx") - F.col("_tx"), F.col("_qy") - F.col("_ty")))
+    for level in range(levels - 1, -1, -1):
+        children = _merged(finest, level).withColumns({"_px": cell("_cx", 4), "_py": cell("_cy", 4)})
+        up = front.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+        front = _prune(up.join(children, ["_by", "_px", "_py"]), k, radius)
+    apart = planar(F.col("_qx") - F.col("_tx"), F.col("_qy") - F.col("_ty")) if distance is None else distance
+    pairs = front.join(filed, ["_by", "_cx", "_cy"]).withColumn("dist", apart)
     if radius is not None:
         pairs = pairs.where(F.col("dist") <= radius)
-    return pairs.drop("_cx", "_cy", "_qx", "_qy", "_tx", "_ty")
+    return pairs.drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
+
 
+def spots(points: DataFrame, pid: str, xy: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The distinct positions of ``points``, each a query of its own."""
+    at = points.where(placed(*xy)).groupBy(*by, F.col(xy[0]).cast("double").alias("_qx"), F.col(xy[1]).cast("double").alias("_qy"))
+    found = at.agg(F.min(pid).alias("_qid"))
+    return found.withColumnRenamed(by[0], "_by") if by else found.withColumn("_by", F.lit(0))
 
-def _queries(points: DataFrame, pid: str, x: str, y: str) -> DataFrame:
-    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(pid).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy"))
+
+def everyone(points: DataFrame, pid: str, xy: Sequence[str], found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What was found for a position goes to all points there."""
+    own = points.where(placed(*xy)).select(*by, F.col(pid), F.col(xy[0]).cast("double").alias("_qx"), F.col(xy[1]).cast("double").alias("_qy"))
+    return own.join(found.withColumnRenamed("_by", by[0]) if by else found.drop("_by"), [*by, "_qx", "_qy"])
 
 
 def nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, radius: float | None = None,
             xy: tuple[str, str] = ("x", "y"), txy: tuple[str, str] = ("sx", "sy")) -> DataFrame:
     """(pid, tid, dist) of each point's nearest target, within ``radius`` if given; the smallest id wins a tie.
 
-    Points without a target in reach have no row.
+    Points without a position or without a target in reach have no row.
     """
-    q, t = _queries(points, pid, *xy), places(targets, tid, *txy)
-    if radius is not None and _fullest(t, float(radius)) <= CELL_LIMIT:
-        size = float(radius)
-        spread = t.withColumn("_o", F.explode(block())).select(
-            "_tid", "_tx", "_ty", (cell("_tx", size) + F.col("_o.i")).alias("_cx"), (cell("_ty", size) + F.col("_o.j")).alias("_cy"))
-        pairs = (q.withColumn("_cx", cell("_qx", size)).withColumn("_cy", cell("_qy", size)).join(spread, ["_cx", "_cy"])
-                 .withColumn("dist", planar(F.col("_qx") - F.col("_tx"), F.col("_qy") - F.col("_ty")))
-                 .where(F.col("dist") <= radius))
-    else:
-        pairs = _descend(q, t, 1, radius)
-    best = pairs.groupBy("_qid").agg(F.min(F.struct("dist", "_tid")).alias("_b"))
-    return best.select(F.col("_qid").alias(pid), F.col("_b._tid").alias(tid), F.col("_b.dist").alias("dist"))
+    t = _pointlike(places(targets, tid, *txy)).withColumn("_by", F.lit(0))
+    best = search(spots(points, pid, xy), t, 1, radius).groupBy("_qx", "_qy").agg(F.min(F.struct("dist", "_tid")).alias("_b"))
+    return everyone(points, pid, xy, best).select(pid, F.col("_b._tid").alias(tid), F.col("_b.dist").alias("dist"))
 
 
 def mutual_nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, radius: float,
@@ -164,17 +161,20 @@ def match_inventory(points: DataFrame, targets: DataFrame, pid: str, tid: str, r
     return points.join(found, pid, "left").withColumn("matched", F.col(tid).isNotNull().cast("double"))
 
 
-def k_nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, k: int, xy=("x", "y"), txy=("sx", "sy")) -> DataFrame:
-    """(pid, tid, dist, rank) of the k nearest targets, by (distance, id); self and copies count like any other."""
-    t = (targets.where(F.col(txy[0]).isNotNull() & F.col(txy[1]).isNotNull())
-         .select(F.col(tid).alias("_tid"), F.col(txy[0]).cast("double").alias("_tx"), F.col(txy[1]).cast("double").alias("_ty")))
-    copies = t.groupBy("_tx", "_ty").count().agg(F.max("count")).first()[0] or 0
-    if copies > k:   # of many copies at one place only the k smallest ids can be among the k nearest
-        t = first_k(t, k, ["_tid"], ["_tx", "_ty"])
-    pairs = _descend(_queries(points, pid, *xy), t, k, None)
-    order = Window.partitionBy("_qid").orderBy("dist", "_tid")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        F.col("_qid").alias(pid), F.col("_tid").alias(tid), "dist", F.col("rank").cast("bigint"))
+def k_nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, k: int, xy=("x", "y"), txy=("sx", "sy"), by: Sequence[str] = ()) -> DataFrame:
+    """(pid, [by,] tid, dist, rank) of the k nearest targets, by (distance, id); self and copies count like any other.
+
+    Of the copies at one place only the k smallest ids can be among the k nearest; Spark limits each place to k rows before they move. ``by`` names one
+    column of both sides whose values are searched apart (a few values, such as folds).
+    """
+    t = targets.where(placed(*txy)).select(F.col(tid).alias("_tid"), F.col(txy[0]).cast("double").alias("_tx"), F.col(txy[1]).cast("double").alias("_ty"),
+                                           (F.col(by[0]) if by else F.lit(0)).alias("_by"))
+    copies = Window.partitionBy("_tx", "_ty", "_by").orderBy("_tid")
+    t = t.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
+    pairs = search(spots(points, pid, xy, by), _pointlike(t), k)
+    order = Window.partitionBy("_qid", "_by").orderBy("dist", "_tid")
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("_by", "_qx", "_qy", "_tid", "dist", "rank")
+    return everyone(points, pid, xy, best, by).select(pid, *by, F.col("_tid").alias(tid), "dist", F.col("rank").cast("bigint").alias("rank"))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, xy=("x", "y"), txy=("sx", "sy"),
@@ -192,23 +192,15 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, xy=("x", "y")
     return (pairs if residual is None else pairs.where(residual)).drop("_cx", "_cy")
 
 
-def within_count(points: DataFrame, targets: DataFrame, pid: str, tid: str, radius: float, xy=("x", "y"), txy=("sx", "sy"),
-                 name: str = "n") -> DataFrame:
-    """(pid, n): targets within ``radius``, with copies at one place counted by weight."""
-    t = targets.groupBy(F.col(txy[0]).alias("_tx"), F.col(txy[1]).alias("_ty")).agg(F.count("*").alias("_w"))
-    q = points.select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"))
-    return pairs_within(q, t, radius, ("_qx", "_qy"), ("_tx", "_ty")).groupBy(pid).agg(F.sum("_w").alias(name))
-
-
 def dedupe_within(points: DataFrame, pid: str, radius: float, xy=("x", "y")) -> DataFrame:
-    """Drop every row that has a row with a smaller id within ``radius``.
+    """Drop every row that has a row with a smaller id within ``radius``. Rows without a position have no neighbour and stay.
 
     In a cell of side radius / sqrt(2) all rows are within the radius of each other, so only the smallest id of a cell can
     stay. That leaves one candidate per cell; each row is then compared with the candidates of the cells around it, which
     makes the work linear in the rows even where one cell is very full.
     """
     size = float(radius) / math.sqrt(2.0) * (1 - 1e-12)
-    p = points.select(F.col(pid).alias("_id"), F.col(xy[0]).alias("_px"), F.col(xy[1]).alias("_py"),
+    p = points.where(placed(*xy)).select(F.col(pid).alias("_id"), F.col(xy[0]).alias("_px"), F.col(xy[1]).alias("_py"),
                       cell(xy[0], size).alias("_cx"), cell(xy[1], size).alias("_cy"))
     lead = p.groupBy("_cx", "_cy").agg(F.min(F.struct("_id", "_px", "_py")).alias("_m"))
     lead = lead.select(F.col("_m._id").alias("_cand"), F.col("_m._px").alias("_ax"), F.col("_m._py").alias("_ay"), "_cx", "_cy")
@@ -218,7 +210,8 @@ def dedupe_within(points: DataFrame, pid: str, radius: float, xy=("x", "y")) ->
               .where(planar(F.col("_px") - F.col("_ax"), F.col("_py") - F.col("_ay")) <= radius)
               .select("_cand").distinct())
     keep = lead.join(beaten, "_cand", "left_anti").select(F.col("_cand").alias(pid))
-    return points.join(keep, pid, "left_semi")
+    stays = keep.unionByName(points.where(~placed(*xy)).select(pid))
+    return points.join(stays, pid, "left_semi")
 
 
 def farther_than(points: DataFrame, reference: DataFrame, pid: str, rid: str, radius: float, xy=("x", "y"), txy=("sx", "sy")) -> DataFrame:
@@ -263,6 +256,7 @@ def neighbourhood(points: DataFrame, pid: str, value: str, slope_of: str, flag:
                   close: float, tolerance: float, apart: float, xy=("x", "y")) -> DataFrame:
     """Counts within two radii, own value minus the neighbourhood mean, share flagged, and the median slope to close
     neighbours of similar value that are more than ``apart`` away."""
+    from rillmap.operators.metrics import quantiles_by
     own = points.select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"), F.col(value).alias("_qv"), F.col(slope_of).alias("_qz"))
     other = points.select(F.col(pid).alias("_oid"), F.col(xy[0]).alias("_tx"), F.col(xy[1]).alias("_ty"), F.col(value).alias("_ov"),
                           F.col(slope_of).alias("_oz"), flag.cast("double").alias("_of"))
@@ -270,9 +264,10 @@ def neighbourhood(points: DataFrame, pid: str, value: str, slope_of: str, flag:
     similar = (F.col("dist") <= close) & (F.abs(F.col("_ov") - F.col("_qv")) <= tolerance) & (F.col("dist") > apart)
     stats = pairs.groupBy(pid).agg(
         F.count(F.when(F.col("dist") <= near, 1)).alias("n_near"), F.count("*").alias("n_far"),
-        (F.first("_qv") - F.avg("_ov")).alias("d_value"), F.avg("_of").alias("flag_share"),
-        F.median(F.when(similar, F.abs(F.col("_oz") - F.col("_qz")) / F.col("dist"))).alias("slope_similar"))
-    return points.select(pid).join(stats, pid, "left").na.fill(0, ["n_near", "n_far"])
+        (F.max("_qv") - F.avg("_ov")).alias("d_value"), F.avg("_of").alias("flag_share"))
+    slopes = pairs.where(similar).select(pid, (F.abs(F.col("_oz") - F.col("_qz")) / F.col("dist")).alias("_slope")).where("_slope IS NOT NULL")
+    median = quantiles_by(slopes, "_slope", [pid], 0.5, "slope_similar")
+    return points.select(pid).join(stats, pid, "left").join(median, pid, "left").na.fill(0, ["n_near", "n_far"])
 
 
 def tiles(points: DataFrame, size: float, xy=("x", "y")) -> DataFrame:

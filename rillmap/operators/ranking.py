@@ -1,19 +1,27 @@
 """Ranks, order statistics and seeded orders that never put one group or one tie into one task.
 
-A window over a whole group is a single task however large the group is, so everything here ranks by range partition:
-the rows are sorted by (group, keys) into range partitions, numbered inside each partition, and shifted by the number
-of rows the same group has in earlier partitions. Only (partition, group) counts are ever joined back.
+A window over a whole group is a single task however large the group is, so everything here ranks by range partition, at every size of table: the
+rows are sorted by (group, keys) into range partitions, numbered there and frozen by a checkpoint, and shifted by the number of rows the same group has in
+earlier partitions. Only (partition, group) counts are joined back, NULL groups included.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmap.session import cut
 
-SMALL_ROWS = 20_000    # a table counted to be no larger than this is ranked by one plain window
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys where NULL meets NULL; the columns of ``left``, then the others of ``right``."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(c for c in right.columns if c not in keys)])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)])
+    others = [c for c in right.columns if c not in keys]
+    joined = left.join(named, on, how)
+    return joined.select(*[left[c] for c in left.columns], *([F.col(f"_v{i}").alias(c) for i, c in enumerate(others)] if how not in ("left_semi", "left_anti") else []))
 
 
 def seeded_key(seed: int, *ids: str | Column) -> Column:
@@ -43,11 +51,6 @@ def ordered(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     )
 
 
-def is_small(df: DataFrame) -> bool:
-    """Counted, not estimated; the limit keeps the count cheap where the table is large."""
-    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-
-
 def with_rank(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (), name: str = "rn",
               total: str | None = None) -> DataFrame:
     """Add the 1-based row number of ``order`` inside ``group``; ``order`` must be unique inside a group.
@@ -55,30 +58,14 @@ def with_rank(df: DataFrame, order: Sequence[str | Column], group: Sequence[str]
     ``total`` names an extra column with the group's row count.
     """
     group = list(group)
-    if is_small(df):
-        one = Window.partitionBy(*(group or [F.lit(1)]))
-        rank = F.row_number().over(one.orderBy(*order)).cast("bigint").alias(name)
-        return df.select("*", rank, *([F.count("*").over(one).alias(total)] if total else []))
     rows = ordered(df, [*group, *order])
-    counts = rows.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_part") if group else Window.orderBy("_part")
+    counts = cut(rows.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n")))
+    earlier = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    shift = counts.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.col("_part").alias("_g_part"),
-        "_first",
-        (F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    on = rows["_part"] == shift["_g_part"]
-    for g in group:
-        on = on & rows[g].eqNullSafe(shift[f"_g_{g}"])
-    out = rows.join(shift, on).select(
-        *[rows[c] for c in df.columns],
-        (F.col("_pos") - F.col("_first") + 1 + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name),
-        *([F.col("_total").cast("bigint").alias(total)] if total else []),
-    )
-    return out
+    shift = counts.select(*group, "_part", "_first", F.sum("_n").over(earlier).alias("_before"), F.sum("_n").over(whole).alias("_all"))
+    out = null_safe_join(rows, shift, [*group, "_part"])
+    return out.select(*df.columns, (F.col("_pos") - F.col("_first") + 1 + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name),
+                      *([F.col("_all").cast("bigint").alias(total)] if total else []))
 
 
 def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
@@ -97,33 +84,22 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
 def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums along ``order`` inside ``group`` by range partition: {column: output name}."""
     group = list(group)
-    if is_small(df):
-        one = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(one).alias(o) for c, o in sums.items()])
     rows = ordered(df, [*group, *order])
     inner = Window.partitionBy(*group, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.sum(c).over(inner).alias(f"_run_{o}") for c, o in sums.items()])
     totals = rows.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_sum_{o}") for c, o in sums.items()])
     earlier = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy("_part")
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_g_part"),
-        *[F.sum(f"_sum_{o}").over(earlier).alias(f"_bef_{o}") for o in sums.values()],
-    )
-    on = local["_part"] == shift["_g_part"]
-    for g in group:
-        on = on & local[g].eqNullSafe(shift[f"_g_{g}"])
-    return local.join(shift, on).select(
-        *[local[c] for c in df.columns],
-        *[(F.col(f"_run_{o}") + F.coalesce(F.col(f"_bef_{o}"), F.lit(0))).alias(o) for o in sums.values()],
-    )
+    shift = totals.select(*group, "_part", *[F.sum(f"_sum_{o}").over(earlier).alias(f"_bef_{o}") for o in sums.values()])
+    return null_safe_join(local, shift, [*group, "_part"]).select(
+        *df.columns, *[(F.col(f"_run_{o}") + F.coalesce(F.col(f"_bef_{o}"), F.lit(0))).alias(o) for o in sums.values()])
 
 
 def average_rank(df: DataFrame, value: str, name: str = "mid_rank", group: Sequence[str] = ()) -> DataFrame:
     """Add the mid-rank of ``value`` (ties share the average rank) inside ``group``."""
     group = list(group)
     ranks = value_ranks(df, value, group).select(*group, value, F.col("mid_rank").alias(name))
-    return df.join(ranks, [*group, value], "left")
+    return null_safe_join(df, ranks, [*group, value], "left")
 
 
 def quantile_higher(df: DataFrame, value: str, rank: Column | int, name: str = "q") -> DataFrame:
@@ -153,5 +129,5 @@ def permute(df: DataFrame, value: str, ids: Sequence[str], seed: int, group: Seq
     source = with_rank(df.select(*group, *ids, F.col(value).alias("_moved"), seeded_key(seed, *ids).alias("_key")),
                        ["_key", *ids], group, "_rn").select(*group, "_rn", "_moved")
     name = name or value
-    out = target.join(source, [*group, "_rn"])
+    out = null_safe_join(target.drop("_moved"), source, [*group, "_rn"])
     return out.select(*[c for c in df.columns if c != name], F.col("_moved").alias(name))

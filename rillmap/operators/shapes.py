@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmap.operators.points import cell, planar
+from rillmap.operators.points import cell, everyone, placed, planar, search, spots
 from rillmap.session import cut
 
 SEGMENT = ("x1", "y1", "x2", "y2")
@@ -76,7 +76,7 @@ def segment_cells(segments: DataFrame, size: float, grow: float) -> DataFrame:
 
 
 def _near_pairs(points: DataFrame, segments: DataFrame, pid: str, radius: float, xy: Sequence[str]) -> DataFrame:
-    q = points.select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"), cell(xy[0], radius).alias("_cx"), cell(xy[1], radius).alias("_cy"))
+    q = points.where(placed(*xy)).select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"), cell(xy[0], radius).alias("_cx"), cell(xy[1], radius).alias("_cy"))
     d, t = point_segment("_qx", "_qy")
     pairs = q.join(segment_cells(segments, radius, radius), ["_cx", "_cy"]).withColumn("dist", d).withColumn("at", t)
     return pairs.where(F.col("dist") <= radius).drop("_cx", "_cy")
@@ -99,18 +99,18 @@ def nearest_two_lines(points: DataFrame, segments: DataFrame, pid: str, lid: str
     return two.groupBy(pid).agg(pick(1, lid).alias(lid), pick(1, "dist").alias("snap"), pick(2, lid).alias(f"{lid}2"), pick(2, "dist").alias("snap2"))
 
 
-def nearest_line_unbounded(points: DataFrame, segments: DataFrame, pid: str, lid: str, start: float, xy=("x", "y")) -> DataFrame:
-    """Nearest line at any distance: points that find none are searched again with four times the radius."""
-    if segments.limit(1).count() == 0:
-        return nearest_line(points, segments, pid, lid, start, xy=xy)
-    left, radius, found = points.select(pid, *xy), start, None
-    while True:
-        hit = cut(nearest_line(left, segments, pid, lid, radius, xy=xy))
-        found = hit if found is None else found.unionByName(hit)
-        left = cut(left.join(hit, pid, "left_anti"))
-        if left.limit(1).count() == 0:
-            return found
-        radius *= 4
+def nearest_line_unbounded(points: DataFrame, segments: DataFrame, pid: str, lid: str, xy=("x", "y")) -> DataFrame:
+    """(pid, lid, dist) of the nearest line at any distance; points without a position have no row.
+
+    Segments go down the same grid as points do: filed by their middle, and bounded by their own boxes.
+    """
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    boxes = segments.where(placed("x1", "y1") & placed("x2", "y2")).select(
+        F.col(lid).alias("_tid"), *SEGMENT, middle("x1", "x2").alias("_tx"), middle("y1", "y2").alias("_ty"), F.least("x1", "x2").alias("_x0"),
+        F.greatest("x1", "x2").alias("_x1"), F.least("y1", "y2").alias("_y0"), F.greatest("y1", "y2").alias("_y1"), F.lit(0).alias("_by"))
+    pairs = search(spots(points, pid, xy), boxes, 1, distance=point_segment("_qx", "_qy")[0])
+    best = pairs.groupBy("_qx", "_qy").agg(F.min(F.struct("dist", "_tid")).alias("_b"))
+    return everyone(points, pid, xy, best).select(pid, F.col("_b._tid").alias(lid), F.col("_b.dist").alias("dist"))
 
 
 # ---- polygons
@@ -118,8 +118,8 @@ def nearest_line_unbounded(points: DataFrame, segments: DataFrame, pid: str, lid
 def point_in_polygon(points: DataFrame, edges: DataFrame, pid: str, gid: str, band: float, xy=("x", "y")) -> DataFrame:
     """(pid, gid) of the polygon that holds each point (the smallest id if several), by the parity of edges to the right.
 
-    Edges are listed under the horizontal bands they cross, since a ray to the right stays in one band. Left and lower
-    borders count as inside, right and upper ones as outside.
+    A point first meets the polygons whose box shares its square cell, then only the edges of such a polygon in its own horizontal band, since a ray to
+    the right stays in one band. Left and lower borders count as inside, right and upper ones as outside.
     """
     hits = polygon_hits(points, edges, pid, gid, band, xy)
     return hits.groupBy(pid).agg(F.min(gid).alias(gid))
@@ -127,27 +127,29 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, pid: str, gid: str, ba
 
 def polygon_hits(points: DataFrame, edges: DataFrame, pid: str, gid: str, band: float, xy=("x", "y")) -> DataFrame:
     """All (pid, gid) with the point inside the polygon."""
-    box = edges.groupBy(gid).agg(F.min(F.least("x1", "x2")).alias("_bx0"), F.max(F.greatest("x1", "x2")).alias("_bx1"))
+    box = edges.groupBy(gid).agg(F.min(F.least("x1", "x2")).alias("_bx0"), F.max(F.greatest("x1", "x2")).alias("_bx1"),
+                                 F.min(F.least("y1", "y2")).alias("_by0"), F.max(F.greatest("y1", "y2")).alias("_by1"))
+    wide = (box.withColumn("_cx", F.explode(F.sequence(cell("_bx0", band), cell("_bx1", band))))
+            .withColumn("_band", F.explode(F.sequence(cell("_by0", band), cell("_by1", band)))))
+    q = points.where(placed(*xy)).select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"), cell(xy[0], band).alias("_cx"), cell(xy[1], band).alias("_band"))
+    near = q.join(wide, ["_cx", "_band"]).where(F.col("_qx").between(F.col("_bx0"), F.col("_bx1")) & F.col("_qy").between(F.col("_by0"), F.col("_by1")))
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(cell(lo, band), cell(hi, band)))).join(box, gid)
-    q = points.select(F.col(pid), F.col(xy[0]).alias("_qx"), F.col(xy[1]).alias("_qy"), cell(xy[1], band).alias("_band"))
+    banded = edges.where(F.col("y1") != F.col("y2")).select(gid, *SEGMENT, F.explode(F.sequence(cell(lo, band), cell(hi, band))).alias("_band"))
     cross_at = F.col("x1") + (F.col("_qy") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossed = (q.join(banded, "_band")
-               .where((F.col("_qx") >= F.col("_bx0")) & (F.col("_qx") <= F.col("_bx1")))
+    crossed = (near.select(pid, gid, "_qx", "_qy", "_band").join(banded, [gid, "_band"])
                .where((F.col("y1") <= F.col("_qy")) != (F.col("y2") <= F.col("_qy")))
                .where(F.col("_qx") < cross_at))
     return crossed.groupBy(pid, gid).agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select(pid, gid)
 
 
-def tag_polygon(points: DataFrame, edges: DataFrame, pid: str, gid: str, band: float, xy=("x", "y"), fallback: bool = False,
-                start: float | None = None) -> DataFrame:
+def tag_polygon(points: DataFrame, edges: DataFrame, pid: str, gid: str, band: float, xy=("x", "y"), fallback: bool = False) -> DataFrame:
     """Points with the polygon that holds them; with ``fallback`` those in none get the nearest one."""
     inside = point_in_polygon(points, edges, pid, gid, band, xy)
     if not fallback:
         return points.join(inside, pid, "left")
     inside = cut(inside)
     rest = points.join(inside, pid, "left_anti")
-    near = nearest_line_unbounded(rest, edges, pid, gid, start or band, xy).select(pid, gid)
+    near = nearest_line_unbounded(rest, edges, pid, gid, xy).select(pid, gid)
     return points.join(inside.unionByName(near), pid, "left")
 
 
@@ -163,7 +165,9 @@ def boundary_report(points: DataFrame, edges: DataFrame, pid: str, gid: str, ban
 # ---- networks
 
 def line_intersections(a: DataFrame, b: DataFrame, size: float, residual: Column | None = None) -> DataFrame:
-    """Crossing points of segments of ``a`` and ``b`` (b's columns carry a ``b_`` prefix), one row per crossing pair.
+    """Crossing points of segments of ``a`` and ``b`` (b's columns carry a ``b_`` prefix), one row per crossing pair of segments.
+
+    Where two segments lie on one straight line, the middle of the stretch that they share stands for it.
 
     A pair can share several cells; it is kept only in the cell that holds the crossing point, so nothing is deduplicated.
     """
@@ -177,9 +181,20 @@ def line_intersections(a: DataFrame, b: DataFrame, size: float, residual: Column
     den = ax * by - ay * bx
     sx, sy = F.col("b_x1") - F.col("x1"), F.col("b_y1") - F.col("y1")
     t, u = (sx * by - sy * bx) / F.nullif(den, F.lit(0.0)), (sx * ay - sy * ax) / F.nullif(den, F.lit(0.0))
-    j = j.withColumn("_t", t).withColumn("_u", u).where(F.col("_t").between(0, 1) & F.col("_u").between(0, 1))
+    # along a: where the ends of a parallel b fall, if b lies on the same line
+    len2 = F.nullif(ax * ax + ay * ay, F.lit(0.0))
+    along0, along1 = (sx * ax + sy * ay) / len2, ((sx + bx) * ax + (sy + by) * ay) / len2
+    first, last = F.greatest(F.lit(0.0), F.least(along0, along1)), F.least(F.lit(1.0), F.greatest(along0, along1))
+    shared = F.when((den == 0) & (sx * ay - sy * ax == 0) & (first <= last), (first + last) / 2)
+    j = j.withColumn("_t", F.coalesce(F.when(u.between(0, 1), t), shared)).where(F.col("_t").between(0, 1))
     j = j.withColumn("ix", F.col("x1") + F.col("_t") * ax).withColumn("iy", F.col("y1") + F.col("_t") * ay)
-    return j.where((cell("ix", size) == F.col("_cx")) & (cell("iy", size) == F.col("_cy"))).drop("_cx", "_cy", "_t", "_u")
+    return j.where((cell("ix", size) == F.col("_cx")) & (cell("iy", size) == F.col("_cy"))).drop("_cx", "_cy", "_t")
+
+
+def crossing_points(a: DataFrame, b: DataFrame, lid: str, size: float, residual: Column | None = None) -> DataFrame:
+    """(lid, b_lid, ix, iy): one point per pair of lines that meet, the first along the first line, however often and at however many segments."""
+    place = F.struct("seg", "b_seg", "ix", "iy")
+    return line_intersections(a, b, size, residual).groupBy(lid, f"b_{lid}").agg(F.min(place).alias("_p")).select(lid, f"b_{lid}", "_p.ix", "_p.iy")
 
 
 def bearing(dx: Column, dy: Column) -> Column:

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmap.operators.ranking import first_k, quantile_higher, seeded_key, with_rank
+from rillmap.operators.ranking import first_k, null_safe_join, quantile_higher, running_sums, seeded_key, with_rank
+
+
+MOST_GROUPS = 1_000_000      # groups whose counts may come to the driver; no data row ever does
 
 
 def group_order(seed: int, group: object) -> int:
@@ -52,15 +55,21 @@ def assign_groups(counts: Sequence[tuple[object, int]], k: int, seed: int, large
 
 
 def group_counts(df: DataFrame, group: str) -> list[tuple[object, int]]:
-    """Rows per group: what the greedy assignment needs, a row per group and no data row."""
-    return [(r[0], r[1]) for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()]
+    """Rows per group: what the greedy assignment needs, a row per group and no data row. NULL is a group of its own.
+
+    More than ``MOST_GROUPS`` groups raise an error, since the assignment runs on the driver.
+    """
+    counts = df.groupBy(group).count().limit(MOST_GROUPS + 1).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    return [(r[0], r[1]) for r in counts]
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 0, largest_first: bool = False, name: str = "fold",
                 counts: Sequence[tuple[object, int]] | None = None) -> DataFrame:
     """Whole groups held out; adds the fold of each row's group."""
     folds = assign_groups(counts or group_counts(df, group), k, seed, largest_first)
-    return df.join(fold_table(df, group, folds, name), group)
+    return null_safe_join(df, fold_table(df, group, folds, name), [group])
 
 
 def fold_table(df: DataFrame, group: str, folds: dict[object, int], name: str = "fold") -> DataFrame:
@@ -87,10 +96,15 @@ def leave_one_out_groups(df: DataFrame, group: str, minimum: int) -> DataFrame:
 def locked_groups(df: DataFrame, group: str, region: str, seed: int, share: float = 0.15, below: float = 0.02, above: float = 0.04,
                   min_group: int = 250, min_regions: int = 4, tries: int = 1000) -> list[object]:
     """Whole groups for a test set of about ``share`` of the rows, from several regions; the next seed if a draw is not valid."""
-    rows = df.groupBy(group).agg(F.count("*").alias("n"), F.collect_set(region).alias("regions")).collect()
+    rows = df.groupBy(group, region).agg(F.count("*").alias("n")).limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     total = sum(r["n"] for r in rows)
-    size = {r[0]: r["n"] for r in rows}
-    regions = {r[0]: set(r["regions"]) for r in rows}
+    size, regions = {}, {}
+    for g, where, n in rows:
+        if g is not None:
+            size[g] = size.get(g, 0) + n
+            regions.setdefault(g, set()).update([where] if where is not None else [])
     eligible = [g for g in size if size[g] >= min_group]
     for t in range(tries):
         chosen, n = [], 0
@@ -107,18 +121,16 @@ def locked_groups(df: DataFrame, group: str, region: str, seed: int, share: floa
 
 
 def locked_holdout(df: DataFrame, group: str, region: str, seed: int, name: str = "locked", **limits) -> DataFrame:
-    chosen = locked_groups(df, group, region, seed, **limits)
-    return df.withColumn(name, F.col(group).isin(*chosen))
+    """Add whether a row's group is held out; a row without a group is not."""
+    chosen = fold_table(df, group, dict.fromkeys(locked_groups(df, group, region, seed, **limits), 1), "_held")
+    return df.join(chosen, group, "left").select(*df.columns, F.col("_held").isNotNull().alias(name))
 
 
 # ---- samples
 
 def sample_n(df: DataFrame, rid: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, the same ones for the same seed."""
-    key = seeded_key(seed, rid)
-    if n <= 10_000:
-        return df.withColumn("_key", key).orderBy("_key", rid).limit(n).drop("_key")
-    return first_k(df.withColumn("_key", key), n, ["_key", rid]).drop("_key")
+    return first_k(df.withColumn("_key", seeded_key(seed, rid)), n, ["_key", rid]).drop("_key")
 
 
 def calibration_split(df: DataFrame, rid: str, n: int, seed: int) -> DataFrame:
@@ -133,17 +145,24 @@ def stratified_prefix(df: DataFrame, group: str, rid: str, per_group: int, seed:
 
 
 def thin_training(df: DataFrame, rid: str, fold: str, k: int, fractions: Sequence[float], seed: int) -> DataFrame:
-    """Training rows of each held-out fold with the smallest fraction that includes them (nested fractions)."""
-    train = df.withColumn("held", F.explode(F.array(*[F.lit(i) for i in range(k)]))).where(F.col(fold) != F.col("held"))
-    ranked = with_rank(train.withColumn("_key", seeded_key(seed, rid)), ["_key", rid], ["held"], "_rn", "_total")
-    least = F.coalesce(*[F.when(F.col("_rn") <= F.floor(F.col("_total") * f), F.lit(float(f))) for f in sorted(fractions)])
-    return ranked.withColumn("fraction", least).where(F.col("fraction").isNotNull()).drop("_key", "_rn", "_total")
+    """Training rows of each held-out fold with the smallest fraction that includes them (nested fractions).
+
+    Rows are sorted once; the rank without a fold is the rank among all rows less the rows of that fold before it.
+    """
+    one = df.withColumn("_key", seeded_key(seed, rid)).withColumns({f"_in{i}": (F.col(fold) == i).cast("bigint") for i in range(k)}).withColumn("_one", F.lit(1).cast("bigint"))
+    run = running_sums(one, ["_key", rid], {"_one": "_rank", **{f"_in{i}": f"_upto{i}" for i in range(k)}})
+    totals = df.agg(F.count("*").alias("_total"), *[F.count_if(F.col(fold) == i).alias(f"_size{i}") for i in range(k)]).first()
+    each = F.array(*[F.struct(F.lit(i).alias("held"), (F.col("_rank") - F.coalesce(F.col(f"_upto{i}"), F.lit(0))).alias("rn"),
+                              F.lit(totals["_total"] - totals[f"_size{i}"]).alias("n")) for i in range(k)])
+    rows = run.withColumn("_e", F.explode(each)).where(F.col(fold) != F.col("_e.held"))
+    least = F.coalesce(*[F.when(F.col("_e.rn") <= F.floor(F.col("_e.n") * f), F.lit(float(f))) for f in sorted(fractions)])
+    return rows.select(*df.columns, F.col("_e.held").alias("held"), least.alias("fraction")).where(F.col("fraction").isNotNull())
 
 
 def group_size_weight(df: DataFrame, group: str, power: float, name: str = "weight") -> DataFrame:
     """1 / n^power with n the rows of the group."""
     n = df.groupBy(group).agg((1.0 / F.pow(F.count("*").cast("double"), F.lit(power))).alias(name))
-    return df.join(n, group)
+    return null_safe_join(df, n, [group])
 
 
 # ---- cluster bootstrap

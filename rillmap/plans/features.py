@@ -196,7 +196,7 @@ def build_multi(df: DataFrame, pid: str, states: DataFrame, basins: DataFrame, s
     """State and basin tags (a point outside all basins gets the nearest one), code prefixes, logs, inventory and way matches."""
     spots = df.select(pid, *xy)     # each search starts from the positions alone, not from the table built so far
     state = S.point_in_polygon(spots, states, pid, "state", band, xy)
-    basin = S.tag_polygon(spots, basins, pid, "huc8", band, xy, fallback=True, start=band).drop(*xy)
+    basin = S.tag_polygon(spots, basins, pid, "huc8", band, xy, fallback=True).drop(*xy)
     match = P.match_inventory(spots, structures, pid, sid, radius, True, xy, txy).drop(*xy)
     out = df.join(state, pid, "left").join(basin, pid, "left").join(match, pid, "left")
     out = out.withColumnsRenamed({"matched": "nbi_matched", "dist": "nbi_dist_m"})
@@ -209,13 +209,11 @@ def build_multi(df: DataFrame, pid: str, states: DataFrame, basins: DataFrame, s
 def fold_safe_neighbours(df: DataFrame, pid: str, label: str, flag: str, group: str, fold: str, folds: Sequence[int], kmax: int = 80, ball: float = 5000.0, xy=("x", "y")) -> DataFrame:
     """Neighbour features per held-out fold: (held, pid, ...). Labels come from the other folds only; training rows do not
     see their own group, held-out rows see all training rows."""
-    out = None
-    for k in folds:
-        ref = df.where(F.col(fold) != k)
-        near = P.k_nearest(df, ref.select(F.col(pid).alias("_rid"), F.col(xy[0]).alias("_rx"), F.col(xy[1]).alias("_ry")), pid, "_rid", kmax, xy, ("_rx", "_ry"))
-        r = ref.select(F.col(pid).alias("_rid"), F.col(label).alias("_label"), F.col(flag).cast("double").alias("_flag"), F.col(group).alias("_rg"))
-        q = df.select(pid, F.col(group).alias("_qg"), (F.col(fold) == k).alias("_test"))
-        near = near.join(r, "_rid").join(q, pid).where(F.col("dist") > 0.5).where(F.col("_test") | (F.col("_rg") != F.col("_qg")))
-        one = P.summarise_neighbours(near, [pid], ball).withColumn("held", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+    held = F.array(*[F.lit(k) for k in folds])
+    q = df.withColumn("held", F.explode(held))
+    ref = q.where(F.col(fold) != F.col("held")).select("held", F.col(pid).alias("_rid"), F.col(xy[0]).alias("_rx"), F.col(xy[1]).alias("_ry"))
+    near = P.k_nearest(q, ref, pid, "_rid", kmax, xy, ("_rx", "_ry"), ["held"])      # all folds in one search
+    r = df.select(F.col(pid).alias("_rid"), F.col(label).alias("_label"), F.col(flag).cast("double").alias("_flag"), F.col(group).alias("_rg"))
+    own = df.select(pid, F.col(group).alias("_qg"), F.col(fold).alias("_fold"))
+    near = near.join(r, "_rid").join(own, pid).where(F.col("dist") > 0.5).where((F.col("_fold") == F.col("held")) | (F.col("_rg") != F.col("_qg")))
+    return P.summarise_neighbours(near, ["held", pid], ball)

@@ -1,4 +1,4 @@
-"""Ranks by range partition against a plain window, for even, hot and tied data, on both paths."""
+"""Ranks by range partition against a plain window, for even, hot and tied data."""
 import pytest
 from conftest import rows
 from pyspark.sql import Window
@@ -10,11 +10,6 @@ from rillmap.operators import ranking as R
 from rillmap.operators import splits as SP
 
 
-@pytest.fixture(params=[0, 20_000], ids=["ranges", "one window"], autouse=True)
-def path(request, monkeypatch):
-    monkeypatch.setattr(R, "SMALL_ROWS", request.param)
-
-
 @pytest.fixture(scope="module")
 def df(spark):
     # a third of the rows share one group and one value
@@ -77,3 +72,29 @@ def test_rank_metrics(df):
     auc = (r[lab == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)
     d = df.select((F.col("v") < 0.3).cast("int").alias("lab"), "p")
     assert M.roc_auc(d, "lab", "p").first()[0] == pytest.approx(auc)
+
+
+def test_null_groups_are_groups(spark):
+    d = spark.createDataFrame([(i, None if i % 4 == 0 else f"g{i % 3}", float(i % 7)) for i in range(60)], "id long, g string, v double")
+    assert R.permute(d, "v", ["id"], 1, ["g"]).count() == 60
+    assert R.average_rank(d, "v", "mid_rank", ["g"]).where("mid_rank IS NULL").count() == 0
+    folds = SP.group_kfold(d, "g", 3, 0)
+    assert folds.count() == 60 and folds.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    weights = {r["g"]: r["weight"] for r in SP.group_size_weight(d, "g", 1.0).collect()}
+    assert weights[None] == pytest.approx(1 / 15)
+    held = SP.locked_holdout(d, "g", "id", 0, share=0.3, below=0.2, above=0.2, min_group=1, min_regions=1)
+    assert held.count() == 60 and {r[0] for r in held.where("g IS NULL").select("locked").collect()} == {False}
+    assert {r["g"] for r in M.quantiles_by(d, "v", ["g"], 0.5).collect()} == {None, "g0", "g1", "g2"}
+
+
+def test_thinning_keeps_other_folds(df):
+    d = df.select("id", (F.col("id") % 3).cast("int").alias("fold"))
+    got = SP.thin_training(d, "id", "fold", 3, [0.5, 1.0], 1)
+    n = {(r["held"], r["fraction"]): r["count"] for r in got.groupBy("held", "fraction").count().collect()}
+    assert n == {(h, f): 1000 for h in range(3) for f in (0.5, 1.0)} and got.where("fold = held").count() == 0
+
+
+def test_infinite_values_are_left_out(spark):
+    d = spark.createDataFrame([(1.0, 1.5), (2.0, float("inf")), (3.0, 2.5), (float("nan"), 1.0), (None, 1.0), (4.0, 4.0)], "y double, p double")
+    r = M.regression_by(d, "y", "p").first()
+    assert r["n"] == 3 and r["mae"] == pytest.approx(1 / 3) and r["rmse"] < 1
