@@ -33,10 +33,10 @@ def _prefix(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first ``PERIOD`` bytes at each position as two numbers; ``text`` is padded."""
     high = np.zeros(len(at), np.uint64)
     for k in range(8):
-        high = high << np.uint64(8) | text[at + k]
+        high = high << np.uint64(8) | text[at + k].astype(np.uint64)
     low = np.zeros(len(at), np.uint64)
     for k in range(8, PERIOD):
-        low = low << np.uint64(8) | text[at + k]
+        low = low << np.uint64(8) | text[at + k].astype(np.uint64)
     return high, low
 
 
@@ -45,9 +45,9 @@ class Sample:
 
     def __init__(self, text: np.ndarray, window: int):
         n = len(text)
-        self.text = np.concatenate([text, np.zeros(window + 2 * PERIOD, np.uint8)]).astype(np.uint64)
-        at = np.flatnonzero(_IN[np.arange(n) % PERIOD])
-        self.rank, depth = np.zeros(n + 4 * max(window, PERIOD) + PERIOD, np.int64), PERIOD
+        self.text = np.concatenate([text, np.zeros(window + 2 * PERIOD, np.uint8)])
+        at = np.sort(np.concatenate([np.arange(c, n, PERIOD) for c in COVER]))
+        self.rank, depth = np.zeros(n + 4 * max(window, PERIOD) + PERIOD, np.int32), PERIOD
         self.rank[at] = _dense(*_prefix(self.text, at)[::-1])
         while depth < window:
             self.rank[at] = _dense(self.rank[at + depth], self.rank[at])
@@ -81,7 +81,7 @@ def equal_windows(text: np.ndarray, at: np.ndarray, window: int) -> Iterator[tup
     if not len(at):
         return
     sample = Sample(text, window)
-    lead = (sample.text[at].astype(np.int64) << 8) + sample.text[at + 1].astype(np.int64)
+    lead = (sample.text[at].astype(np.uint16) << np.uint16(8)) + sample.text[at + 1]
     upto = np.cumsum(np.bincount(lead, minlength=1 << 16))
     begin = 0
     while begin < 1 << 16:
