@@ -1,7 +1,7 @@
 """Suffix-array dedup on bytes: removal of every byte covered by a 50-byte string that also starts in a smaller document.
 
-All 50-byte windows of a document are cut into runs, each run being the windows that choose the same 16-byte gram (the one of the smallest fingerprint among the
-35 they hold). Equal windows choose equal grams, wherever they stand. So (1) only runs whose gram occurs in another document go on; (2) a run whose whole
+All 50-byte windows of a document are cut into runs, each run being the windows that choose the same 24-byte gram (the one of the smallest fingerprint among the
+27 they hold). Equal windows choose equal grams, wherever they stand. So (1) only runs whose gram occurs in another document go on; (2) a run whose whole
 stretch of bytes also occurs in a smaller document is a copy at once, every window of it; (3) each other stretch, once per text, goes to the suffix
 bucket of its gram, where the windows of all stretches are sorted blockwise with a difference cover (``suffix_sort``) and a window is a copy if its group of
 equal windows holds a smaller document; (4) the bytes that copied windows cover are removed. A gram that more than ``MANY`` blocks hold would gather
@@ -25,9 +25,10 @@ from rillmap.llm.blocks import ENTRIES, KEYS, Block, Blocks, bucket_edges, censu
 from rillmap.llm.hashing import Rolling, mix, ragged
 from rillmap.llm.suffix_sort import equal_windows
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 CHOICES = WINDOW - GRAM + 1
-MANY = 64
+MANY = 1024                     # blocks; each holds about a thousand documents, so a gram below this fills a bucket with some 100 MB at most
+FINER = 4                       # suffix buckets per bucket of fingerprints: a stretch is longer than a fingerprint
 _GRAM, _ONE, _TWO = Rolling(31), Rolling(32), Rolling(33)
 _PLACE = np.uint64((1 << 20) - 1)
 STRETCHES = "bucket int, block long, sizes binary, docs binary, data binary"
@@ -126,19 +127,20 @@ def _stretches(block: Block) -> tuple[Runs, np.ndarray, np.ndarray, Stretches]:
 
 def _sort(rows: pa.Table) -> list[bytes]:
     """One bit for each window of each stretch: it also stands in a smaller document."""
-    windows, each = joined(rows, "sizes", "<i8")
+    windows, each = joined(rows, "sizes", "u1")
+    windows = windows.astype(np.int64)
     docs, _ = joined(rows, "docs", "<i8")
     text, _ = joined(rows, "data", "u1")
     size = windows + WINDOW - 1
-    at = ragged(np.cumsum(size) - size, windows)
-    stretch = np.repeat(np.arange(len(windows)), windows)
-    shift = at - np.repeat(np.cumsum(size) - size, windows)
+    begin = np.cumsum(size) - size
+    at = ragged(begin, windows)
     mask = np.zeros(len(windows), np.uint64)
     for own, first in equal_windows(text, at, WINDOW):
-        doc = docs[stretch[own]]
+        stretch = np.searchsorted(begin, at[own], "right") - 1
+        doc = docs[stretch]
         least = np.minimum.reduceat(doc, first)[np.cumsum(np.isin(np.arange(len(own)), first)) - 1]
-        copy = own[doc > least]
-        np.bitwise_or.at(mask, stretch[copy], np.uint64(1) << shift[copy].astype(np.uint64))
+        copy, stretch = own[doc > least], stretch[doc > least]
+        np.bitwise_or.at(mask, stretch, np.uint64(1) << (at[copy] - begin[stretch]).astype(np.uint64))
     return [x.astype("<u8").tobytes() for x in np.split(mask, np.cumsum(each)[:-1])]
 
 
@@ -161,9 +163,9 @@ def dedup_suffixes(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def send_stretches(block: Block) -> Iterator[pa.RecordBatch]:
         runs, which, _, sent = _stretches(block)
         (_, _, least), _ = distinct_entries(runs.high, runs.low, block.doc_ids[runs.doc])
-        for bucket, a, z in bucket_edges(sent.key, n):
+        for bucket, a, z in bucket_edges(sent.key, FINER * n):
             data = block.data[ragged(sent.start[a:z], sent.windows[a:z] + WINDOW - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block.number]), pa.array([sent.windows[a:z].astype("<i8").tobytes()]),
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block.number]), pa.array([sent.windows[a:z].astype("u1").tobytes()]),
                                               pa.array([least[sent.entry[a:z]].astype("<i8").tobytes()]), pa.array([data.tobytes()])], schema=stretch_schema)
 
     def remove(block: Block) -> Iterator[pa.RecordBatch]:
