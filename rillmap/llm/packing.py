@@ -24,6 +24,7 @@ from rillmap.llm.tokens import END_ID, crc32, encode_documents
 from rillmap.session import scratch_path
 
 GROUP_PIECES = 8192
+KNOWN_WORDS = 800_000           # looked-up words a task keeps; packing runs beside other stages' memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -54,7 +55,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | None =
         for batch in batches:
             rows: list[tuple] = []
             names = batch.column(0).to_pylist()
-            for name, ids in zip(names, encode_documents(vocabulary, batch.column(1).to_pylist(), end_id)):
+            for name, ids in zip(names, encode_documents(vocabulary, batch.column(1).to_pylist(), end_id, KNOWN_WORDS)):
                 ends = range(len(ids) % size or size, len(ids) + 1, size) if len(ids) > size else [len(ids)]
                 start = 0
                 for k, end in enumerate(ends):

@@ -25,7 +25,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 class WordEncoder:
     """Encodes texts with one tokenizer file; ``encode`` gives the ids of all texts in a row and where each text ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,7 +36,7 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = np.empty(0, np.uint32)
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _learn(self, keys: list[str]) -> None:
         """A word of letters and one closing mark has the ids of its letters and the id of the mark, so only the letters are encoded."""
@@ -46,7 +47,7 @@ class WordEncoder:
         if closed:
             stem = np.fromiter((self.known[w[:-1]] for w in closed), np.int64, len(closed))
             mark = np.fromiter((self.marks[w[-1]] for w in closed), np.uint32, len(closed))
-            size = self.size[stem] + 1
+            size = self.size[stem].astype(np.int64) + 1
             upto = np.cumsum(size)
             place = np.repeat(self.start[stem] - upto + size, size) + np.arange(upto[-1])
             place[upto - 1] = 0
@@ -62,8 +63,8 @@ class WordEncoder:
 
     def _append(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         base = len(self.start)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.pool = np.concatenate([self.pool, flat])
         self.known.update(zip(words, range(base, base + len(words))))
 
@@ -81,7 +82,7 @@ class WordEncoder:
         return [LED + first, *rest]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > MOST_WORDS or len(self.pool) > MOST_IDS:
+        if len(self.known) > self.most_words or len(self.pool) > MOST_IDS:
             self._forget()
         keys: list[str] = []
         ends = np.empty(len(texts), np.int64)
@@ -96,15 +97,15 @@ class WordEncoder:
             self._learn(list(set(missing)))
             code[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
         size = self.size[code]
-        upto = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         place = np.repeat(self.start[code] - upto[:-1], size) + np.arange(upto[-1])
         return self.pool[place], upto[ends]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most_words: int = MOST_WORDS) -> WordEncoder:
     """The encoder of this worker process for a vocabulary file."""
-    return WordEncoder(path)
+    return WordEncoder(path, most_words)
 
 
 def pieces(texts: list[str], most: int = 1 << 20):
@@ -120,9 +121,9 @@ def pieces(texts: list[str], most: int = 1 << 20):
         yield at, texts[at:]
 
 
-def encode_documents(path: str, texts: list[str | None], end_id: int | None = END_ID):
+def encode_documents(path: str, texts: list[str | None], end_id: int | None = END_ID, most_words: int = MOST_WORDS):
     """The ids of each text as uint32 array, ``end_id`` appended; a null text has no other ids."""
-    known = encoder(path)
+    known = encoder(path, most_words)
     for _, group in pieces(texts):
         ids, ends = known.encode([t or "" for t in group])
         begin = 0
