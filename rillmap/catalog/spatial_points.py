@@ -155,11 +155,7 @@ r AS (SELECT a.grp, b.grp AS other, sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.
 SELECT grp, other, round(d,6) AS dist_m, rank FROM r WHERE rank<=3""")
 def _(t):
     c = t.px_points.groupBy("grp").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    other = c.select(F.col("grp").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    near = P.k_nearest(c, other, "grp", "other", 4).where(F.col("grp") != F.col("other"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("grp").orderBy("rank")     # at most four rows per group
-    return near.select("grp", "other", F.round("dist", 6).alias("dist_m"), F.row_number().over(w).cast("bigint").alias("rank")).where("rank<=3")
+    return P.nearest_groups(c, "grp", 3).select("grp", "other", F.round("dist", 6).alias("dist_m"), "rank")
 
 
 @query("score_by_train_distance", """WITH te AS (SELECT pid, x, y, v, v*0.8+100 AS p FROM px_points WHERE region=0), tr AS (SELECT * FROM px_points WHERE region<>0),

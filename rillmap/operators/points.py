@@ -177,6 +177,14 @@ def k_nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, k: int,
     return everyone(points, pid, xy, best, by).select(pid, *by, F.col("_tid").alias(tid), "dist", F.col("rank").cast("bigint").alias("rank"))
 
 
+def nearest_groups(centres: DataFrame, group: str, k: int, xy=("x", "y")) -> DataFrame:
+    """(group, other, dist, rank) of the k groups whose centre is nearest to each group's own."""
+    other = centres.select(F.col(group).alias("other"), F.col(xy[0]).alias("_ox"), F.col(xy[1]).alias("_oy"))
+    near = k_nearest(centres, other, group, "other", k + 1, xy, ("_ox", "_oy")).where(F.col(group) != F.col("other"))
+    own = Window.partitionBy(group).orderBy("rank")     # at most k + 1 rows a group
+    return near.withColumn("rank", F.row_number().over(own).cast("bigint")).where(F.col("rank") <= k)
+
+
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, xy=("x", "y"), txy=("sx", "sy"),
                  residual: Column | None = None) -> DataFrame:
     """All (left, right) rows within ``radius`` that also meet ``residual``; column names must differ between the sides.

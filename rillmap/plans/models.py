@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
@@ -27,19 +27,17 @@ from rillmap.functions.weights import density_ratio, noisy_answer
 from rillmap.operators import metrics as M
 from rillmap.operators import splits as SP
 from rillmap.operators.clean import clip
-from rillmap.operators.ranking import permute, seeded_key
+from rillmap.operators.ranking import permute
 from rillmap.session import cut
 
+MOST_CATEGORIES = 100_000
 Hook = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 @contextmanager
 def kept(df: DataFrame):
-    """A table that several fits read; released when they are done. A table in fewer partitions than there are cores is spread."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A table that several fits read, spread evenly and released when they are done."""
+    df = df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:
@@ -60,26 +58,30 @@ class Inputs:
 
 
 def preprocess(train: DataFrame, inputs: Inputs, scale: bool = False, rare: int = 10) -> list[Transformer | Estimator]:
-    """Stages: median imputation with missing flags, most frequent category, one-hot with rare and unknown ones pooled."""
+    """Stages: exact median imputation with missing flags, most frequent category, one-hot with rare and unknown ones pooled.
+
+    Only categories with at least ``rare`` rows come to the driver; more than ``MOST_CATEGORIES`` of them raise an error.
+    """
     numeric, categorical = list(inputs.numeric), list(inputs.categorical)
     gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*numeric, *categorical]]).first().asDict() if numeric or categorical else {}
     flagged = [c for c in numeric if gaps[c]]
-    casts = [f"CAST({c} AS DOUBLE) AS n_{c}" for c in numeric] + [f"CAST({c} IS NULL AS DOUBLE) AS m_{c}" for c in flagged]
+    medians = {c: M.exact_quantiles(train.where(F.col(c).isNotNull()), c, [0.5])[0] or 0.0 for c in flagged}
+    casts = [f"coalesce(CAST({c} AS DOUBLE), CAST({medians[c]!r} AS DOUBLE)) AS n_{c}" if c in flagged else f"CAST({c} AS DOUBLE) AS n_{c}" for c in numeric] + [f"CAST({c} IS NULL AS DOUBLE) AS m_{c}" for c in flagged]
     stages: list = []
     if categorical:     # all categories with at least ``rare`` rows, counted in one pass
         long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])))
-        common = long.where("v IS NOT NULL").groupBy("c", "v").count().where(F.col("count") >= rare).collect()
+        common = long.where("v IS NOT NULL").groupBy("c", "v").count().where(F.col("count") >= rare).limit(MOST_CATEGORIES + 1).collect()
+        if len(common) > MOST_CATEGORIES:
+            raise ValueError(f"more than {MOST_CATEGORIES} categories")
     for c in categorical:
         labels = [r["v"] for r in sorted((r for r in common if r["c"] == c), key=lambda r: (-r["count"], r["v"]))]
         mode = (labels[0] if labels else "none").replace("'", "''")
         casts.append(f"coalesce(CAST({c} AS STRING), '{mode}') AS s_{c}")
         stages.append(StringIndexerModel.from_labels(labels or ["none"], inputCol=f"s_{c}", outputCol=f"i_{c}", handleInvalid="keep"))
     stages.insert(0, SQLTransformer(statement=f"SELECT *{''.join(', ' + c for c in casts)} FROM __THIS__"))
-    if flagged:
-        stages.append(Imputer(strategy="median", inputCols=[f"n_{c}" for c in flagged], outputCols=[f"f_{c}" for c in flagged]))
     if categorical:
         stages.append(OneHotEncoder(inputCols=[f"i_{c}" for c in categorical], outputCols=[f"o_{c}" for c in categorical], dropLast=False, handleInvalid="keep"))
-    columns = [f"f_{c}" if c in flagged else f"n_{c}" for c in numeric]
+    columns = [f"n_{c}" for c in numeric]
     if scale and columns:
         stages += [VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True)]
         columns = ["_scaled"]
@@ -92,9 +94,9 @@ def maker(kind: str, seed: int = 0, **params) -> Callable[[], Estimator]:
     kinds = {
         "linear": lambda: LinearRegression(regParam=0.0, **params), "ridge": lambda: LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.0, **params}),
         "elasticnet": lambda: LinearRegression(**{"regParam": 0.01, "elasticNetParam": 0.5, **params}),
-        "random_forest": lambda: RandomForestRegressor(**{"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 3, "seed": seed, **params}),
-        "boosted": lambda: GBTRegressor(**{"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.8, "seed": seed, **params}),
-        "classifier": lambda: GBTClassifier(**{"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "seed": seed, **params}),
+        "random_forest": lambda: RandomForestRegressor(**{"numTrees": 300, "maxDepth": 10, "minInstancesPerNode": 3, "seed": seed, **params}),
+        "boosted": lambda: GBTRegressor(**{"maxIter": 500, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": seed, **params}),
+        "classifier": lambda: GBTClassifier(**{"maxIter": 500, "maxDepth": 5, "stepSize": 0.05, "seed": seed, **params}),
     }
     return kinds[kind]
 
@@ -213,6 +215,36 @@ def group_tuning(df: DataFrame, fold: str, folds: int, inputs: Inputs, target: s
     return df.sparkSession.createDataFrame(rows, "params string, mae double").orderBy("mae", "params")
 
 
+# ---- protocols
+
+def scheme_folds(df: DataFrame, scheme: str, rid: str, seed: int, k: int = 5, minimum: int = 150) -> tuple[DataFrame, list]:
+    """``df`` with a ``fold`` column and the folds to hold out. A scheme is "random", "group:<column>" (whole groups) or "leave:<column>" (one group
+    of at least ``minimum`` rows at a time; the rows of smaller groups are only ever trained on)."""
+    how, _, column = scheme.partition(":")
+    if how == "random":
+        return SP.random_kfold(df, rid, k, seed, "fold"), list(range(k))
+    if how == "group":
+        return SP.group_kfold(df, column, k, seed, name="fold"), list(range(k))
+    if how == "leave":
+        large = sorted(g for g, n in SP.group_counts(df, column) if g is not None and n >= minimum)
+        return df.withColumn("fold", F.col(column)), large
+    raise ValueError(scheme)
+
+
+def cross_validate(df: DataFrame, schemes: Sequence[str], seeds: Sequence[int], variants: dict[str, Variant], target: str, rid: str, k: int = 5,
+                   minimum: int = 150, by: str | None = None) -> DataFrame:
+    """(scheme, seed, variant, [by,] n, mae, rmse, r2, ...): out-of-fold metrics of every scheme and seed, ready for ``summarise_runs``. Leaving one group
+    out does not depend on a seed and runs once."""
+    parts = []
+    for scheme in schemes:
+        for seed in seeds if not scheme.startswith("leave") else seeds[:1]:
+            folded, held = scheme_folds(df, scheme, rid, seed, k, minimum)
+            with kept(folded) as d:
+                preds = oof_many(d, "fold", held, variants, target)
+            parts.append(labelled(score_variants(preds, target, list(variants), [by] if by else []), scheme=scheme, seed=seed))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- hooks and stacks
 
 def aux_stack_hook(inputs: Inputs, aux: str, rid: str, group: str, n_inner: int = 3, seed: int = 0, name: str = "aux_p", kind: str = "classifier", **params) -> Hook:
@@ -280,7 +312,7 @@ def top_k_oof(df: DataFrame, fold: str, folds: Sequence[int], numeric: Sequence[
     return cut(reduce(DataFrame.unionByName, parts))
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, groups: dict[str, Sequence[str]], target: str, rid: str, repeats: int = 2, seed: int = 0) -> DataFrame:
+def permutation_importance(df: DataFrame, model: PipelineModel, groups: dict[str, Sequence[str]], target: str, rid: str, repeats: int = 8, seed: int = 0) -> DataFrame:
     """Rise of the mean absolute error when a group of columns is shuffled together: (grp, mae_increase, sd)."""
     base = M.regression_by(predict(model, df, "_p"), target, "_p").first()["mae"]
     runs = []
@@ -323,12 +355,16 @@ def domain_weights(df: DataFrame, domain: str, rid: str, inputs: Inputs, seed: i
     return density_ratio(p.where(F.col(domain) == 0), "_prob", F.lit(float(size.get(0, 0))), F.lit(float(max(size.get(1, 0), 1)))).drop("_prob")
 
 
-def leave_group_out_variants(df: DataFrame, group: str, held: Sequence, near: dict, inputs: Inputs, target: str, rid: str, kind: str = "linear", seed: int = 0, **params) -> DataFrame:
-    """Per held-out group: all other groups pooled, the nearest groups only, their mean, and rows weighted toward the group."""
+def leave_group_out_variants(df: DataFrame, group: str, held: Sequence, near: dict, inputs: Inputs, target: str, rid: str, kind: str = "linear", seed: int = 0,
+                             weight_params: dict | None = None, **params) -> DataFrame:
+    """Per held-out group: all other groups pooled, the nearest groups only, their mean, and rows weighted toward the group.
+
+    ``weight_params`` are the settings of the classifier that gives the weights.
+    """
     parts = []
     for g in held:
-        train, test = df.where(F.col(group) != g), df.where(F.col(group) == g)
-        weights = domain_weights(df.withColumn("_dom", (F.col(group) == g).cast("int")), "_dom", rid, inputs, seed, maxIter=3, maxDepth=2).select(rid, "weight")
+        train, test = df.where(~F.col(group).eqNullSafe(F.lit(g))), df.where(F.col(group) == g)
+        weights = domain_weights(df.withColumn("_dom", (F.col(group) == g).cast("int")), "_dom", rid, inputs, seed, **(weight_params or {})).select(rid, "weight")
         test = predict(fit(train, kind, inputs, target, **params), test, "pooled")
         test = predict(fit(df.where(F.col(group).isin(*near[g])), kind, inputs, target, **params), test, "regional")
         test = predict(fit(train.join(weights, rid), kind, inputs, target, "weight", **params), test, "weighted")
@@ -389,7 +425,3 @@ def score_with_interval(model: PipelineModel, residuals: DataFrame, df: DataFram
 def prediction_table(oof_rows: DataFrame, locked_rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Out-of-fold and held-out predictions in one table with their basis."""
     return oof_rows.select(*columns, F.lit("out of fold").alias("basis")).unionByName(locked_rows.select(*columns, F.lit("held out").alias("basis")))
-
-
-def seeded_part(rid: str, seed: int, share: float) -> Column:
-    return seeded_key(seed, rid) < int(share * 4294967296)

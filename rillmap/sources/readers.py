@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +28,20 @@ _C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "
 _CP1252 = "".join(bytes([ord(c)]).decode("cp1252") for c in _C1)
 
 
-def csv_windows(spark: SparkSession, path: str) -> DataFrame:
+def csv_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Windows-1252 CSV: read as ISO-8859-1, then the 27 characters in which the two differ are replaced."""
     df = csv_strings(spark, path, encoding="ISO-8859-1")
     return df.select(*[F.translate(F.col(f"`{c}`"), _C1, _CP1252).alias(c) for c in df.columns])
 
 
 def csv_with_fallback(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8 CSV; a file with undecodable bytes is read as Windows-1252 instead."""
-    df = csv_strings(spark, path)
-    broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False)) for c in df.columns]), lambda b: b)
-    return csv_windows(spark, path) if df.where(broken).limit(1).count() else df
+    """UTF-8 CSV; each file whose bytes are not valid UTF-8 is read as Windows-1252 instead. Only names of files come to the driver."""
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.bool_and(F.is_valid_utf8("value")).alias("sound")).collect()
+    broken, sound = ([r["f"] for r in files if r["sound"] == ok] for ok in (False, True))
+    if not broken:
+        return csv_strings(spark, path)
+    old = csv_windows(spark, broken)
+    return csv_strings(spark, sound).unionByName(old) if sound else old
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +59,16 @@ def parquet_in(spark: SparkSession, path: str, columns: Sequence[str], key: str,
 
 
 def state_files(spark: SparkSession, folder: str, states: Sequence[str], year: int, keep: dict[str, str]) -> DataFrame:
-    """One delimited text file per state (``NY25.txt``), only the mapped columns, the state from the file name."""
-    paths = [f"{folder.rstrip('/')}/{s}{year % 100:02d}.txt" for s in states]
-    raw = csv_strings(spark, paths)
-    named = raw.select(*[F.col(c).alias(n) for c, n in keep.items()], F.col("_metadata.file_name").alias("_f"))
+    """One delimited text file per state (``NY25.txt``), only the mapped columns, the state from the file name.
+
+    Files are grouped by their header line, so files whose columns stand in another order are read by their own.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for s in states:
+        one = f"{folder.rstrip('/')}/{s}{year % 100:02d}.txt"
+        alike.setdefault(tuple(csv_strings(spark, one).columns), []).append(one)
+    parts = [csv_strings(spark, paths).select(*[F.col(c).alias(n) for c, n in keep.items()], F.col("_metadata.file_name").alias("_f")) for paths in alike.values()]
+    named = reduce(DataFrame.unionByName, parts)
     return named.withColumn("src_state", F.regexp_extract("_f", r"^([A-Za-z]{2})\d{2}\.txt$", 1)).drop("_f")
 
 
@@ -136,8 +146,8 @@ def column_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def ascii_grid(spark: SparkSession, path: str) -> tuple[dict[str, float], DataFrame]:
-    """Grid text to its header and (row_i, col_i, val) cells; rows are numbered by their place in the file."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    """Grid text to its header and (row_i, col_i, val) cells; rows are numbered by their place in the file, files by name."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
     lines = lines.where("line <> ''").withColumn("head", F.col("line").rlike("^[A-Za-z]"))
     header = {r[0].lower(): r[1] for r in lines.where("head").select(
         F.split("line", r"\s+")[0], F.split("line", r"\s+")[1].cast("double")).collect()}    # six lines
@@ -177,6 +187,8 @@ def missing_sources(expected: DataFrame, observed: DataFrame, key: str) -> DataF
 
 def require_sources(expected: DataFrame, observed: DataFrame, key: str) -> None:
     """Refuse to go on while an expected partition is missing."""
-    missing = [r[0] for r in missing_sources(expected, observed, key).orderBy(key).limit(20).collect()]
-    if missing:
-        raise ValueError(f"missing sources: {missing}")
+    missing = missing_sources(expected, observed, key)
+    n = missing.count()
+    if n:
+        shown = [r[0] for r in missing.orderBy(key).limit(20).collect()]
+        raise ValueError(f"{n} missing sources, the first of them {shown}; missing_sources() lists all")

@@ -133,3 +133,26 @@ def test_missing_source_is_refused(spark):
     a, b = spark.createDataFrame([("NY",), ("PA",)], ["st"]), spark.createDataFrame([("NY",)], ["st"])
     with pytest.raises(ValueError, match="PA"):
         RD.require_sources(a, b, "st")
+
+
+def test_encoding_is_decided_per_file(spark, tmp_path):
+    """A Windows-1252 file beside a UTF-8 one, which holds a genuine replacement character."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("k,v\n1,café \ufffd\n".encode())
+    (folder / "b.csv").write_bytes("k,v\n2,café €\n".encode("cp1252"))
+    assert rows(RD.csv_with_fallback(spark, str(folder)), "k") == [("1", "café \ufffd"), ("2", "café €")]
+
+
+def test_state_files_with_other_column_order(spark, tmp_path):
+    (tmp_path / "NY25.txt").write_text("id,len\nn1,5\n")
+    (tmp_path / "PA25.txt").write_text("len,id\n7,p1\n")
+    got = rows(RD.state_files(spark, str(tmp_path), ["NY", "PA"], 2025, {"id": "i", "len": "l"}).select("i", "l", "src_state"), "i")
+    assert got == [("n1", "5", "NY"), ("p1", "7", "PA")]
+
+
+def test_protocol_runs_every_scheme(df):
+    runs = ML.cross_validate(df, ["random", "group:huc", "leave:st"], [0, 1], {"flat": ML.Variant("mean", ML.Inputs(["x"])), "line": ML.Variant("linear", ML.Inputs(["x"]))}, "y", "id", 3, 100)
+    got = {(r["scheme"], r["seed"], r["variant"]): r for r in runs.collect()}
+    assert len(got) == 10 and all(r["n"] == 600 for r in got.values())
+    assert all(got[s, i, "line"]["mae"] < got[s, i, "flat"]["mae"] for s, i, _ in got)
