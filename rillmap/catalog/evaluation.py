@@ -125,9 +125,9 @@ def _(t):
     return rounded(M.summarise_runs(runs(t).where("variant='p'"), "r2", ["st"]), "st", "n_runs")
 
 
-@query("paired_gain", f"WITH {RUNS} SELECT count(*) AS n_runs, round(avg(r2-r0),6) AS mean_gain, round(stddev_samp(r2-r0),6) AS sd_gain, count(CASE WHEN r2>r0 THEN 1 END) AS wins FROM runs WHERE st=3")
+@query("paired_gain", f"WITH {RUNS} SELECT st, count(*) AS n_runs, round(avg(r2-r0),6) AS mean_gain, round(stddev_samp(r2-r0),6) AS sd_gain, count(CASE WHEN r2>r0 THEN 1 END) AS wins FROM runs GROUP BY st")
 def _(t):
-    return rounded(M.paired_gain(runs(t).where("st=3"), "run", "variant", "r2", "p0", "p"), "n_runs", "wins")
+    return rounded(M.paired_gain(runs(t), "run", "variant", "r2", "p0", "p", ["st"]), "st", "n_runs", "wins")
 
 
 @query("within_tolerance", "SELECT count(*) AS n, round(avg(CASE WHEN abs(p-y)<=0.05+1e-9 THEN 1.0 ELSE 0.0 END),6) AS within_005, round(avg(CASE WHEN abs(p-y)<=0.1+1e-9 THEN 1.0 ELSE 0.0 END),6) AS within_010, round(avg(CASE WHEN abs(p-y)<=0.2+1e-9 THEN 1.0 ELSE 0.0 END),6) AS within_020 FROM px_preds")

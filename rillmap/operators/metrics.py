@@ -211,12 +211,12 @@ def summarise_runs(df: DataFrame, metric: str, by: Sequence[str]) -> DataFrame:
                                F.stddev_samp(metric).alias("sd_samp"))
 
 
-def paired_gain(df: DataFrame, run: str, variant: str, metric: str, base: str, other: str) -> DataFrame:
-    """Per-run difference of two variants: mean, sample sd and number of wins."""
-    wide = df.groupBy(run).agg(F.max(F.when(F.col(variant) == base, F.col(metric))).alias("_a"),
-                               F.max(F.when(F.col(variant) == other, F.col(metric))).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+def paired_gain(df: DataFrame, run: str, variant: str, metric: str, base: str, other: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per-run difference of two variants, per group if asked for: mean, sample sd and number of wins."""
+    wide = df.groupBy(*by, run).agg(F.max(F.when(F.col(variant) == base, F.col(metric))).alias("_a"),
+                                    F.max(F.when(F.col(variant) == other, F.col(metric))).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
     d = F.col("_b") - F.col("_a")
-    return wide.agg(F.count("*").alias("n_runs"), F.avg(d).alias("mean_gain"), F.stddev_samp(d).alias("sd_gain"), F.count_if(d > 0).alias("wins"))
+    return wide.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg(d).alias("mean_gain"), F.stddev_samp(d).alias("sd_gain"), F.count_if(d > 0).alias("wins"))
 
 
 def crosstab_overlap(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -16,19 +16,21 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: StructType, sink
 
 
 def ingest_distinct(spark: SparkSession, landing: str, schema: StructType, sink: str, checkpoint: str, key: str, order: list[str], fmt: str = "parquet",
-                    per_trigger: int = 1000) -> None:
+                    per_trigger: int = 1000, buckets: int = 64) -> None:
     """As above, keeping each key once over all batches.
 
     A batch is written under its own number and compared with the other batches only, so a batch that is run again after a
-    failure replaces its own output. The known keys live in the sink and not in stream state, which would grow without end.
+    failure replaces its own output. The known keys live in the sink and not in stream state, which would grow without end; the
+    sink is partitioned by a hash of the key, and a batch reads the key column of the buckets that its own keys fall in.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = keep_best(batch, [key], order)
+        fresh = keep_best(batch, [key], order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         if exists(spark, sink):
-            known = spark.read.parquet(sink).where(F.col("batch") != number).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]        # at most ``buckets`` numbers
+            known = spark.read.parquet(sink).where((F.col("batch") != number) & F.col("bucket").isin(touched)).select("bucket", key)
+            fresh = fresh.join(known, ["bucket", key], "left_anti")
+        fresh.write.partitionBy("bucket").mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(landing)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
