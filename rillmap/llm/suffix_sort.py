@@ -59,20 +59,23 @@ def _resolve(group: np.ndarray, at: np.ndarray, sample: Sample) -> np.ndarray:
     top = int(sample.rank.max()) + 2
     remainder = at % PERIOD
     rows = [np.flatnonzero(remainder == r) for r in range(PERIOD)]
-    held: dict[tuple[int, int], np.ndarray] = {}
+    begins = [np.concatenate([[0], np.cumsum(np.bincount(group[r], minlength=int(group.max()) + 1))]) for r in rows]     # of each group among a remainder
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def keys(r: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(group, sample rank at the step) of a remainder's positions as sorted numbers, and the positions in that order."""
+        if (r, step) not in held:
+            key = group[rows[r]] * top + sample.rank[at[rows[r]] + step]
+            order = np.argsort(key)
+            held[r, step] = key[order], rows[r][order]
+        return held[r, step]
+
     below = np.zeros(len(at), np.int64)
     for a in range(PERIOD):
-        if not len(rows[a]):
-            continue
-        floor = group[rows[a]] * top
         for b in range(PERIOD):
-            if not len(rows[b]):
-                continue
-            step = STEP[a][b]
-            if (b, step) not in held:
-                held[b, step] = np.sort(group[rows[b]] * top + sample.rank[at[rows[b]] + step])
-            other = held[b, step]
-            below[rows[a]] += np.searchsorted(other, floor + sample.rank[at[rows[a]] + step]) - np.searchsorted(other, floor)
+            if len(rows[a]) and len(rows[b]):
+                own, where = keys(a, STEP[a][b])
+                below[where] += np.searchsorted(keys(b, STEP[a][b])[0], own) - begins[b][group[where]]
     return np.lexsort((at, below, group))
 
 
