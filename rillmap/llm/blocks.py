@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
@@ -61,12 +62,11 @@ class Blocks:
     """The written blocks of ``docs`` (doc_id, text): rows without ``doc_id`` are left out, a null text is empty."""
 
     def __init__(self, docs: DataFrame):
-        from rillmap.llm.token_files import _arrow_schema
         self.spark = docs.sparkSession
         docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.buckets = max(1, math.ceil(total / BLOCK_BYTES))
-        schema = _arrow_schema(ROWS, self.spark)
+        schema = arrow_schema(ROWS)
 
         def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts, size, seq = [], [], 0, 0
@@ -119,9 +119,8 @@ class Blocks:
 
     def settle(self, sent: DataFrame, answer: Callable[[pa.Table], list[bytes]]) -> DataFrame:
         """Group what was sent by bucket, let ``answer`` give the flags of each row, and write (block, bucket, flags)."""
-        from rillmap.llm.token_files import _arrow_schema
         out = "block long, bucket int, flags binary"
-        schema = _arrow_schema(out, self.spark)
+        schema = arrow_schema(out)
 
         def one(rows: pa.Table) -> pa.Table:
             return pa.table([rows["block"], rows["bucket"], pa.array(answer(rows), pa.binary())], schema=schema)

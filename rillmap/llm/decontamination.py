@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.fm_index import FMIndex
 from rillmap.llm.tokens import pieces
 
@@ -109,12 +110,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _pass(docs: DataFrame, phrases: Phrases, keep: list[str]) -> DataFrame:
-    from rillmap.llm.token_files import _arrow_schema
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     seen = "word_spans" in docs.columns
     types = dict(docs.dtypes)
     ddl = ", ".join([*(f"`{n}` {types[n]}" for n in keep), FOUND])
-    schema = _arrow_schema(ddl, docs.sparkSession)
+    schema = arrow_schema(ddl)
     names = docs.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.tokens import pieces
 
 BUCKETS = 1 << 16
@@ -112,11 +113,10 @@ def train(docs: DataFrame, rows_per_label: int = TRAIN_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (posterior probability of the predicted label)."""
-    from rillmap.llm.token_files import _arrow_schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     ddl = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "lang_pred string, score double"])
-    schema = _arrow_schema(ddl, docs.sparkSession)
+    schema = arrow_schema(ddl)
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.session import scratch_path
 
 TREE_ROWS = 16_384
@@ -128,8 +129,7 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 def write_trees(vectors: DataFrame, path: str) -> None:
     """Bulk-load trees from (vec_id, v) rows where they lie and write them under ``path``."""
-    from rillmap.llm.token_files import _arrow_schema
-    schema = _arrow_schema(TREES, vectors.sparkSession)
+    schema = arrow_schema(TREES)
 
     def tree(ids: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
         top, pages = build(np.concatenate(ids), np.concatenate(parts))
@@ -158,11 +158,10 @@ def write_trees(vectors: DataFrame, path: str) -> None:
 
 def top_k(queries: DataFrame, path: str, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best ``k`` vectors of the trees under ``path`` for each query (vec_id, v)."""
-    from rillmap.llm.token_files import _arrow_schema
     spark = queries.sparkSession
     trees = spark.read.parquet(path)
     lanes = max(1, trees.select("dim").count())
-    schema = _arrow_schema(HITS, spark)
+    schema = arrow_schema(HITS)
     trees = trees.withColumn("lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)))
     asked = queries.select("vec_id", "v").distinct()
     size = max(1, math.ceil(queries.count() / QUERY_BLOCK))

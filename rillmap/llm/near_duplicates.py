@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.components import components
 from rillmap.llm.hashing import Rolling, mix, ragged, word_hashes
 from rillmap.session import cut
@@ -58,9 +59,8 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[tuple
 
 def signatures(docs: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
     """(doc_id, h1, h2, n, labels): the fingerprint and size of each shingle set, and its prefix in every trie."""
-    from rillmap.llm.token_files import _arrow_schema
     ddl = "doc_id long, h1 long, h2 long, n long, labels array<long>"
-    schema = _arrow_schema(ddl, docs.sparkSession)
+    schema = arrow_schema(ddl)
     depth = matching_depth(threshold)
     rng = np.random.default_rng(13)
     seeds = rng.integers(0, 1 << 63, TREES * depth, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, TREES * depth, dtype=np.uint64)
@@ -151,9 +151,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     members = (clusters.join(sizes, "component").withColumn("parts", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
                .join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node"))
     ddl = "component long, i long, j long, node long, block long, copies long, shingles binary"
-    from rillmap.llm.token_files import _arrow_schema
-    schema, found = _arrow_schema(ddl, docs.sparkSession), "node long, links long, name long"
-    out_schema = _arrow_schema(found, docs.sparkSession)
+    schema, found = arrow_schema(ddl), "node long, links long, name long"
+    out_schema = arrow_schema(found)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

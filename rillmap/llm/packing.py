@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.tokens import END_ID, crc32, encode_documents
 from rillmap.session import scratch_path
 
 GROUP_PIECES = 8192
-KNOWN_WORDS = 800_000           # looked-up words a task keeps; packing runs beside other stages' memory
+KNOWN_WORDS = 800_000         # looked-up words a task keeps; packing runs beside other stages' memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -47,9 +48,8 @@ class Capacity:
 
 def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of every document; ``with_ids`` adds the ids as little-endian unsigned 32-bit integers."""
-    from rillmap.llm.token_files import _arrow_schema
     ddl = PIECES + (", ids binary" if with_ids else "")
-    schema = _arrow_schema(ddl, docs.sparkSession)
+    schema = arrow_schema(ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

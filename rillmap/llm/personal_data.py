@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
+
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
 TRAIN_REGIONS = 150
@@ -298,12 +300,11 @@ def all_spans(text: str, weights: np.ndarray | None) -> tuple[list[Span], list[S
 
 def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (with text) and ``base``, ``spans``: arrays of (kind, start, stop)."""
-    from rillmap.llm.token_files import _arrow_schema
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     types, names = dict(docs.dtypes), docs.columns
     span = "array<struct<kind: string, start: long, stop: long>>"
     ddl = ", ".join([*(f"`{n}` {types[n]}" for n in keep), f"base {span}, spans {span}"])
-    schema = _arrow_schema(ddl, docs.sparkSession)
+    schema = arrow_schema(ddl)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

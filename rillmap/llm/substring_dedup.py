@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.blocks import ENTRIES, KEYS, Block, Blocks, census, distinct_entries, distinct_keys, earlier, send_entries, send_keys, sliding_min
 from rillmap.llm.hashing import Rolling, mix, ragged, word_edges
 
@@ -126,12 +127,11 @@ def _entries(block: Block):
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of ``docs`` (doc_id, text) and, ``with_text``, the kept words joined by one blank."""
-    from rillmap.llm.token_files import _arrow_schema
     spark = docs.sparkSession
     blocks = Blocks(docs)
     n = blocks.buckets
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    key_schema, entry_schema, out_schema = (_arrow_schema(s, spark) for s in (KEYS, ENTRIES, out))
+    key_schema, entry_schema, out_schema = (arrow_schema(s) for s in (KEYS, ENTRIES, out))
 
     def send_symbols(block: Block) -> Iterator[pa.RecordBatch]:
         yield send_keys(block.number, _symbols(block)[0], n, key_schema)

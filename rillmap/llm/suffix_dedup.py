@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.blocks import ENTRIES, KEYS, Block, Blocks, bucket_edges, census, distinct_entries, distinct_keys, earlier, joined, send_entries, send_keys, sliding_min
 from rillmap.llm.hashing import Rolling, mix, ragged
 from rillmap.llm.suffix_sort import equal_windows
@@ -146,12 +147,11 @@ def _sort(rows: pa.Table) -> list[bytes]:
 
 def dedup_suffixes(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``docs`` (doc_id, text) and, ``with_text``, the kept bytes."""
-    from rillmap.llm.token_files import _arrow_schema
     spark = docs.sparkSession
     blocks = Blocks(docs)
     n = blocks.buckets
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    key_schema, entry_schema, stretch_schema, out_schema = (_arrow_schema(s, spark) for s in (KEYS, ENTRIES, STRETCHES, out))
+    key_schema, entry_schema, stretch_schema, out_schema = (arrow_schema(s) for s in (KEYS, ENTRIES, STRETCHES, out))
 
     def send_grams(block: Block) -> Iterator[pa.RecordBatch]:
         yield send_keys(block.number, _grams(block, _runs(block, False))[0], n, key_schema)

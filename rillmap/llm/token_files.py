@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillmap.llm.arrow import arrow_schema
 from rillmap.llm.tokens import END_ID, crc32, encode_documents
 from rillmap.session import scratch_path
 
@@ -83,15 +84,9 @@ def _segment(seq: int, ids: list[np.ndarray], doc_ids: list[int | None]) -> dict
             "doc_sizes": np.asarray([len(x) for x in ids], "<i8").tobytes(), "levels": DirectCodes.encode(np.concatenate(ids)).to_row()}
 
 
-def _arrow_schema(text: str, spark: SparkSession) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    return to_arrow_schema(StructType.fromDDL(text))
-
-
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_ID) -> None:
     """Encode ``docs`` (doc_id, text; other columns are not read) and write segments in ascending ``doc_id`` order under ``path``."""
-    schema = _arrow_schema(FILE_SCHEMA, docs.sparkSession)
+    schema = arrow_schema(FILE_SCHEMA)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, held, owners, size = 0, [], [], 0
@@ -120,7 +115,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("seq_start")).join(parts, "part")
     out = "part int, seq long, doc_id long, place long, n_tokens long, ids_crc32 long"
-    schema = _arrow_schema(out, spark)
+    schema = arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +136,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """Random access: ``places`` (part, seq, place) joined to its segment's codes; returns the id at each place without decoding others."""
     out = "part int, seq long, place long, token_id long"
-    schema = _arrow_schema(out, spark)
+    schema = arrow_schema(out)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
