@@ -25,7 +25,7 @@ from rillmap.llm.tokens import END_ID, crc32, encode_documents
 from rillmap.session import scratch_path
 
 GROUP_PIECES = 8192
-KNOWN_WORDS = 800_000         # looked-up words a task keeps; packing runs beside other stages' memory
+KNOWN_WORDS = 1_200_000         # looked-up words a task keeps; packing runs beside other stages' memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
