@@ -14,7 +14,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-MOST_WORDS, MOST_IDS = 1_500_000, 16_000_000
+MOST_WORDS, MOST_IDS = 2_000_000, 16_000_000
 CLOSING = ".,;:!?"
 END_ID = 2
 LED = "\n"
