@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillmap.llm.decontamination import contaminated, find_contamination
 from rillmap.llm.language import UNKNOWN, identify_language
-from rillmap.llm.line_dedup import dedup_lines
+from rillmap.llm.line_dedup import MIN_LINES, MIN_WORDS, dedup_lines
 from rillmap.llm.near_duplicates import near_duplicates
 from rillmap.llm.packing import best_fit_packing
 from rillmap.llm.queries import table, vocabulary
@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are deleted; a document with nothing left leaves."""
-    found = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    """Later copies of line runs and of single long lines are deleted; a document with nothing left leaves."""
+    found = dedup_lines(docs, MIN_LINES, MIN_WORDS).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 

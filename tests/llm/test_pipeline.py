@@ -65,3 +65,12 @@ def test_empty(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert pipeline.run(spark, folder).count() == 0
+
+
+def test_long_lines_leave(spark, tmp_path):
+    """An exact copy of a one-line document leaves in the stage line_dedup, and so does a long line between lines of its own."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, long), (1, long), (3, f"a\n{long}\nb"), (4, "short line"), (5, "short line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: long, 3: "a\nb", 4: "short line", 5: "short line"}

@@ -91,6 +91,34 @@ def test_lines(docs, size):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("size", [2, 3])
+def test_long_lines(spark, size):
+    """One line of min_words words is a run of its own, whatever stands around it; one word less is not."""
+    long, short = " ".join(f"w{i}" for i in range(50)), "\t ".join(f"v{i}" for i in range(49))
+    rows = [(5, long), (3, long), (3, long), (4, f"own {long}"), (6, f"a\n{long}\nb"), (7, f"c\n{long}\n{long}\nd"), (8, short), (9, short), (10, f"e\n{short}\nf"), (11, "x" * 400), (12, "x" * 400),
+            (13, f"{short}\ta\ne"), (14, f"g\n{short}\ta\nh"), (15, f"p\nq\nr\n{long}"), (16, f"p\nq\nr\n{long}\ns"), (None, long), (17, None), (18, "")]
+    first = {}
+    for d, t in sorted({r for r in rows if None not in r}):
+        lines = t.split("\n")
+        for j in range(len(lines)):
+            for n in {1, size}:
+                first.setdefault(tuple(lines[j:j + n]), (d, j))
+    want = []
+    for d, t in rows:
+        lines = [] if t is None else t.split("\n")
+        gone = [False] * len(lines)
+        for j in range(len(lines) if d is not None else 0):
+            for n in (1, size):
+                if j + n <= len(lines) and (n == size or len(lines[j].split()) >= 50) and first[tuple(lines[j:j + n])] < (d, j):
+                    gone[j:j + n] = [True] * n
+        kept = None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g)
+        want.append((d, len(lines), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in dedup_lines(docs, size, 50).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {d: n for d, _, n, _, _ in got if d in (5, 6, 7, 9, 12, 14)} == {5: 1, 6: 1, 7: 2, 9: 0, 12: 0, 14: 1}
+
+
 def test_empty_tables(no_docs):
     assert dedup_substrings(no_docs).count() == dedup_suffixes(no_docs).count() == dedup_lines(no_docs).count() == 0
 
