@@ -275,9 +275,8 @@ def train(docs: DataFrame) -> np.ndarray | None:
             best = sorted(found)[:TRAIN_REGIONS]
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.binary()), pa.array([found[k] for k in best], pa.string())], names=["key", "own"])
 
-    rows = docs.select("text").mapInArrow(sample, "key binary, own string").orderBy("key").limit(2 * TRAIN_REGIONS).collect()
-    texts = sorted({(bytes(r["key"]), r["own"]) for r in rows})[:TRAIN_REGIONS]
-    examples = [(own, base_spans(own)) for _, own in texts]
+    found = docs.select("text").mapInArrow(sample, "key binary, own string").groupBy("key").agg(F.min("own").alias("own"))      # a copied stretch counts once
+    examples = [(r["own"], base_spans(r["own"])) for r in found.orderBy("key").limit(TRAIN_REGIONS).collect()]
     return fit(examples + [x for own, spans in examples for x in _rewritten(own, spans)])
 
 

@@ -66,6 +66,19 @@ def test_base_spans_stay_linear():
         assert isinstance(base_spans(text), list)
 
 
+def test_training_sample_ignores_copies(spark, monkeypatch):
+    """Copies of one stretch in many batches take no places of others in the sample."""
+    from pyspark.sql import functions as F
+    from rillmap.llm import personal_data
+    monkeypatch.setattr(personal_data, "TRAIN_REGIONS", 5)
+    docs = spark.createDataFrame([(f"write to user{i}.x@mail{i}.example.com or call +1 (555) 010-{1000 + i} today",) for i in range(12)], "text string")
+    seen = []
+    monkeypatch.setattr(personal_data, "fit", lambda examples: seen.append(examples))
+    train_spans(docs.coalesce(1))
+    train_spans(docs.crossJoin(spark.range(40)).repartition(40, F.col("id")))
+    assert seen[0] == seen[1] and len({t for t, _ in seen[0]}) > 5
+
+
 def test_personal_data(spark, no_docs):
     texts = [f"write to user{i}.x@mail{i}.example.com or call +1 (555) 010-{1000 + i} today" for i in range(30)] + ["host 10.0.3.7 pays 4111 1111 1111 1111 now"] * 3
     rows = [(i, t) for i, t in enumerate(texts)] + [(90, None), (91, ""), (92, "only (555) 010-7777 here"), (93, "clean words and 12 cats"), (None, "10.1.1.1")]
