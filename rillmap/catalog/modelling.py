@@ -168,6 +168,16 @@ def _(t):
     return m.where("variant = 'base'").select("variant", "n", F.round("mae", 6).alias("mae"), (F.col("r2") > 0).alias("beats_mean"))
 
 
+@query("residual_stack_stacked", f"""{D}, {one('b', 'f_signal')}, e AS (SELECT *, y-p AS resid FROM b), e_f AS (SELECT k, regr_slope(resid,f_tax) AS b2, regr_intercept(resid,f_tax) AS a2 FROM e JOIN ks ON fold<>k GROUP BY k),
+s AS (SELECT y, greatest(0.0, least(1.0, p+a2+b2*f_tax)) AS p FROM e JOIN e_f ON k=fold)
+SELECT 'base' AS variant, {MET.split(', round(sqrt')[0]}, TRUE AS beats_mean FROM b UNION ALL SELECT 'stacked', {MET.split(', round(sqrt')[0]}, TRUE FROM s""")
+def _(t):
+    """Both rows of the stack; ``residual_stack`` has the base alone."""
+    with ML.kept(table(t)) as d:
+        s = ML.residual_stack(d, "fold", FOLDS, SIGNAL, ML.Inputs(["f_tax"]), "y", "linear")
+    return ML.score_variants(s, "y", ["base", "stacked"]).select("variant", "n", F.round("mae", 6).alias("mae"), (F.col("r2") > 0).alias("beats_mean"))
+
+
 @query("ablation_table", f"""{D}, {two('every', 'f_price', 'f_signal')}, {one('price', 'f_price')}, {one('signal', 'f_signal')}, {two('tp', 'f_tax', 'f_price')}, {two('ts', 'f_tax', 'f_signal')}
 SELECT 'all' AS variant, {MET} FROM every UNION ALL SELECT 'drop_price', {MET} FROM signal UNION ALL SELECT 'only_price', {MET} FROM price UNION ALL SELECT 'add_price', {MET} FROM tp
 UNION ALL SELECT 'drop_signal', {MET} FROM price UNION ALL SELECT 'only_signal', {MET} FROM signal UNION ALL SELECT 'add_signal', {MET} FROM ts""")
@@ -197,13 +207,7 @@ def _(t):
         return w.groupBy("st").agg(F.count("*").alias("n"), F.bool_and(F.col("weight") > 0).alias("in_bounds")).withColumn("mean_all", whole)
 
 
-@query("leave_state_out_variants", f"""WITH d AS (SELECT *, st AS fold FROM ({BASE}) b), ks AS (SELECT DISTINCT fold AS k FROM d), {one('pooled', 'f_signal')},
-c AS (SELECT st, avg(f_price) AS cx FROM d GROUP BY st), near AS (SELECT * FROM (SELECT a.st AS k, b.st AS other, row_number() OVER (PARTITION BY a.st ORDER BY abs(a.cx-b.cx), b.st) AS rn FROM c a JOIN c b ON a.st<>b.st) q WHERE rn<=3),
-rf AS (SELECT k, regr_slope(y,f_signal) AS b, regr_intercept(y,f_signal) AS a FROM d JOIN near ON d.st=other GROUP BY k),
-v AS (SELECT pooled.st, y, p AS pp, a+b*f_signal AS pr, (p+a+b*f_signal)/2 AS pe FROM pooled JOIN rf ON k=fold),
-m AS (SELECT st, 1-sum((pp-y)*(pp-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS rp, 1-sum((pr-y)*(pr-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS rr, 1-sum((pe-y)*(pe-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS re FROM v GROUP BY st HAVING count(*)>=300)
-SELECT 'regional' AS variant, count(*) AS groups, round(avg(rr),6) AS mean_r2, count(CASE WHEN rr>rp THEN 1 END) AS wins FROM m UNION ALL SELECT 'ensemble', count(*), round(avg(re),6), count(CASE WHEN re>rp THEN 1 END) FROM m""")
-def _(t):
+def left_out(t):
     """States are placed by their mean price; the nearest three are each state's region."""
     rows = t.sql(BASE)
     centres = rows.groupBy("st").agg(F.avg("f_price").alias("x"), F.lit(0.0).alias("y"))
@@ -212,8 +216,23 @@ def _(t):
     for r in found:
         near.setdefault(r["st"], []).append(r["other"])
     with ML.kept(rows) as d:
-        o = ML.leave_group_out_variants(d, "st", sorted(near), near, SIGNAL, "y", "rid", weight_params=dict(maxIter=3, maxDepth=2))
-    return r6(ML.win_table(o, "st", "y", "pooled", ["regional", "ensemble"]), "variant", "groups", "wins")
+        return ML.leave_group_out_variants(d, "st", sorted(near), near, SIGNAL, "y", "rid", weight_params=ROUNDS)
+
+
+@query("leave_state_out_variants", f"""WITH d AS (SELECT *, st AS fold FROM ({BASE}) b), ks AS (SELECT DISTINCT fold AS k FROM d), {one('pooled', 'f_signal')},
+c AS (SELECT st, avg(f_price) AS cx FROM d GROUP BY st), near AS (SELECT * FROM (SELECT a.st AS k, b.st AS other, row_number() OVER (PARTITION BY a.st ORDER BY abs(a.cx-b.cx), b.st) AS rn FROM c a JOIN c b ON a.st<>b.st) q WHERE rn<=3),
+rf AS (SELECT k, regr_slope(y,f_signal) AS b, regr_intercept(y,f_signal) AS a FROM d JOIN near ON d.st=other GROUP BY k),
+v AS (SELECT pooled.st, y, p AS pp, a+b*f_signal AS pr, (p+a+b*f_signal)/2 AS pe FROM pooled JOIN rf ON k=fold),
+m AS (SELECT st, 1-sum((pp-y)*(pp-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS rp, 1-sum((pr-y)*(pr-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS rr, 1-sum((pe-y)*(pe-y))/(sum(y*y)-sum(y)*sum(y)/count(*)) AS re FROM v GROUP BY st HAVING count(*)>=300)
+SELECT 'regional' AS variant, count(*) AS groups, round(avg(rr),6) AS mean_r2, count(CASE WHEN rr>rp THEN 1 END) AS wins FROM m UNION ALL SELECT 'ensemble', count(*), round(avg(re),6), count(CASE WHEN re>rp THEN 1 END) FROM m""")
+def _(t):
+    return r6(ML.win_table(left_out(t), "st", "y", "pooled", ["regional", "ensemble"]), "variant", "groups", "wins")
+
+
+@query("leave_state_out_weighted", f"SELECT st, count(*) AS n, TRUE AS in_bounds, TRUE AS beats_mean FROM ({BASE}) b GROUP BY st")
+def _(t):
+    """The variant that weights rows toward the state; its weights come from boosted trees, which have no closed form."""
+    return beats(left_out(t), "st", p="weighted")
 
 
 @query("per_group_models", f"""{D.replace("d AS (SELECT b.*, f.fold", "d AS (SELECT b.*, f.fold, CAST(floor(st/3.0) AS INT) AS region")}, {one('pooled', 'f_signal')},

@@ -156,3 +156,10 @@ def test_protocol_runs_every_scheme(df):
     got = {(r["scheme"], r["seed"], r["variant"]): r for r in runs.collect()}
     assert len(got) == 10 and all(r["n"] == 600 for r in got.values())
     assert all(got[s, i, "line"]["mae"] < got[s, i, "flat"]["mae"] for s, i, _ in got)
+
+
+def test_stacked_rows_are_returned(spark):
+    from rillmap.catalog import ORACLES, QUERIES
+    got = {r["variant"]: r for r in QUERIES["residual_stack_stacked"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"base", "stacked"} and got["base"]["n"] == got["stacked"]["n"] > 0 and got["stacked"]["beats_mean"]
+    assert {"residual_stack_stacked", "leave_state_out_weighted"} <= set(QUERIES) & set(ORACLES)
