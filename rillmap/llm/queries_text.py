@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmap.llm.prefix_trie import rebuild, trie, turn_ids
 from rillmap.llm.queries import query, table
 from rillmap.llm.spelling import occurrences, runs, shortened, spelling_variants
 
@@ -33,3 +34,26 @@ SELECT f.word, f.form, t.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.f
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     found = runs(table(spark, folder, "documents").select("doc_id", "text"))
     return spelling_variants(occurrences(found.select(shortened(F.col("doc_id"), F.col("run")).alias("word"))))
+
+
+@query("op11_prefix_trie", f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, {{'r': role, 't': text}} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) - 1 AS pos FROM o),
+c AS (SELECT conv_id, count(*) AS n, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h, conv_id - conv_id % 100 AS source FROM n GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(s.n, 0)) AS lent FROM c LEFT JOIN c s ON c.source = s.conv_id),
+b AS (SELECT k.conv_id, n.pos, n.x FROM k JOIN n ON n.conv_id = k.source AND n.pos < k.h
+      UNION ALL SELECT k.conv_id, n.pos - k.h + k.lent, n.x FROM k JOIN n ON n.conv_id = k.conv_id AND n.pos >= k.h),
+l AS (SELECT k.conv_id, coalesce(list(b.x ORDER BY b.pos) FILTER (WHERE b.pos IS NOT NULL), []) AS xs FROM k LEFT JOIN b ON k.conv_id = b.conv_id GROUP BY k.conv_id),
+e AS (SELECT conv_id, xs, unnest(range(0, len(xs) + 1)) AS depth FROM l),
+g AS (SELECT depth, xs[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(xs) = depth) AS ends
+        FROM e GROUP BY depth, xs[1:depth]),
+p AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+q AS (SELECT g.*, coalesce(p.n_children, 0) AS n_children, a.conv_id AS parent_conv_id, CASE WHEN g.depth = 0 THEN 0 ELSE (g.n_convs - 1) * length(g.path[g.depth].t) END AS w
+        FROM g LEFT JOIN p ON g.depth = p.depth AND g.path = p.path LEFT JOIN g a ON a.depth = g.depth - 1 AND a.path = g.path[1:g.depth - 1]),
+u AS (SELECT path[1:up] AS path, up AS depth, w, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM q)),
+z AS (SELECT depth, path, sum(w) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM u GROUP BY ALL)
+SELECT q.conv_id, CAST(q.depth AS BIGINT) AS depth, q.parent_conv_id, CAST(q.n_convs AS BIGINT) AS n_convs, CAST(q.n_children AS BIGINT) AS n_children,
+       CAST(z.leaves AS BIGINT) AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, sha256(coalesce(q.ends, '')) AS ends_sha256
+  FROM q JOIN z ON q.depth = z.depth AND q.path = z.path""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return trie(rebuild(turn_ids(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")))).drop("tid")
