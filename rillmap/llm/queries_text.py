@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillmap.llm.prefix_trie import rebuild, trie, turn_ids
 from rillmap.llm.queries import query, table
+from rillmap.llm.sketch_join import sketch_components
 from rillmap.llm.spelling import occurrences, runs, shortened, spelling_variants
 
 _LETTERS = "".join(map(chr, range(0xC0, 0x100)))
@@ -57,3 +58,16 @@ SELECT q.conv_id, CAST(q.depth AS BIGINT) AS depth, q.parent_conv_id, CAST(q.n_c
   FROM q JOIN z ON q.depth = z.depth AND q.path = z.path""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return trie(rebuild(turn_ids(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")))).drop("tid")
+
+
+@query("op13_sketch_components", """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS shingle FROM w),
+n AS (SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x.a, x.b FROM x JOIN n p ON x.a = p.doc_id JOIN n q ON x.b = q.doc_id WHERE 100 * x.shared >= 80 * (p.n + q.n - x.shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT l.b, r.reached FROM r JOIN l ON r.doc_id = l.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch_components(table(spark, folder, "documents").select("doc_id", "text"))
