@@ -9,9 +9,11 @@ consecutive retained values: unrelated documents do not share those, however com
 into their sketches always share such a run, since at most a fifth of their union separates the shared values (two values for sets of at most five);
 of larger ones about 1 pair in 10^10 does not (``percent`` below 80 finds less). The members of a list are first compared with its smallest member only, so a list of any length costs
 one row a member. The overlap of two sketches among the ``K`` smallest values of their union estimates the similarity; pairs ``MARGIN`` below the threshold
-go, the others are verified on their full sets. Lists whose members are not yet in one component after that are taken once more, all members
-against all, in blocks of ``BLOCK``; lists of equal members are taken once. A block task sees members of different components only and gives a spanning forest of
-its links, so no task holds or sends more than a block. The components of all verified links name the documents.
+go, the others are verified on their full sets. Lists whose members are not yet in one component after that are open. Open lists of at most ``SHORT`` members give
+all their pairs of different components, which are estimated and verified alike. Longer ones come from a passage that many texts hold. Two near sets share
+``COVER`` lists or more (all but 1 pair in 10^8), so a class that stands in fewer long open lists meets each of its near sets in another list. The remaining
+classes are compared with each other, inside groups that long lists connect, by size (each with its own and the next band of sizes) and in blocks of ``BLOCK``; a
+block gives a spanning forest of its links. The components of all verified links name the documents.
 
 Texts without words and null texts have an empty set and stay alone. Rows without ``doc_id`` come back with a null component and are kept. Rows that share
 a ``doc_id`` are judged each by its own text. An empty table has no rows.
@@ -35,7 +37,9 @@ SHINGLE = 2
 PERCENT = 80                    # shared shingles of a link, in hundredths of the union
 K, RUN = 64, 3
 MARGIN = 0.25                   # five standard deviations of the estimate at 0.8
-BLOCK, STAR = 64, 64            # members of a block, members compared with one centre in a task
+BLOCK, STAR = 512, 64           # members of two blocks, members compared with one centre in a task
+SHORT, COVER = 64, 3            # members of a short list, lists that two near sets share at least
+BAND = 1.25                     # sizes of near sets differ by no more than this factor
 WORDS = 1 << 20                 # known words of a task
 BATCH_BYTES = 8 << 20           # sets that leave a task at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +208,16 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return texts.mapInArrow(fetch, ddl).groupBy("g1", "g2", "g3").applyInArrow(check, out)
 
 
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Groups for ``verified``: the classes ``a`` that are to be compared with one centre ``b``, dealt to tables of about ``STAR`` with the centre at each."""
+    pairs = cut(pairs)
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("tables"))
+    dealt = cut(pairs.join(crowd, "b").withColumn("g2", F.pmod(F.xxhash64("a"), F.col("tables"))))
+    none = F.lit(0).cast("long")
+    guests = dealt.select(F.col("b").alias("g1"), "g2", none.alias("g3"), F.col("a").alias("node"), F.col("a").alias("part"))
+    return guests.unionByName(dealt.select(F.col("b").alias("g1"), "g2", none.alias("g3"), F.col("b").alias("node"), F.col("b").alias("part")).distinct())
+
+
 def sketch_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of all ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -212,33 +226,40 @@ def sketch_components(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     classes = cut(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
                   .withColumn("node", F.monotonically_increasing_id()))
     sketch = lambda name: classes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    least = percent / 100 - MARGIN
 
     # first every member of a list against its smallest member
     lists = postings(classes)
-    heads = lists.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("m"), F.max("node").alias("top"),
-                                       F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("who")).where("m > 1")
+    heads = lists.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
     lists = cut(lists.join(heads, "key"))
-    pairs = lists.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct()
-    stars = cut(promising(pairs.join(sketch("a"), "a").join(sketch("b"), "b"), least))
-    seat = F.pmod(F.xxhash64("a"), F.lit(1 << 40))
-    crowd = stars.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("tables"))
-    dealt = stars.join(crowd, "b").withColumn("g2", F.pmod(seat, F.col("tables")))
-    none = F.lit(0).cast("long")
-    seats = dealt.select(F.col("b").alias("g1"), "g2", none.alias("g3"), F.col("a").alias("node"), F.col("a").alias("part")).unionByName(
-        dealt.select(F.col("b").alias("g1"), "g2", none.alias("g3"), F.col("b").alias("node"), F.col("b").alias("part")).distinct())
-    links = cut(verified(seats, classes, docs, percent, size))
+    pairs = cut(lists.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct())
+    weigh = lambda rows: promising(rows.join(sketch("a"), "a").join(sketch("b"), "b"), percent / 100 - MARGIN)
+    links = cut(verified(_stars(weigh(pairs)), classes, docs, percent, size))
     names = components(links)
 
-    # then the lists that hold several components, once for each set of members
-    named = lists.join(names, "node", "left").select("key", "node", "m", "b", "top", "who", F.coalesce("component", "node").alias("component"))
-    open_lists = named.groupBy("key", "m", "b", "top", "who").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y AND m > 2")
-    open_lists = open_lists.groupBy("m", "b", "top", "who").agg(F.min("key").alias("key"))
-    rest = cut(named.join(open_lists.select("key"), "key").withColumn("parts", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts"))))
-    spread = rest.select("key", "node", "component", "own", F.explode(F.sequence(none, F.col("parts") - 1)).alias("other"))
-    seats = spread.select(F.col("key").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"), "node", F.col("component").alias("part"))
-    more = cut(verified(seats, classes, docs, percent, size))
-    names = components(links.unionByName(more))
+    # then the short lists that still hold several components
+    named = lists.join(names, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    is_open = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    named = cut(named.where("m > 2").join(is_open, "key"))
+    one = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("a"), F.col("component").alias("x"))
+    two = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("b"), F.col("component").alias("y"))
+    met = one.join(two, "key").where("a > b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = cut(verified(_stars(weigh(met)), classes, docs, percent, size))
+
+    # and the classes that long ones might keep from meeting
+    long = named.where(F.col("m") > SHORT)
+    exposed = long.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= COVER).select("node")
+    held = cut(long.join(exposed, "node"))
+    first = held.groupBy("key").agg(F.min("node").alias("b"))
+    groups = components(held.join(first, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("long")
+    member = groups.join(classes.select("node", band.alias("band")), "node").join(held.select("node", F.col("component").alias("part")).distinct(), "node")
+    member = cut(member.select("component", "node", "part", F.explode(F.array("band", F.col("band") + 1)).alias("g1")))
+    parts = member.groupBy("component", "g1").agg(F.ceil(2 * F.count("*") / BLOCK).alias("parts"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+    dealt = member.join(parts, ["component", "g1"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    seats = dealt.select(F.xxhash64("component", "g1").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"), "node", "part")
+    last = cut(verified(seats, classes, docs, percent, size))
+    names = components(links.unionByName(more).unionByName(last))
 
     joined = classes.select("node", "f1", "f2", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_doc = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

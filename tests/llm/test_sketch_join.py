@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,9 +64,12 @@ def hard():
     return rows + [(1100, prose(50, 90)), (1100, prose(51, 90)), (1101, prose(51, 90)), (1102, None), (1103, " \n\t"), (None, "no id"), (None, None)]
 
 
-def test_query(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("short", [64, 4])
+def test_query(spark, tmp_path, monkeypatch, short):
     monkeypatch.setattr(module, "BLOCK", 16)
     monkeypatch.setattr(module, "STAR", 8)
+    monkeypatch.setattr(module, "SHORT", short)
+    monkeypatch.setattr(module, "COVER", 1 if short < 64 else module.COVER)
     rows = corpus() + hard()
     spark.createDataFrame([(d, t, *[None] * 10) for d, t in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in QUERIES["op13_sketch_components"](spark, str(tmp_path)).collect()]
