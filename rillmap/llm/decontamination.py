@@ -74,8 +74,8 @@ def _stretches(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, n
         owner = np.repeat(np.arange(len(group)), n)
         place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
         inside = code > 0
-        opens = np.flatnonzero(inside & ~(np.concatenate([[False], inside[:-1]]) & (place > 0)))
-        closes = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (place[1:] > 0), [False] * bool(len(code))])) + 1
+        opens = np.flatnonzero(inside & ~(np.concatenate([np.zeros(min(1, len(code)), bool), inside[:-1]]) & (place > 0)))
+        closes = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (place[1:] > 0), np.zeros(min(1, len(code)), bool)])) + 1
         long = closes - opens >= least
         a, size = opens[long], (closes - opens)[long]
         take = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())

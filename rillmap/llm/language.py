@@ -1,6 +1,6 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Features are all 1- to 3-grams of code points of the whole lower-cased text, where ASCII characters other than letters count as blanks; each n-gram is
+Features are all 1- to 3-grams of code points that start in the whole lower-cased text or at one blank after it, where ASCII characters other than letters count as blanks; each n-gram is
 hashed to one of ``BUCKETS`` columns. Training counts n-grams per label in Spark on a bounded sample: ``TRAIN_ROWS`` labelled rows per label are
 expected, chosen by a hash of ``doc_id``. The matrix of log probabilities has ``BUCKETS`` x labels numbers, labels are at most ``MOST_LABELS`` (more
 raise an error), so it may be broadcast. Scoring sums the matrix rows of a batch's n-grams per document in numpy.
@@ -35,7 +35,7 @@ _MAP[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = [ord(c) for c in "abcdefg
 class Model:
     labels: list[str]
     prior: np.ndarray            # log share of each label
-    weight: np.ndarray           # BUCKETS x labels, log probabilities
+    weight: np.ndarray           # BUCKETS x labels, log probabilities, and a row of zeros for places that do not count
 
 
 def has_letter(text: str | None) -> bool:
@@ -43,8 +43,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, a blank after each, and where each text starts."""
-    parts = [(t or "").lower() + " " for t in texts]
+    """Code points of all texts, ``max(ORDERS)`` blanks after each, and where each text starts."""
+    parts = [(t or "").lower() + " " * max(ORDERS) for t in texts]
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
     points = np.where(points < 128, _MAP[np.minimum(points, 127)], points)
@@ -52,7 +52,7 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(points: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each place; grams of two blanks only join texts and carry nothing of either."""
+    """The bucket of the n-gram that starts at each place."""
     held = np.full(len(points), order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
     padded = np.concatenate([points, np.full(order, 32, np.uint32)])
     for k in range(order):
@@ -61,8 +61,17 @@ def _grams(points: np.ndarray, order: int) -> np.ndarray:
     return held >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def _own_places(stops: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Which places of a range count: those of a text and of one blank after it, so that no n-gram reaches the next text."""
+    own = np.ones(end - begin, bool)
+    for k in range(1, max(ORDERS)):
+        at = stops - k
+        own[at[(at >= begin) & (at < end)] - begin] = False
+    return own
+
+
 def _sums(texts: list[str | None], weight: np.ndarray) -> np.ndarray:
-    """The summed rows of ``weight`` of each text's n-grams."""
+    """The summed rows of ``weight`` of each text's n-grams; they depend on no other text."""
     points, start = _points(texts)
     total = np.zeros((len(texts), weight.shape[1]))
     stops = np.append(start[1:], len(points))
@@ -72,8 +81,9 @@ def _sums(texts: list[str | None], weight: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(stops, a, "right"), np.searchsorted(start, b, "left")
         cut = np.maximum(start[first:last], a) - a
         view = points[a:min(len(points), b + max(ORDERS) - 1)]
+        own = _own_places(stops, a, b)
         for order in ORDERS:
-            total[first:last] += np.add.reduceat(weight[_grams(view, order)[:b - a]], cut, axis=0)
+            total[first:last] += np.add.reduceat(weight[np.where(own, _grams(view, order)[:b - a], BUCKETS)], cut, axis=0)
     return total
 
 
@@ -96,9 +106,10 @@ def train(docs: DataFrame, rows_per_label: int = TRAIN_ROWS) -> Model:
                 langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
                 for lab in set(langs):
                     for _, group in pieces([t for t, x in zip(texts, langs) if x == lab]):
-                        points, _ = _points(group)
+                        points, start = _points(group)
+                        own = _own_places(np.append(start[1:], len(points)), 0, len(points))
                         for order in ORDERS:
-                            held[place[lab]] += np.bincount(_grams(points, order), minlength=BUCKETS)
+                            held[place[lab]] += np.bincount(_grams(points, order)[own], minlength=BUCKETS)
             which, bucket = np.nonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(held[which, bucket])],
                                              names=["which", "bucket", "n"])
@@ -108,7 +119,7 @@ def train(docs: DataFrame, rows_per_label: int = TRAIN_ROWS) -> Model:
         counts[summed["bucket"].to_numpy(), summed["which"].to_numpy()] = summed["n"].to_numpy()
     smooth = counts + SMOOTHING
     weight = np.log(smooth) - np.log(smooth.sum(0, keepdims=True))
-    return Model(labels, np.log(sizes / sizes.sum()) if labels else np.zeros(0), weight)
+    return Model(labels, np.log(sizes / sizes.sum()) if labels else np.zeros(0), np.concatenate([weight, np.zeros((1, len(labels)))]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

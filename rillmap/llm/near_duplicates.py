@@ -9,7 +9,7 @@ counted by products of incidence matrices, links are counted and never emitted,
 of the forests are the near-duplicate classes.
 
 A document without words is its own class with no links. Rows without ``doc_id`` are returned with a null class and take no part. Rows that repeat a
-``doc_id`` and set count as copies of each other.
+``doc_id`` and set count as copies of each other; rows that share only the ``doc_id`` are classes of their own.
 """
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ THRESHOLD = 0.8
 TREES, MOST_DEPTH, RECALL = 16, 8, 0.998
 BLOCK = 256
 COLUMNS = 4096
-_WORDS, _SHINGLES = Rolling(11), Rolling(12)
+_SHINGLES = Rolling(12)
 
 
 def matching_depth(threshold: float, trees: int = TREES, most: int = MOST_DEPTH, recall: float = RECALL) -> int:
@@ -43,7 +43,7 @@ def matching_depth(threshold: float, trees: int = TREES, most: int = MOST_DEPTH,
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, shingles per text, shingle fingerprints with repeats) for consecutive groups of texts."""
-    for first, count, (words,) in word_hashes(texts, _WORDS):
+    for first, count, words in word_hashes(texts):
         if not len(words):
             yield first, np.zeros_like(count), words
             continue
@@ -57,9 +57,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[tuple
         yield first, have + short, full
 
 
-def signatures(docs: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, h1, h2, n, labels): the fingerprint and size of each shingle set, and its prefix in every trie."""
-    ddl = "doc_id long, h1 long, h2 long, n long, labels array<long>"
+def signatures(docs: DataFrame, threshold: float, size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, h1, h2, n, labels) and ``keep``: the fingerprint and size of each shingle set, and its prefix in every trie."""
+    types = dict(docs.dtypes)
+    ddl = ", ".join(["doc_id long, h1 long, h2 long, n long, labels array<long>", *(f"`{c}` {types[c]}" for c in keep)])
     schema = arrow_schema(ddl)
     depth = matching_depth(threshold)
     rng = np.random.default_rng(13)
@@ -93,17 +94,17 @@ def signatures(docs: DataFrame, threshold: float, size: int = SHINGLE) -> DataFr
             labels = np.concatenate([x for _, x in out]) if out else np.zeros((0, TREES), np.uint64)
             flat = pa.array(labels.ravel().view(np.int64))
             offsets = pa.array(np.arange(len(labels) + 1, dtype=np.int32) * TREES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(offsets, flat).cast(schema.field("labels").type)],
-                                             schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(offsets, flat).cast(schema.field("labels").type),
+                                              *(batch.column(2 + i) for i in range(len(keep)))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, ddl)
+    return docs.select("doc_id", "text", *keep).mapInArrow(sign, ddl)
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b): each class of a trie node with the node's smallest class."""
-    nodes = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
-    least = nodes.groupBy("tree", "label").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where(F.col("b") < F.col("most"))
-    return nodes.join(least, ["tree", "label"]).where(F.col("rep") > F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
+    nodes = classes.select("node", F.posexplode("labels").alias("tree", "label"))
+    least = nodes.groupBy("tree", "label").agg(F.min("node").alias("b"), F.max("node").alias("most")).where(F.col("b") < F.col("most"))
+    return nodes.join(least, ["tree", "label"]).where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -140,16 +141,20 @@ def verify(reps: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[
         name = new
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_links) of all ``docs`` (doc_id, text): the smallest doc_id of its class and how many documents it is linked to."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, class_id, n_links) of all ``docs`` (doc_id, text): the smallest doc_id of its class and how many documents it is linked to.
+
+    With ``keep`` these columns of ``docs`` follow, and ``class_key``, which also tells classes of one smallest doc_id apart (null without words).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     known = docs.where(F.col("doc_id").isNotNull())
-    signed = cut(signatures(known, threshold, size))
-    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")))
+    signed = cut(signatures(known, threshold, size, keep))
+    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+                  .withColumn("node", F.monotonically_increasing_id()))
     clusters = components(candidate_links(classes))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
     members = (clusters.join(sizes, "component").withColumn("parts", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
-               .join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node"))
+               .join(classes.select("node", "rep", "copies", "h1", "h2"), "node"))
     ddl = "component long, i long, j long, node long, block long, copies long, shingles binary"
     schema, found = arrow_schema(ddl), "node long, links long, name long"
     out_schema = arrow_schema(found)
@@ -180,13 +185,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         links, name = verify(reps[once], rows["block"].to_numpy()[once], rows["copies"].to_numpy()[once], sets, (key[1].as_py(), key[2].as_py()), threshold)
         return pa.table([pa.array(reps[once]), pa.array(links.astype(np.int64)), pa.array(name)], schema=out_schema)
 
-    texts = members.join(known.select(F.col("doc_id").alias("node"), "text"), "node").select("component", "node", "block", "parts", "copies", "h1", "text")
+    texts = members.join(known.select(F.col("doc_id").alias("rep"), "text"), "rep").select("component", "node", "block", "parts", "copies", "h1", "text")
     checked = cut(texts.mapInArrow(fetch, ddl).groupBy("component", "i", "j").applyInArrow(check, found))
     names = components(checked.where(F.col("node") != F.col("name")).select(F.col("node").alias("a"), F.col("name").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    found_classes = (classes.select("h1", "h2", "rep", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(names.withColumnRenamed("node", "rep"), "rep", "left")
-                     .select("h1", "h2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    result = signed.select("doc_id", "h1", "h2", "n").join(found_classes, ["h1", "h2"], "left").select(
-        "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
-    lost = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = classes.select("h1", "h2", "rep", "copies", "node").join(links, "node", "left").join(names, "node", "left").withColumn("class_key", F.coalesce("component", "node"))
+    least = named.groupBy("class_key").agg(F.min("rep").alias("class_id"))
+    found_classes = named.join(least, "class_key").select("h1", "h2", "class_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    more = [*keep, "class_key"] if keep else []
+    result = signed.select("doc_id", "h1", "h2", "n", *keep).join(found_classes, ["h1", "h2"], "left").select(
+        "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"), *more)
+    none = F.lit(None).cast("long")
+    lost = docs.where(F.col("doc_id").isNull()).select("doc_id", none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), *keep, *([none.alias("class_key")] if keep else []))
     return result.unionByName(lost)

@@ -11,7 +11,7 @@ from .test_text_models import brute_hits
 
 def test_registry():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and {"op1_line_dedup", "op9_exact_top_k"} <= set(entry.oracle_sql())
 
@@ -67,6 +67,24 @@ def test_empty(spark, no_docs, tmp_path):
     assert pipeline.run(spark, folder).count() == 0
 
 
+def test_repeated_ids_and_own_columns_stay(spark, tmp_path):
+    """Two unrelated texts of one doc_id both stay, and columns named like those of an operator keep values and types."""
+    folder = str(tmp_path)
+    texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in ("ab", "cd", "ef", "gh")}
+    rows = [(1, texts["ab"]), (1, texts["cd"]), (2, texts["cd"]), (3, texts["ef"]), (3, texts["ef"]), (2, texts["gh"]), (4, texts["ab"] + "\nmore")]
+    named = {"lang_pred": "x", "score": 42.0, "kept_text": "own", "n_lines": "seven", "n_runs": -1, "n_words": -7, "items": "none", "word_spans": 3, "class_key": 5, "text_hash": "h", "whole_row": 9}
+    docs = spark.createDataFrame([(d, t, "xx", *named.values()) for d, t in rows], ["doc_id", "text", "lang", *named])
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, now, folder).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        assert now.dtypes == docs.dtypes
+        assert all({k: r[k] for k in named} == named for r in now.collect())
+    assert sorted((r["doc_id"], r["text"][:2]) for r in now.collect()) == [(1, "ab"), (1, "cd"), (2, "gh"), (3, "ef")]
+
+
 def test_long_lines_leave(spark, tmp_path):
     """An exact copy of a one-line document leaves in the stage line_dedup, and so does a long line between lines of its own."""
     long = " ".join(f"w{i}" for i in range(60))

@@ -162,3 +162,14 @@ def test_equal_windows_small_blocks(monkeypatch):
             want.setdefault(text[p:p + 50].tobytes(), []).append(p)
         got = {text[at[g[0]]:at[g[0]] + 50].tobytes(): sorted(at[g].tolist()) for own, first in equal_windows(text, at, 50) for g in np.split(own, first[1:]) if len(g) > 1}
         assert got == {k: v for k, v in want.items() if len(v) > 1}
+
+
+def test_substrings_of_words_with_equal_polynomials(spark):
+    """Two Thue-Morse words agree in every polynomial modulo 2^64; only real repeats may go."""
+    common = " ".join(f"w{i}" for i in range(49))
+    rows = []
+    for n in (1024, 2048):
+        x, y = ("".join("ab"[bin(i).count("1") % 2 ^ f] for i in range(n)) for f in (0, 1))
+        rows += [(n, f"{common} {x}"), (n + 1, f"{common} {y}"), (n + 2, f"{common} {y} z")]
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1024: 0, 1025: 0, 1026: 50, 2048: 0, 2049: 0, 2050: 50}

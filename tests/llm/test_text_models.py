@@ -163,3 +163,50 @@ def test_fm_index():
                 want = [i for i in range(len(text) - m + 1) if (text[i:i + m] == p).all()]
                 assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
 
+
+
+def test_language_of_a_text_depends_on_no_other(spark):
+    """Naive Bayes with dictionaries gives the same scores, alone, between others and in any partitioning."""
+    import math
+    from collections import Counter, defaultdict
+
+    from rillmap.llm import language
+
+    def bucket(gram):
+        held = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            held = ((held ^ ord(c)) * 0x85EBCA6B) & 0xFFFFFFFF
+            held ^= held >> 15
+        return held >> 16
+
+    def grams(text):
+        flat = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in text.lower())
+        padded = flat + "   "
+        return [bucket(padded[i:i + n]) for i in range(len(flat) + 1) for n in language.ORDERS]
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("le chat et l'été", "fr"), ("ab", "en"), ("où ça", "fr"), ("x", "fr"), ("", None), ("ab xyz", None), ("été", None),
+                                                        ("the", None), ("ab", None), ("12", None), (None, "en")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    counts, size = defaultdict(Counter), Counter()
+    for _, t, lang in rows:
+        if t is not None and lang:
+            counts[lang].update(grams(t))
+            size[lang] += 1
+    total = {k: sum(c.values()) + language.SMOOTHING * language.BUCKETS for k, c in counts.items()}
+    for parts in (1, 5):
+        for r in language.predict(docs.repartition(parts), model).collect():
+            if not language.has_letter(r["text"]):
+                assert (r["lang_pred"], r["score"]) == ("und", 0)
+                continue
+            logs = {k: math.log(size[k] / sum(size.values())) + sum(math.log((counts[k][g] + language.SMOOTHING) / total[k]) for g in grams(r["text"])) for k in counts}
+            best = max(sorted(logs), key=logs.get)
+            assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-9
+    alone = language._sums(["ab"], model.weight)
+    assert (alone[0] == language._sums(["ab", "xyz"], model.weight)[0]).all() and (alone[0] == language._sums(["q", "ab", "xyz"], model.weight)[1]).all()
+
+
+def test_texts_without_words_meet_no_item(spark):
+    docs = spark.createDataFrame([(1, "!? ..."), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    assert [tuple(r) for r in find_contamination(docs, bench, ["doc_id"]).select("doc_id", "n_words", "items").orderBy("doc_id").collect()] == [(1, 0, []), (2, 0, []), (3, 0, [])]
