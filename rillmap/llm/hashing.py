@@ -7,7 +7,7 @@ import numpy as np
 
 from rillmap.llm.tokens import pieces
 
-MOST_WORDS = 1 << 19             # known words of a task
+MOST_WORDS = 1 << 17             # known long words of a task
 CHARS = 1 << 18                  # texts are hashed in groups of about this many characters
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,39 +52,6 @@ class Rolling:
         return mix((sums[size:size + n] - sums[:n]) * self.inverse[:n])
 
 
-class WordNames(dict):
-    """Two 64-bit names of each word, halves of a BLAKE2b digest, so no choice of words gives equal names. The table is emptied when it holds ``MOST_WORDS``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.digests += blake2b(word, digest_size=16).digest()
-        return place
-
-    def names(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > MOST_WORDS:
-            self.clear()
-            self.digests = bytearray()
-        place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        table = np.frombuffer(bytes(self.digests), "<u8").reshape(-1, 2)
-        return table[place, 0], table[place, 1]
-
-
-_KNOWN = WordNames()
-
-
-def word_names(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two names of each word of UTF-8 bytes; texts begin at ``begins``. Words are those of ``word_edges``."""
-    held, edges = data.tobytes(), [*begins.tolist(), len(data)]
-    words: list[bytes] = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        words += held[a:b].split()
-    return _KNOWN.names(words)
-
-
 def word_edges(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of UTF-8 bytes; a word also ends where the next text begins (``begins``)."""
     word = ~_BLANK[data]
@@ -97,11 +64,45 @@ def word_edges(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
+class _LongWords(dict):
+    """The two names of words of more than 16 bytes, halves of a BLAKE2b digest; emptied when it holds ``MOST_WORDS``."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        digest = blake2b(word, digest_size=16).digest()
+        found = self[word] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+        return found
+
+
+_LONG = _LongWords()
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_names(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each word of UTF-8 bytes. For words of up to 16 bytes the pair is a bijection of the word (a Feistel network over its two
+    halves), longer ones have a BLAKE2b digest, so no choice of words gives equal names."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = stop - start
+    high = lanes[start] & _MASK[np.minimum(size, 8)]
+    low = lanes[start + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    one = mix((high + mix(size.astype(np.uint64))) ^ mix(low + np.uint64(0x9E3779B97F4A7C15)))
+    two = mix(low ^ mix(one ^ np.uint64(0xD1342543DE82EF95)))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        found = [_LONG[data[a:b].tobytes()] for a, b in zip(start[long].tolist(), stop[long].tolist())]
+        one[long], two[long] = np.array(found, np.uint64).T
+    return one, two
+
+
 def word_hashes(texts: list[str | None]):
     """(first text, words per text, first names of all words) for consecutive groups of texts."""
     for first, group in pieces(texts, CHARS):
-        parts = [(t or "").encode("utf-8", "surrogatepass").split() for t in group]
-        yield first, np.fromiter(map(len, parts), np.int64, len(parts)), _KNOWN.names([w for p in parts for w in p])[0]
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in group]
+        data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        start, stop = word_edges(data, np.concatenate([[0], ends[:-1]]))
+        yield first, np.diff(np.searchsorted(start, ends), prepend=0), word_names(data, start, stop)[0]
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ equal symbols except near their ends, where a round can spoil at most twice its
 
 Two exchanges follow. First the symbols: of every ``SPAN`` neighbours the one of the smallest fingerprint is sent, and a bucket answers which occur in another
 document. A window can be a copy only if all symbols chosen inside its margins do, so most of the text ends here. Then the windows that are left are
-verified: a 96-bit fingerprint of the names of all 50 words (halves of their BLAKE2b digests) with the smallest document of the block, answered by whether a smaller document sent it. Words of
+verified: a 96-bit fingerprint of the names of all 50 words with the smallest document of the block, answered by whether a smaller document sent it. Words of
 windows that also start in a smaller document are removed; windows are judged on the input.
 
 A null text has no words. Rows without ``doc_id`` are returned with nothing removed. Rows that share a ``doc_id`` never remove each other's words.
@@ -70,7 +70,7 @@ class Part:
         self.count = np.diff(np.searchsorted(self.starts, block.stops[first:last] - base), prepend=0)
         self.data, self.first, self.docs = data, first, block.doc_ids[first:last]
         self.doc = np.repeat(np.arange(last - first), self.count)
-        self.words, self.second = word_names(data, block.starts[first:last] - base)
+        self.words, self.second = word_names(data, self.starts, self.stops)
 
     def chosen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Names of the chosen symbols and their documents; for every stretch of ``SPAN`` symbols its chosen one and, in words, its start and end."""
