@@ -10,7 +10,7 @@ into their sketches always share such a run, since at most a fifth of their unio
 of larger ones about 1 pair in 10^10 does not (``percent`` below 80 finds less). The members of a list are first compared with its smallest member only, so a list of any length costs
 one row a member. The overlap of two sketches among the ``K`` smallest values of their union estimates the similarity; pairs ``MARGIN`` below the threshold
 go, the others are verified on their full sets. Lists whose members are not yet in one component after that are open. Open lists of at most ``SHORT`` members give
-all their pairs of different components, which are estimated and verified alike. Longer ones come from a passage that many texts hold. Two near sets share
+all their pairs of different components and sizes that fit, which are estimated and verified alike. Longer ones come from a passage that many texts hold. Two near sets share
 ``COVER`` lists or more (all but 1 pair in 10^8), so a class that stands in fewer long open lists meets each of its near sets in another list. The remaining
 classes are compared with each other, inside groups that long lists connect, by size (each with its own and the next band of sizes) and in blocks of ``BLOCK``; a
 block gives a spanning forest of its links. The components of all verified links name the documents.
@@ -101,17 +101,17 @@ def posting_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, node) of every class."""
-    ddl = "key long, node long"
+    """(key, node, n) of every class."""
+    ddl = "key long, node long, n long"
     schema = arrow_schema(ddl)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [posting_keys(np.frombuffer(s, np.uint64)) for s in batch.column(1).to_pylist()]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], schema=schema)
+            node, n = (np.repeat(batch.column(i).to_numpy(), [len(k) for k in keys]) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(n)], schema=schema)
 
-    return classes.where("n > 3").select("node", "sketch").mapInArrow(post, ddl)
+    return classes.where("n > 3").select("node", "sketch", "n").mapInArrow(post, ddl)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -229,20 +229,22 @@ def sketch_components(docs: DataFrame, percent: int = PERCENT, size: int = SHING
 
     # first every member of a list against its smallest member
     lists = postings(classes)
-    heads = lists.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
+    heads = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select(
+        "key", "m", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"))
     lists = cut(lists.join(heads, "key"))
-    pairs = cut(lists.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct())
+    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731 (sizes of near sets)
+    pairs = cut(lists.where((F.col("node") > F.col("b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct())
     weigh = lambda rows: promising(rows.join(sketch("a"), "a").join(sketch("b"), "b"), percent / 100 - MARGIN)
     links = cut(verified(_stars(weigh(pairs)), classes, docs, percent, size))
     names = components(links)
 
     # then the short lists that still hold several components
-    named = lists.join(names, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    named = lists.join(names, "node", "left").select("key", "node", "n", "m", F.coalesce("component", "node").alias("component"))
     is_open = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     named = cut(named.where("m > 2").join(is_open, "key"))
-    one = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("a"), F.col("component").alias("x"))
-    two = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("b"), F.col("component").alias("y"))
-    met = one.join(two, "key").where("a > b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    one = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("x"))
+    two = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("y"))
+    met = one.join(two, "key").where(F.expr("a > b AND x <> y") & fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(verified(_stars(weigh(met)), classes, docs, percent, size))
 
     # and the classes that long ones might keep from meeting
