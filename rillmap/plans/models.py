@@ -1,7 +1,8 @@
 """Models on Spark ML: preprocessing, out-of-fold prediction, stacking, weighting, selection and comparison.
 
 Loops run over folds, groups or feature sets (a handful each); every fit and every prediction is a distributed job over the
-rows. Predictions are frozen once, so later metrics do not fit again.
+rows. Fits that do not need each other run as concurrent Spark jobs, at most ``PARALLEL`` at a time, and their results are put together in the order of folds.
+Predictions are frozen once, so later metrics do not fit again.
 """
 from __future__ import annotations
 
@@ -10,8 +11,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -31,6 +33,7 @@ from rillmap.operators.ranking import permute
 from rillmap.session import cut
 
 MOST_CATEGORIES = 100_000
+PARALLEL = 4                    # fits that run at the same time
 Hook = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -44,6 +47,14 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+def concurrently(calls: Sequence[Callable[[], object]], parallel: int | None = None) -> list:
+    """The results of ``calls`` in their order, run by a bounded pool of threads that inherit the session's job properties. The first error is raised."""
+    if len(calls) < 2:
+        return [c() for c in calls]
+    with ThreadPool(min(parallel or PARALLEL, len(calls))) as pool:
+        return list(pool.imap(lambda run: run(), [inheritable_thread_target(c) for c in calls], 1))
+
+
 # ---- preprocessing and single models
 
 @dataclass
@@ -143,15 +154,20 @@ def oof_many(df: DataFrame, fold: str, folds: Sequence[int], variants: dict[str,
     ``prep(train, test)`` may add columns computed from the training rows only. The folds' test rows are put together once,
     for all variants.
     """
-    parts = []
-    for k in folds:
+    def halves(k) -> tuple[DataFrame, DataFrame]:
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        if prep is not None:
-            train, test = prep(train, test)
+        return (train, test) if prep is None else prep(train, test)
+
+    def one(train: DataFrame, v: Variant) -> Callable[[], PipelineModel]:
+        rows = train if v.where is None else train.where(v.where)
+        return lambda: fit(rows, v.kind, v.inputs, v.target or target, v.weight, **v.params)
+
+    split = [halves(k) for k in folds]
+    models = iter(concurrently([one(train, v) for train, _ in split for v in variants.values()]))
+    parts = []
+    for _, test in split:
         for name, v in variants.items():
-            rows = train if v.where is None else train.where(v.where)
-            model = fit(rows, v.kind, v.inputs, v.target or target, v.weight, **v.params)
-            test = predict(model, test, name, probability=v.kind == "classifier")
+            test = predict(next(models), test, name, probability=v.kind == "classifier")
         parts.append(test.select(*df.columns, *variants))
     return cut(reduce(DataFrame.unionByName, parts))
 
@@ -164,10 +180,8 @@ def oof(df: DataFrame, fold: str, folds: Sequence[int], kind: str, inputs: Input
 
 def ensemble_oof(df: DataFrame, fold: str, folds: Sequence[int], members: Sequence[tuple[str, dict]], inputs: Inputs, target: str, name: str = "oof") -> DataFrame:
     """Equal-weight mean of several members, clipped to [0, 1]; one pass per fold."""
-    parts = []
-    for k in folds:
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        parts.append(ensemble_predict(ensemble_fit(train, members, inputs, target), test, name))
+    calls = [lambda k=k: ensemble_fit(df.where(F.col(fold) != k), members, inputs, target) for k in folds]
+    parts = [ensemble_predict(models, df.where(F.col(fold) == k), name) for k, models in zip(folds, concurrently(calls))]
     return cut(reduce(DataFrame.unionByName, parts))
 
 
@@ -303,13 +317,14 @@ def forward_selection(df: DataFrame, fold: str, folds: Sequence[int], groups: di
 
 def top_k_oof(df: DataFrame, fold: str, folds: Sequence[int], numeric: Sequence[str], target: str, k: int, kind: str = "boosted", name: str = "oof", **params) -> DataFrame:
     """Per fold: fit, keep the k most important inputs of this training fold, refit."""
-    parts = []
-    for f in folds:
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+    def both(f) -> PipelineModel:
+        train = df.where(F.col(fold) != f)
         importance = fit(train, kind, Inputs(numeric), target, **params).stages[-1].featureImportances.toArray()[: len(numeric)]
         best = [c for _, c in sorted(zip(-importance, numeric))[:k]]
-        parts.append(predict(fit(train, kind, Inputs(best), target, **params), test, name))
-    return cut(reduce(DataFrame.unionByName, parts))
+        return fit(train, kind, Inputs(best), target, **params)
+
+    models = concurrently([lambda f=f: both(f) for f in folds])
+    return cut(reduce(DataFrame.unionByName, [predict(m, df.where(F.col(fold) == f), name) for f, m in zip(folds, models)]))
 
 
 def permutation_importance(df: DataFrame, model: PipelineModel, groups: dict[str, Sequence[str]], target: str, rid: str, repeats: int = 8, seed: int = 0) -> DataFrame:
@@ -356,19 +371,26 @@ def domain_weights(df: DataFrame, domain: str, rid: str, inputs: Inputs, seed: i
 
 
 def leave_group_out_variants(df: DataFrame, group: str, held: Sequence, near: dict, inputs: Inputs, target: str, rid: str, kind: str = "linear", seed: int = 0,
-                             weight_params: dict | None = None, **params) -> DataFrame:
-    """Per held-out group: all other groups pooled, the nearest groups only, their mean, and rows weighted toward the group.
-
-    ``weight_params`` are the settings of the classifier that gives the weights.
+                             weight_params: dict | None = None, variants: Sequence[str] = ("pooled", "regional", "weighted"), **params) -> DataFrame:
+    """Per held-out group: all other groups pooled, the nearest groups only (``regional``), and rows weighted toward the group; only ``variants`` are fitted.
+    Where the first two are, ``ensemble`` is their mean. ``weight_params`` are the settings of the classifier that gives the weights.
     """
+    def one(g, variant: str) -> PipelineModel:
+        train = df.where(~F.col(group).eqNullSafe(F.lit(g)))
+        if variant == "regional":
+            train = df.where(F.col(group).isin(*near[g]))
+        if variant != "weighted":
+            return fit(train, kind, inputs, target, **params)
+        weights = domain_weights(df.withColumn("_dom", (F.col(group) == g).cast("int")), "_dom", rid, inputs, seed, **(weight_params or {})).select(rid, "weight")
+        return fit(train.join(weights, rid), kind, inputs, target, "weight", **params)
+
+    models = iter(concurrently([lambda g=g, v=v: one(g, v) for g in held for v in variants]))
     parts = []
     for g in held:
-        train, test = df.where(~F.col(group).eqNullSafe(F.lit(g))), df.where(F.col(group) == g)
-        weights = domain_weights(df.withColumn("_dom", (F.col(group) == g).cast("int")), "_dom", rid, inputs, seed, **(weight_params or {})).select(rid, "weight")
-        test = predict(fit(train, kind, inputs, target, **params), test, "pooled")
-        test = predict(fit(df.where(F.col(group).isin(*near[g])), kind, inputs, target, **params), test, "regional")
-        test = predict(fit(train.join(weights, rid), kind, inputs, target, "weight", **params), test, "weighted")
-        parts.append(test.withColumn("ensemble", (F.col("pooled") + F.col("regional")) / 2))
+        test = df.where(F.col(group) == g)
+        for v in variants:
+            test = predict(next(models), test, v)
+        parts.append(test.withColumn("ensemble", (F.col("pooled") + F.col("regional")) / 2) if {"pooled", "regional"} <= set(variants) else test)
     return cut(reduce(DataFrame.unionByName, parts))
 
 
@@ -382,16 +404,27 @@ def win_table(preds: DataFrame, group: str, target: str, base: str, others: Sequ
 
 def per_group_models(df: DataFrame, group: str, fold: str, folds: Sequence[int], inputs: Inputs, target: str, minimum: int = 800, kind: str = "linear", **params) -> DataFrame:
     """Pooled model, pooled with the group as a category, own model for large groups (else the pooled one), and their mean."""
-    counts = df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.col(fold) != k).alias(f"t{k}") for k in folds]).collect()
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.col(fold) != k).alias(f"t{k}") for k in folds]).where(
+        F.col("n") >= minimum).limit(SP.MOST_GROUPS + 1).collect()
+    if len(counts) > SP.MOST_GROUPS:
+        raise ValueError(f"more than {SP.MOST_GROUPS} groups")
     with_group = Inputs(inputs.numeric, [*inputs.categorical, group], inputs.extra)
+    large = {k: [r[0] for r in counts if r[f"t{k}"] > 0] for k in folds}               # a group that lies in one fold has nothing to train on
+    train = lambda k: df.where(F.col(fold) != k)
+    calls = []
+    for k in folds:
+        calls += [lambda k=k: fit(train(k), kind, inputs, target, **params), lambda k=k: fit(train(k), kind, with_group, target, **params)]
+        calls += [lambda k=k, g=g: fit(train(k).where(F.col(group).eqNullSafe(F.lit(g))), kind, inputs, target, **params) for g in large[k]]
+    models = iter(concurrently(calls))
     parts = []
     for k in folds:
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        large = [r[0] for r in counts if r["n"] >= minimum and r[f"t{k}"] > 0]     # a group that lies in one fold has nothing to train on
-        test = predict(fit(train, kind, inputs, target, **params), test, "pooled")
-        test = predict(fit(train, kind, with_group, target, **params), test, "pooled_group")
-        own = [predict(fit(train.where(F.col(group) == g), kind, inputs, target, **params), test.where(F.col(group) == g), "own") for g in large]
-        rest = test.where(~F.col(group).isin(*large)) if large else test
+        test = df.where(F.col(fold) == k)
+        test = predict(next(models), test, "pooled")
+        test = predict(next(models), test, "pooled_group")
+        own, rest = [], test
+        for g in large[k]:
+            own.append(predict(next(models), test.where(F.col(group).eqNullSafe(F.lit(g))), "own"))
+            rest = rest.where(~F.col(group).eqNullSafe(F.lit(g)))
         whole = reduce(DataFrame.unionByName, [*own, rest.withColumn("own", F.col("pooled_group"))])
         parts.append(whole.withColumn("ensemble", (F.col("pooled_group") + F.col("own")) / 2))
     return cut(reduce(DataFrame.unionByName, parts))
