@@ -1,9 +1,10 @@
-"""Point-to-point joins on a grid: nearest, mutual nearest, k nearest, pairs within a distance, tiles.
+"""Point-to-point joins: nearest, mutual nearest, k nearest, pairs within a distance, tiles.
 
-Nothing here tests all pairs, and every search has one plan at all table sizes. Query points and targets at the same place are collapsed first. Occupied
-cells of the finest level are counted and frozen once; the coarser levels are rolled up from that small table. A search goes down a fixed number of levels,
-each a quarter as wide, and keeps only the cells that can still hold an answer (nearest corner not beyond the k-th farthest corner seen), so what is
-left to test is what lies in a few of the finest cells, and no pair is lost.
+Nothing here tests all pairs, and every search has one plan at all table sizes. Query points and targets at the same place are collapsed first. The places
+of the targets are sorted along a curve that visits neighbours one after the other, and cut into leaves of equal count, leaves into branches and branches into
+boughs, each with the box of what it holds. So partitions follow the data, not the extent: a place far from all others lengthens one box and nothing else.
+A search goes down these three levels and keeps the boxes that can still hold an answer (nearest corner not beyond the farthest corner of a box that holds
+enough targets), so no pair is lost.
 """
 from __future__ import annotations
 
@@ -13,11 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmap.operators.ranking import ordered
 from rillmap.session import cut
 
-RADIUS_LEVELS = 2      # quarterings below cells as wide as the search radius
-EXTENT_LEVELS = 6      # quarterings below the 4 x 4 cells of the whole extent
+LEAF = 16              # places of a leaf, or k if that is more
+FINE, FINER = 31, 21   # bits of a coordinate in the first and the second half of its place on the curve
 ABOVE = 1.0 + 1e-9     # slack for rounding when bounds are compared
+BOX = ("_n", "_x0", "_x1", "_y0", "_y1")
 
 
 def cell(value: str | Column, size: float | Column) -> Column:
@@ -50,69 +53,85 @@ def _pointlike(targets: DataFrame) -> DataFrame:
     return targets.select("*", F.col("_tx").alias("_x0"), F.col("_tx").alias("_x1"), F.col("_ty").alias("_y0"), F.col("_ty").alias("_y1"))
 
 
-def _merged(cells: DataFrame, by: int) -> DataFrame:
-    """Cells ``4 ** by`` times as wide."""
-    wide = lambda c: F.floor(F.col(c) / float(4**by)).cast("bigint").alias(c)
-    return cells.groupBy("_by", wide("_cx"), wide("_cy")).agg(F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-                                                              F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
+def _interleaved(a: Column, b: Column) -> Column:
+    """The bits of two numbers in turn: binary digits read in base 4 leave a gap after each."""
+    spread = lambda v: F.conv(F.bin(v), 4, 10).cast("bigint")
+    return spread(a) * 2 + spread(b)
 
 
-def _prune(front: DataFrame, k: int, radius: float | None) -> DataFrame:
-    """Drop cells that cannot hold one of the k nearest of their query point."""
-    zero = F.lit(0.0)
-    dx = F.greatest(F.col("_x0") - F.col("_qx"), F.col("_qx") - F.col("_x1"), zero)
-    dy = F.greatest(F.col("_y0") - F.col("_qy"), F.col("_qy") - F.col("_y1"), zero)
-    fx = F.greatest(F.abs(F.col("_qx") - F.col("_x0")), F.abs(F.col("_qx") - F.col("_x1")))
-    fy = F.greatest(F.abs(F.col("_qy") - F.col("_y0")), F.abs(F.col("_qy") - F.col("_y1")))
-    front = front.withColumn("_lo", planar(dx, dy)).withColumn("_hi", planar(fx, fy))
-    if radius is not None:
-        front = front.where(F.col("_lo") <= radius)
-    per_query = Window.partitionBy("_qid", "_by")
-    if k == 1:
-        bounded = front.withColumn("_ub", F.min("_hi").over(per_query))
-    else:
-        seen = F.sum("_n").over(per_query.orderBy("_hi").rangeBetween(Window.unboundedPreceding, 0))
-        bounded = front.withColumn("_seen", seen).withColumn("_ub", F.min(F.when(F.col("_seen") >= k, F.col("_hi"))).over(per_query))
-    return bounded.where(F.col("_ub").isNull() | (F.col("_lo") <= F.col("_ub") * ABOVE)).select("_qid", "_qx", "_qy", "_by", "_cx", "_cy")
+def along_curve(targets: DataFrame) -> list[Column]:
+    """Sort keys of (_tx, _ty) along a Z-shaped curve over the extent, as fine as doubles are, so an outlier does not blur the rest."""
+    extent = targets.agg(F.struct(F.min("_tx").alias("x0"), F.max("_tx").alias("x1"), F.min("_ty").alias("y0"), F.max("_ty").alias("y1"))).scalar()
+
+    def halves(c: str, low: str, high: str) -> tuple[Column, Column]:
+        share = (F.col(c) / 2 - extent[low] / 2) / F.nullif(extent[high] / 2 - extent[low] / 2, F.lit(0.0))
+        steps = F.coalesce(share, F.lit(0.0)) * float(2**FINE - 1)
+        return F.floor(steps).cast("bigint"), F.floor((steps - F.floor(steps)) * float(2**FINER)).cast("bigint")
+
+    (xa, xb), (ya, yb) = halves("_tx", "x0", "x1"), halves("_ty", "y0", "y1")
+    return [_interleaved(xa, ya), _interleaved(xb, yb)]
+
+
+def _boxes(rows: DataFrame, *nodes: str) -> DataFrame:
+    """Counts and boxes of the first of ``nodes``; the others are those above it."""
+    return rows.groupBy("_by", *nodes).agg(
+        F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
+
+
+def _filed(targets: DataFrame, k: int) -> DataFrame:
+    """Targets with their _leaf, _branch and _bough, numbered within the range partitions of the curve.
+
+    The fan-out is the third root of the number of leaves, so three levels serve any size; a partition adds at most one unfilled bough.
+    """
+    size = max(LEAF, k)
+    a, b = along_curve(targets)
+    rows = ordered(targets.withColumns({"_za": a, "_zb": b}), ["_by", "_za", "_zb"])
+    fan = F.greatest(F.ceil(F.cbrt(rows.agg(F.count("*")).scalar() / float(size))), F.lit(2))
+    node = lambda width: F.shiftleft(F.col("_part").cast("bigint"), 33) + F.floor(F.col("_pos") / width).cast("bigint")
+    return rows.select(*targets.columns, node(F.lit(size)).alias("_leaf"), node(size * fan).alias("_branch"), node(size * fan * fan).alias("_bough"))
+
+
+def _reach(x0: Column, x1: Column, y0: Column, y1: Column) -> tuple[Column, Column]:
+    """Distance of (_qx, _qy) to the nearest and to the farthest corner of a box."""
+    x, y, zero = F.col("_qx"), F.col("_qy"), F.lit(0.0)
+    near = planar(F.greatest(x0 - x, x - x1, zero), F.greatest(y0 - y, y - y1, zero))
+    far = planar(F.greatest(F.abs(x - x0), F.abs(x - x1)), F.greatest(F.abs(y - y0), F.abs(y - y1)))
+    return near, far
+
+
+def _prune(front: DataFrame, k: int, node: str) -> DataFrame:
+    """Drop nodes that cannot hold one of the k nearest of their query point."""
+    lo, hi = _reach(*[F.col(c) for c in BOX[1:]])
+    front = front.withColumn("_lo", lo).where(F.col("_lo") <= F.col("_ub") * ABOVE)
+    bound = F.min(F.when(F.col("_n") >= k, hi)).over(Window.partitionBy("_qx", "_qy", "_by"))
+    front = front.withColumn("_ub", F.least("_ub", bound))
+    return front.where(F.col("_lo") <= F.col("_ub") * ABOVE).select("_qid", "_qx", "_qy", "_by", "_ub", node)
 
 
 def search(queries: DataFrame, targets: DataFrame, k: int, radius: float | None = None, distance: Column | None = None) -> DataFrame:
     """Rows of ``targets`` with ``_qid`` and ``dist`` that contain the k nearest targets of every query.
 
     Queries are (_qid, _qx, _qy, _by), one per place. A target is filed by (_tx, _ty), reaches over (_x0, _x1, _y0, _y1) and is seen by queries of its
-    own ``_by`` only. Targets wider than a point are for searches without radius; ``distance`` then tells how far one is from (_qx, _qy).
+    own ``_by`` only (a few values). ``distance`` tells how far a target wider than a point is from (_qx, _qy).
     """
-    if radius is not None:
-        levels, size, x0, y0 = RADIUS_LEVELS, float(radius), 0.0, 0.0
-    else:
-        e = targets.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
-        x0, y0 = e[0] or 0.0, e[2] or 0.0
-        levels, size = EXTENT_LEVELS, max((e[1] or 0.0) - x0, (e[3] or 0.0) - y0, 1e-6) * 1.001 / 4
-    fine = size / 4**levels
-    at = lambda c, o, s: cell(F.col(c) - o, s)
-    filed = targets.withColumns({"_cx": at("_tx", x0, fine), "_cy": at("_ty", y0, fine)})
-    finest = cut(_merged(filed.withColumn("_n", F.lit(1).cast("bigint")), 0))
-    if radius is not None:
-        around = queries.withColumn("_o", F.explode(block())).select(
-            "_qid", "_qx", "_qy", "_by", (at("_qx", x0, size) + F.col("_o.i")).alias("_cx"), (at("_qy", y0, size) + F.col("_o.j")).alias("_cy"))
-        front = around.join(_merged(finest, levels), ["_by", "_cx", "_cy"])
-    else:
-        # the extent is cut into 4 x 4 cells, so every query can look at all of them
-        names = ("_cx", "_cy", "_n", "_x0", "_x1", "_y0", "_y1")
-        top = [F.struct(F.lit(r["_by"]).alias("_b"), *[F.lit(r[n]).alias(n) for n in names]) for r in _merged(finest, levels).collect()]
-        if not top:
-            return queries.join(filed.drop("_tid", "_by"), F.lit(False)).select("*", F.lit(0.0).alias("dist"), F.lit(None).cast(targets.schema["_tid"].dataType).alias("_tid"))
-        front = queries.select("*", F.inline(F.array(*top))).where(F.col("_b") == F.col("_by")).drop("_b")
-    front = _prune(front, k, radius)
-    for level in range(levels - 1, -1, -1):
-        children = _merged(finest, level).withColumns({"_px": cell("_cx", 4), "_py": cell("_cy", 4)})
-        up = front.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
-        front = _prune(up.join(children, ["_by", "_px", "_py"]), k, radius)
+    filed = _filed(targets, k)
+    leaves = cut(_boxes(filed.withColumn("_n", F.lit(1).cast("bigint")), "_leaf", "_branch", "_bough"))
+    branches = _boxes(leaves, "_branch", "_bough")
+    # the boughs are few (a third root), so every query looks at all of them
+    boughs = _boxes(branches, "_bough").agg(F.collect_list(F.struct(F.col("_by").alias("by"), "_bough", *BOX))).scalar()
+    limit = F.lit(float("inf") if radius is None else float(radius))
+    own = F.filter(F.col("_all"), lambda t: t["by"] == F.col("_by"))
+    bound = F.array_min(F.transform("_own", lambda t: F.when(t["_n"] >= k, _reach(*[t[c] for c in BOX[1:]])[1])))
+    front = queries.withColumn("_all", boughs).withColumn("_own", own).withColumn("_ub", F.least(limit, bound))
+    front = front.select("_qid", "_qx", "_qy", "_by", "_ub", F.inline("_own")).drop("by")
+    front = front.where(_reach(*[F.col(c) for c in BOX[1:]])[0] <= F.col("_ub") * ABOVE).select("_qid", "_qx", "_qy", "_by", "_ub", "_bough")
+    front = _prune(front.join(branches, ["_by", "_bough"]), k, "_branch")
+    front = _prune(front.join(leaves.drop("_bough"), ["_by", "_branch"]), k, "_leaf")
     apart = planar(F.col("_qx") - F.col("_tx"), F.col("_qy") - F.col("_ty")) if distance is None else distance
-    pairs = front.join(filed, ["_by", "_cx", "_cy"]).withColumn("dist", apart)
+    pairs = front.join(filed.drop("_branch", "_bough"), ["_by", "_leaf"]).withColumn("dist", apart).where(F.col("dist") <= F.col("_ub") * ABOVE)
     if radius is not None:
         pairs = pairs.where(F.col("dist") <= radius)
-    return pairs.drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
+    return pairs.drop("_leaf", "_ub", *BOX[1:])
 
 
 def spots(points: DataFrame, pid: str, xy: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -172,7 +191,7 @@ def k_nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, k: int,
     copies = Window.partitionBy("_tx", "_ty", "_by").orderBy("_tid")
     t = t.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
     pairs = search(spots(points, pid, xy, by), _pointlike(t), k)
-    order = Window.partitionBy("_qid", "_by").orderBy("dist", "_tid")
+    order = Window.partitionBy("_qx", "_qy", "_by").orderBy("dist", "_tid")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("_by", "_qx", "_qy", "_tid", "dist", "rank")
     return everyone(points, pid, xy, best, by).select(pid, *by, F.col("_tid").alias(tid), "dist", F.col("rank").cast("bigint").alias("rank"))
 
