@@ -121,6 +121,13 @@ def keep_best(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def one_of_each(df: DataFrame, key: str, columns: Sequence[str], better: Column | None = None) -> DataFrame:
+    """(key, *columns) of the smallest whole row of each key, of those that are ``better`` if there are any; values of several rows are never mixed."""
+    first = [] if better is None else [(~better).alias("_worse")]
+    best = df.groupBy(key).agg(F.min(F.struct(*first, *columns)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns])
+
+
 def permute(df: DataFrame, value: str, ids: Sequence[str], seed: int, group: Sequence[str] = (),
             name: str | None = None) -> DataFrame:
     """Shuffle ``value`` over the rows (inside ``group``): the i-th row by id receives the value of the i-th row by seed."""

@@ -13,6 +13,7 @@ from rillmap.operators import clean as C
 from rillmap.operators import joins as J
 from rillmap.operators import points as P
 from rillmap.operators import shapes as S
+from rillmap.operators.ranking import one_of_each
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -78,7 +79,7 @@ def backfill_drainage() -> Step:
 def attach_road_class(ways: DataFrame, pid: str, wid: str, radius: float = 75.0, xy=("x", "y")) -> Step:
     """Class of the nearest way, 'unknown' where there is none."""
     def step(df: DataFrame) -> DataFrame:
-        tags = ways.groupBy(wid).agg(*[F.first(c).alias(c) for c in ("highway", "railway", "surface", "service", "lanes")])
+        tags = one_of_each(ways, wid, ("highway", "railway", "surface", "service", "lanes"))
         near = S.nearest_line(df, ways, pid, wid, radius, xy=xy).join(tags, wid)
         cls = near.select(pid, X.classify_road(*[F.col(c) for c in ("highway", "railway", "surface", "service", "lanes")]).alias("road_class"))
         return df.join(cls, pid, "left").withColumn("road_class", F.coalesce("road_class", F.lit("unknown")))
@@ -161,7 +162,7 @@ def match_ways(df: DataFrame, ways: DataFrame, pid: str, wid: str, radius: float
     near = S.nearest_line(df, ways, pid, wid, radius, "kind", xy)
     kinds = ("road_bridge", "road_culvert", "stream_culvert")
     dist = near.groupBy(pid).agg(*[F.min(F.when(F.col("kind") == k, F.col("dist"))).alias(f"osm_{k}_dist_m") for k in kinds])
-    tags = ways.groupBy(wid).agg(*[F.first(c).alias(c) for c in ("highway", "lanes", "maxspeed", "layer", "named", "bridge", "structure")])
+    tags = one_of_each(ways, wid, ("highway", "lanes", "maxspeed", "layer", "named", "bridge", "structure"))
     b = near.where(F.col("kind") == "road_bridge").join(tags, wid).select(
         pid, X.lookup(F.col("highway"), X.BRIDGE_ROAD_RANK).alias("osm_bridge_hw_rank"), X.extract_number(F.col("lanes")).alias("osm_bridge_lanes"),
         X.extract_number(F.col("maxspeed")).alias("osm_bridge_maxspeed"), X.try_double(F.col("layer")).alias("osm_bridge_layer"), F.col("named").alias("osm_bridge_is_named"),
@@ -175,8 +176,8 @@ def way_context(df: DataFrame, roads: DataFrame, water: DataFrame, pid: str, rid
     """Nearest road and waterway of each point with their tags, and the angle at which they meet."""
     r = S.nearest_line(df, roads, pid, rid, radius, xy=xy).drop("dist")
     w = S.nearest_line(df, water, pid, wid, radius, xy=xy).drop("dist")
-    rt = roads.groupBy(rid).agg(*[F.first(c).alias(c) for c in ("highway", "surface", "lanes", "maxspeed", "oneway")])
-    wt = water.groupBy(wid).agg(*[F.first(c).alias(c) for c in ("waterway", "intermittent", "named")])
+    rt = one_of_each(roads, rid, ("highway", "surface", "lanes", "maxspeed", "oneway"))
+    wt = one_of_each(water, wid, ("waterway", "intermittent", "named"))
     paved = F.when(F.col("surface").isin(*X.PAVED), 1.0).when(F.col("surface").isin(*X.UNPAVED), 0.0)
     rf = r.join(rt, rid).select(pid, F.lit(1.0).alias("osm_road_found"), X.lookup(F.col("highway"), X.ROAD_RANK).alias("osm_road_rank"), paved.alias("osm_road_paved"),
                                 X.extract_number(F.col("lanes")).alias("osm_road_lanes"), X.extract_number(F.col("maxspeed")).alias("osm_road_maxspeed"),

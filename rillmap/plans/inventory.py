@@ -10,7 +10,8 @@ from rillmap.functions.geo import albers
 from rillmap.functions.text import dms_to_degrees, strip_quotes, try_double
 from rillmap.operators.clean import SENTINELS, digit_code, keep_when
 from rillmap.operators.joins import resolve_columns
-from rillmap.operators.points import match_inventory
+from rillmap.operators.points import match_inventory, placed
+from rillmap.operators.ranking import one_of_each
 from rillmap.sources.readers import state_files
 
 # Inventory fields and the names used here.
@@ -57,7 +58,7 @@ def join_inventory(points: DataFrame, structures: DataFrame, pid: str, radius: f
     keep = [c for c in structures.columns if c.startswith("nbi_") and c != "nbi_id"]
     # a structure number is unique inside a state only
     s = structures.select(F.concat_ws("|", F.coalesce("src_state", F.lit("")), "nbi_id").alias("_sid"), "nbi_id", *keep, sx.alias("_sx"), sy.alias("_sy"))
-    s = s.groupBy("_sid").agg(*[F.first(c).alias(c) for c in s.columns if c != "_sid"])
+    s = one_of_each(s, "_sid", ["_sx", "_sy", *[c for c in s.columns if c not in ("_sid", "_sx", "_sy")]], placed("_sx", "_sy"))
     m = match_inventory(points.withColumns({"_x": px, "_y": py}), s, pid, "_sid", radius, mutual_only, ("_x", "_y"), ("_sx", "_sy"))
     out = m.withColumnsRenamed({"matched": "nbi_matched", "dist": "nbi_dist_m", "nbi_id": "nbi_structure_number"}).drop("_sid", "_x", "_y")
     return out if keep_id else out.drop("nbi_structure_number")

@@ -107,9 +107,10 @@ ELEMENTS = T.StructType([T.StructField("elements", T.ArrayType(T.StructType([
 
 
 def tagged_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Way documents to one row per way id with kind, tags and geometry; ways need two points; overlapping files count once."""
+    """Way documents to one row per way id with kind, tags and geometry; ways need two points; overlapping files count once, by the longest geometry."""
     each = spark.read.schema(ELEMENTS).json(path).select(F.inline("elements")).where(F.size("geometry") >= 2)
-    each = each.groupBy("id").agg(F.first(F.struct("tags", "geometry")).alias("_e")).select("id", "_e.tags", "_e.geometry")
+    fullest = F.struct(-F.size("geometry"), "geometry", F.array_sort(F.map_entries("tags")))
+    each = each.groupBy("id").agg(F.min_by(F.struct("tags", "geometry"), fullest).alias("_e")).select("id", "_e.tags", "_e.geometry")
     t = lambda k: tag(F.col("tags"), k)
     return each.select(
         "id", structure_kind(t("highway"), t("bridge")).alias("osm_kind"), t("highway").alias("osm_highway"), t("bridge").alias("osm_bridge"),

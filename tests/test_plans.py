@@ -1,4 +1,5 @@
 """Splits, models, sources and streams: invariants that protect the reported numbers."""
+import json
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -163,3 +164,22 @@ def test_stacked_rows_are_returned(spark):
     got = {r["variant"]: r for r in QUERIES["residual_stack_stacked"](spark, "/root/testdata/sf0.001").collect()}
     assert set(got) == {"base", "stacked"} and got["base"]["n"] == got["stacked"]["n"] > 0 and got["stacked"]["beats_mean"]
     assert {"residual_stack_stacked", "leave_state_out_weighted"} <= set(QUERIES) & set(ORACLES)
+
+
+def test_a_repeated_structure_number_gives_one_whole_row(spark):
+    """Of copies the smallest whole row with a position stays, whatever the order of the rows; values of two rows are not mixed."""
+    ddl = "src_state string, nbi_id string, lon double, lat double, nbi_a double, nbi_b double"
+    copies = [("25", "7", None, None, 0.0, 0.0), ("25", "7", -72.0, 42.0, 2.0, None), ("25", "7", -72.0, 42.0, None, 9.0), ("25", "7", -72.0, 42.0, 1.0, 4.0)]
+    points = spark.createDataFrame([("p", -72.0, 42.0)], "cid string, lon_nad83 double, lat_nad83 double")
+    for order in (copies, copies[::-1]):
+        got = INV.join_inventory(points, spark.createDataFrame(order, ddl), "cid", keep_id=True).select("nbi_matched", "nbi_a", "nbi_b", "nbi_structure_number")
+        assert rows(got) == [(1.0, None, 9.0, "7")]
+
+
+def test_an_element_of_two_files_counts_once_by_its_longest_geometry(spark, tmp_path):
+    from rillmap.sources.readers import tagged_elements
+    place = [{"lon": float(i), "lat": 0.0} for i in range(3)]
+    for name, n, lanes in (("a", 2, "1"), ("b", 3, "2")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"elements": [{"id": 5, "tags": {"highway": "primary", "lanes": lanes}, "geometry": place[:n]}]}))
+    got = tagged_elements(spark, str(tmp_path)).collect()
+    assert [(r["id"], r["osm_lanes"], len(r["geometry"])) for r in got] == [(5, "2", 3)]
