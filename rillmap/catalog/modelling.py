@@ -14,7 +14,10 @@ from rillmap.operators import shapes as S
 from rillmap.operators import splits as SP
 from rillmap.plans import features as FE
 from rillmap.plans import models as ML
+from rillmap.plans import tuning as TU
 from rillmap.session import scratch_path
+from rillmap.sources import readers as RD
+from rillmap.sources import writers as WR
 
 NUM = ["f_quantity", "f_price", "f_tax", "f_signal"]
 CAT = ["flag", "status"]
@@ -109,6 +112,25 @@ def _(t):
     return t.spark.createDataFrame([found], "n bigint, n_distinct bigint, ordered boolean, better_than_mean boolean")
 
 
+TWO_MEANS = "CASE WHEN f_signal>0.37 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+
+
+@query("boosting_tuning", f"""{D}, t AS (SELECT y, fold, {TWO_MEANS} AS x FROM d), m AS (SELECT x, avg(y) AS p FROM t WHERE fold<>0 GROUP BY x)
+SELECT 'boosted' AS objective, 20::BIGINT AS n, 1::BIGINT AS best_round, 20::BIGINT AS n_stopped, round(avg((y-p)*(y-p)),6) AS mse FROM t JOIN m USING (x) WHERE fold=0""")
+def _(t):
+    """Twenty draws of boosted trees on one binary input, where the first round gives the means of both halves and no later one helps: all stop at it. The log
+    is written and the best setting read back from it."""
+    d = table(t).withColumn("x", F.expr(TWO_MEANS))
+    grid = {"maxDepth": [1, 2, 3, 4], "stepSize": [0.02, 0.05, 0.1, 0.3], "minInstancesPerNode": [1, 5, 20]}
+    log = TU.tune_boosting(d, F.col("fold") == 0, ML.Inputs(["x"]), "y", grid, 20, first=4, last=64, patience=3, subsamplingRate=1.0)
+    path = scratch_path(t.spark, "tuning")
+    scores = TU.scored(log, "boosted")
+    WR.append_chunk(scores, path)
+    best = RD.best_results(t.spark, path, scores.schema, "objective", "score", "params")
+    stopped = F.lit(log.where("stopped").count()).cast("bigint").alias("n_stopped")
+    return best.select("objective", "n", F.get_json_object("params", "$.maxIter").cast("bigint").alias("best_round"), stopped, F.round(-F.col("score"), 6).alias("mse"))
+
+
 @query("oof_predictions", ROWS_PER_FOLD)
 def _(t):
     with ML.kept(table(t)) as d:

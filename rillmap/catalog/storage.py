@@ -7,6 +7,7 @@ from rillmap.operators import joins as J
 from rillmap.operators import shapes as S
 from rillmap.plans import inventory as INV
 from rillmap.session import scratch_path
+from rillmap.sources import commits as CO
 from rillmap.sources import readers as RD
 from rillmap.sources import writers as WR
 from rillmap.streaming import ingest as IN
@@ -255,3 +256,27 @@ def _(t):
         t.events.write.mode("append").parquet(f"{base}/landing")
         IN.ingest_distinct(t.spark, f"{base}/landing", t.events.schema, f"{base}/sink", f"{base}/ckpt", "event_id", ["ts"])
     return t.spark.read.parquet(f"{base}/sink").select("event_id", "value")
+
+
+@query("stream_dedupe_watermark", "SELECT event_id, value FROM events")
+def _(t):
+    """The same events land again a minute later, within the two hours that state remembers or behind the watermark: none counts twice."""
+    base = scratch_path(t.spark, "within")
+    for minutes in (0, 1):
+        t.events.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTE")).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"{base}/landing")
+        schema = T.StructType([T.StructField(f.name, T.TimestampType() if f.name == "ts" else f.dataType) for f in t.events.schema])
+        IN.ingest_within(t.spark, f"{base}/landing", schema, f"{base}/sink", f"{base}/ckpt", "event_id", "ts", "2 hours", most_runs=1)
+    return CO.read_committed(t.spark, f"{base}/sink").select("event_id", "value")
+
+
+@query("sink_committed", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def _(t):
+    """A chunk per status, each appended twice, and an attempt that left rows without a record; then one run takes the place of all."""
+    path = scratch_path(t.spark, "committed")
+    for row in t.orders.select("o_orderstatus").distinct().collect():            # three
+        chunk = t.orders.where(F.col("o_orderstatus").eqNullSafe(F.lit(row[0]))).select("o_orderkey", "o_orderstatus")
+        for _attempt in range(2):
+            CO.append_run(chunk, path, f"status-{row[0]}")
+    t.orders.select("o_orderkey", "o_orderstatus").write.parquet(f"{path}/rows/run=killed")
+    CO.compact(t.spark, path, "all")
+    return CO.read_committed(t.spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
