@@ -9,11 +9,12 @@ consecutive retained values: unrelated documents do not share those, however com
 into their sketches always share such a run, since at most a fifth of their union separates the shared values (two values for sets of at most five);
 of larger ones about 1 pair in 10^10 does not (``percent`` below 80 finds less). The members of a list are first compared with its smallest member only, so a list of any length costs
 one row a member. The overlap of two sketches among the ``K`` smallest values of their union estimates the similarity; pairs ``MARGIN`` below the threshold
-go, the others are verified on their full sets. Lists whose members are not yet in one component after that are open. Open lists of at most ``SHORT`` members give
-all their pairs of different components and sizes that fit, which are estimated and verified alike. Longer ones come from a passage that many texts hold. Two near sets share
-``COVER`` lists or more (all but 1 pair in 10^8), so a class that stands in fewer long open lists meets each of its near sets in another list. The remaining
-classes are compared with each other, inside groups that long lists connect, by size (each with its own and the next band of sizes) and in blocks of ``BLOCK``; a
-block gives a spanning forest of its links. The components of all verified links name the documents.
+go, the others are verified on their full sets. Lists whose members are not yet in one component after that are open. Open lists of at most ``SHORT`` members
+carry the sketches of their members into one task, where one product estimates all their overlaps; the promising pairs of different components and sizes that fit
+are verified alike. Longer ones come from a passage that many texts hold. Two near sets share ``COVER`` lists or more (all but 1 pair in 10^8, and by count where
+both fit into their sketches and one has more than eight shingles), so a class that stands in fewer long open lists meets each of its near sets in another list.
+The remaining classes, and all of at most ``TINY`` shingles in long open lists, are compared with each other, inside groups that long lists connect, by size
+(each with its own and the next band of sizes) and in blocks of ``BLOCK``; a block gives a spanning forest of its links. The components of all verified links name the documents.
 
 Texts without words and null texts have an empty set and stay alone. Rows without ``doc_id`` come back with a null component and are kept. Rows that share
 a ``doc_id`` are judged each by its own text. An empty table has no rows.
@@ -39,6 +40,7 @@ K, RUN = 64, 3
 MARGIN = 0.25                   # five standard deviations of the estimate at 0.8
 BLOCK, STAR = 512, 64           # members of two blocks, members compared with one centre in a task
 SHORT, COVER = 64, 3            # members of a short list, lists that two near sets share at least
+TINY = 12                       # sets of up to this size may share fewer lists
 BAND = 1.25                     # sizes of near sets differ by no more than this factor
 WORDS = 1 << 20                 # known words of a task
 BATCH_BYTES = 8 << 20           # sets that leave a task at a time
@@ -137,6 +139,54 @@ def promising(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(sift, ddl)
 
 
+def estimates(sketch: list[np.ndarray]) -> np.ndarray:
+    """The estimated similarity of each two sets, by all values of both sketches up to the end of the shorter reach; exact where both sets fit."""
+    held = np.array([len(s) for s in sketch], np.int64)
+    reach = np.array([s[-1] if len(s) == K else np.iinfo(np.uint64).max for s in sketch], np.uint64)
+    value, place = np.unique(np.concatenate(sketch), return_inverse=True)
+    part = np.zeros((len(sketch), len(value)), np.float32)
+    part[np.repeat(np.arange(len(sketch)), held), place] = 1
+    within = np.stack([np.searchsorted(s, reach, side="right") for s in sketch], axis=1)            # [i, j]: values of j within the reach of i
+    first = reach[:, None] <= reach[None, :]
+    shared = part @ part.T
+    return shared / np.maximum(1, np.where(first, held[:, None] + within, held[None, :] + within.T) - shared)
+
+
+def meet(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """The distinct (a, b), a > b, that some list of ``members`` (key, node, n, part, sketch) holds, of different parts, sizes that fit and an estimate of at
+    least ``least``. A list is at most ``SHORT`` members and lies in one task, where it is read in the order of keys."""
+    ddl = "a long, b long"
+    schema = arrow_schema(ddl)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            key, node, n, part = (table.column(i).to_numpy() for i in range(4))
+            sketch = [np.frombuffer(s, np.uint64) for s in table.column(4).to_pylist()]
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            done, found = len(edge) - 1 - (not whole), set()
+            for u, v in zip(edge[:done], edge[1:done + 1]):
+                near = (part[u:v, None] != part[None, u:v]) & (node[u:v, None] > node[None, u:v])
+                near &= 100 * np.minimum(n[u:v, None], n[None, u:v]) >= percent * np.maximum(n[u:v, None], n[None, u:v])
+                if near.any():
+                    x, y = np.nonzero(near & (estimates(sketch[u:v]) >= least))
+                    found.update(zip(node[u + x].tolist(), node[u + y].tolist()))
+            out = pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=schema)
+            return out, table.slice(edge[done])
+
+        for batch in batches:
+            if batch.num_rows:
+                out, left = pairs(pa.Table.from_batches([*rest, batch]), False)
+                rest = left.to_batches()
+                yield out
+        if rest:
+            yield pairs(pa.Table.from_batches(rest), True)[0]
+
+    rows = members.select("key", "node", "n", "part", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(sift, ddl).distinct()
+
+
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which two of the sets share ``percent`` hundredths of their union."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -242,14 +292,13 @@ def sketch_components(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     named = lists.join(names, "node", "left").select("key", "node", "n", "m", F.coalesce("component", "node").alias("component"))
     is_open = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     named = cut(named.where("m > 2").join(is_open, "key"))
-    one = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("x"))
-    two = named.where(F.col("m") <= SHORT).select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("y"))
-    met = one.join(two, "key").where(F.expr("a > b AND x <> y") & fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(verified(_stars(weigh(met)), classes, docs, percent, size))
+    short = named.where(F.col("m") <= SHORT).select("key", "node", "n", F.col("component").alias("part"))
+    met = meet(short.join(classes.select("node", "sketch"), "node"), percent / 100 - MARGIN, percent).join(pairs, ["a", "b"], "left_anti")
+    more = cut(verified(_stars(met), classes, docs, percent, size))
 
     # and the classes that long ones might keep from meeting
     long = named.where(F.col("m") > SHORT)
-    exposed = long.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= COVER).select("node")
+    exposed = long.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where((F.col("k") >= COVER) | (F.col("n") <= TINY)).select("node")
     held = cut(long.join(exposed, "node"))
     first = held.groupBy("key").agg(F.min("node").alias("b"))
     groups = components(held.join(first, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())

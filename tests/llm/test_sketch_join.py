@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from rillmap.llm import sketch_join as module
 from rillmap.llm.registry import QUERIES
-from rillmap.llm.sketch_join import estimate, linked, posting_keys, sketch_components
+from rillmap.llm.sketch_join import estimate, estimates, linked, meet, posting_keys, sketch_components
 
 from .conftest import SCHEMA, corpus, prose
 
@@ -69,7 +69,6 @@ def test_query(spark, tmp_path, monkeypatch, short):
     monkeypatch.setattr(module, "BLOCK", 16)
     monkeypatch.setattr(module, "STAR", 8)
     monkeypatch.setattr(module, "SHORT", short)
-    monkeypatch.setattr(module, "COVER", 1 if short < 64 else module.COVER)
     rows = corpus() + hard()
     spark.createDataFrame([(d, t, *[None] * 10) for d, t in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in QUERIES["op13_sketch_components"](spark, str(tmp_path)).collect()]
@@ -123,3 +122,38 @@ def test_links_of_a_block():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert near[i, j] == (100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(9, 60), st.data())
+def test_sets_above_the_tiny_share_several_lists(size, data):
+    """Near sets that fit into their sketches share ``COVER`` lists, wherever the values lie that only one of them has."""
+    u = data.draw(st.integers(size, min(module.K, size * 5 // 4)))
+    gone = data.draw(st.sets(st.integers(0, u - 1), min_size=u - size, max_size=u - size))
+    a, b = np.array([i for i in range(u) if i not in gone], np.uint64), np.arange(u, dtype=np.uint64)
+    assert 100 * len(a) >= 80 * u and np.intersect1d(posting_keys(a), posting_keys(b)).size >= module.COVER
+
+
+def test_estimates_of_a_list_equal_counts_within_the_shorter_reach():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(1, 300), replace=False))[:module.K] for _ in range(30)]
+    got = estimates(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            ends = [s[-1] for s in (a, b) if len(s) == module.K]
+            x, y = ({v for v in s.tolist() if not ends or v <= min(ends)} for s in (a, b))
+            assert got[i, j] == pytest.approx(len(x & y) / max(1, len(x | y)))
+
+
+def test_lists_over_batches(spark, monkeypatch):
+    """Lists of one to five members, cut by batches of three rows, give every pair of theirs once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        own = np.arange(20, dtype=np.uint64).tobytes()
+        rows = [(k, 100 * (k % 7) + i, 20 if i else 26, i, own) for k in range(40) for i in range(k % 5 + 1)]
+        got = meet(spark.createDataFrame(rows, "key long, node long, n long, part long, sketch binary").repartition(4), 0.5, 80).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(x, y) for k in range(40) for x in range(100 * (k % 7) + 1, 100 * (k % 7) + k % 5 + 1) for y in range(100 * (k % 7) + 1, x)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
