@@ -82,6 +82,44 @@ def moments(df: DataFrame, columns: Sequence[str], target: str, fold: str) -> di
     return dict(sorted(out.items(), key=lambda x: (x[0] is None, x[0])))
 
 
+def complete_moments(df: DataFrame, columns: Sequence[str], target: str, fold: str, weight: str | None = None) -> dict | None:
+    """The moments of each fold over rows with a target, or None if one of them lacks an input. With ``weight`` the counts and sums are weighted; the sums are
+    taken around the plain means, so nothing cancels."""
+    rows = df.where(F.col(target).isNotNull())
+    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.abs(F.col(c).cast("double")) == float("inf")) | F.isnan(F.col(c).cast("double")) for c in columns], F.lit(False))
+    seen = rows.agg(F.count_if(gap).alias("gaps"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*columns, target])]).first()
+    if seen["gaps"]:
+        return None
+    if weight is None:
+        return moments(rows, columns, target, fold)
+    shift = np.array([seen[f"m{i}"] or 0.0 for i in range(len(columns) + 1)])
+    names = [f"z{i}" for i in range(len(shift))]
+    z = rows.select(F.col(fold).alias("k"), F.col(weight).cast("double").alias("w"), *[(F.col(c).cast("double") - F.lit(float(m))).alias(n) for c, m, n in zip([*columns, target], shift, names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = z.groupBy("k").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names],
+                              *[F.sum(F.col("w") * F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs]).limit(MOST_FOLDS + 1).collect()
+    if len(sums) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    out = {}
+    for r in sums:
+        if r["n"]:
+            off = np.array([r[n] for n in names])
+            co = np.zeros((len(names), len(names)))
+            for i, j in pairs:
+                co[i, j] = co[j, i] = r[f"c{i}_{j}"] - off[i] * off[j] / r["n"]
+            out[r["k"]] = Moments(float(r["n"]), shift + off / r["n"], co)
+    return out
+
+
+def penalised(m: Moments, regParam: float = 0.0, elasticNetParam: float = 0.0) -> Linear:
+    """The fit of Spark ML's ``LinearRegression`` with these settings, from moments: it penalises weights of standardised inputs for a standardised target."""
+    spread = float(np.sqrt(max(m.co[-1, -1], 0.0) / m.n)) if m.n else 0.0
+    if spread == 0.0:
+        return Linear(float(m.mean[-1]), np.zeros(len(m.mean) - 1))
+    l1, l2 = regParam * elasticNetParam, regParam * (1.0 - elasticNetParam) / spread
+    return net_path(m, l1 / (l1 + l2), [l1 + l2])[0] if l1 else ridge_path(m, [m.n * l2])[0]
+
+
 def without_each(parts: dict) -> dict:
     """For every fold the merged moments of all others, in a number of merges that grows with the folds, not their square."""
     keys = list(parts)
@@ -220,6 +258,17 @@ def predict_folds(df: DataFrame, columns: Sequence[str], fold: str, models: dict
     return df.join(small, df[fold].eqNullSafe(F.col("_k")), "left").select(*[df[c] for c in df.columns], line.alias(name))
 
 
+def predict_held_out(df: DataFrame, fold: str, models: dict[str, tuple[Sequence[str], dict]]) -> DataFrame:
+    """Rows of the folds that have models, with one prediction a name: {name: (columns, {fold: model})}. NaN where an input is null."""
+    keys = list(next(iter(models.values()))[1])
+    rows = [(k, *[v for columns, own in models.values() for v in (own[k].intercept, [float(x) for x in own[k].weights])]) for k in keys]
+    small = df.sparkSession.createDataFrame(rows, f"_k {dict(df.dtypes)[fold]}" + "".join(f", _a{i} double, _w{i} array<double>" for i in range(len(models))))   # one row a fold
+    whole = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    lines = [reduce(lambda a, b: a + b, [F.col(f"_w{i}")[j] * whole(c) for j, c in enumerate(columns)], F.col(f"_a{i}")).alias(name)
+             for i, (name, (columns, _)) in enumerate(models.items())]
+    return df.join(small, F.col(fold) == F.col("_k")).select(*[df[c] for c in df.columns], *lines)
+
+
 def ablate(parts: dict, columns: Sequence[str], sets: dict[str, Sequence[str]], path: Callable[[Moments], Linear] | None = None) -> dict[str, float]:
     """Held-out R2 of plain least squares (or ``path``) on each input set; no further scan."""
     path = path or (lambda m: ridge_path(m, [0.0])[0])

@@ -183,3 +183,42 @@ def test_an_element_of_two_files_counts_once_by_its_longest_geometry(spark, tmp_
         (tmp_path / f"{name}.json").write_text(json.dumps({"elements": [{"id": 5, "tags": {"highway": "primary", "lanes": lanes}, "geometry": place[:n]}]}))
     got = tagged_elements(spark, str(tmp_path)).collect()
     assert [(r["id"], r["osm_lanes"], len(r["geometry"])) for r in got] == [(5, "2", 3)]
+
+
+def test_linear_models_from_moments_are_those_of_spark_ml(df):
+    """One scan gives all folds; with gaps or categories the fit itself runs."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d = SP.group_kfold(df, "huc", 3, 0).withColumn("w", 1 + F.col("id") % 4).withColumn("u", F.col("id") % 11 / 10).persist()
+    variants = {"plain": ML.Variant("linear", ML.Inputs(["x", "u"])), "weighted": ML.Variant("ridge", ML.Inputs(["x", "u"]), weight="w"),
+                "late": ML.Variant("elasticnet", ML.Inputs(["x"]), where=F.col("id") > 200)}
+    assert set(ML.from_moments(d, "fold", variants, "y", ML.held_out(range(3)))) == set(variants)
+    got = {r["id"]: r for r in ML.oof_many(d, "fold", range(3), variants, "y").collect()}
+    for name, columns, rows_, kw in (("plain", ["x", "u"], "true", {}), ("weighted", ["x", "u"], "true", {"regParam": 0.1, "weightCol": "w"}),
+                                     ("late", ["x"], "id > 200", {"regParam": 0.01, "elasticNetParam": 0.5})):
+        put = VectorAssembler(inputCols=columns, outputCol="features")
+        m = LinearRegression(labelCol="y", **kw).fit(put.transform(d.where("fold <> 1").where(rows_)))
+        for r in m.transform(put.transform(d.where("fold = 1"))).collect():
+            assert got[r["id"]][name] == pytest.approx(r["prediction"], abs=1e-6)
+    assert not ML.from_moments(d, "fold", {"gaps": ML.Variant("linear", ML.Inputs(["z"]))}, "y", ML.held_out(range(3)))
+
+
+def test_rows_of_a_tree_are_merged_by_bins(spark, monkeypatch):
+    """What a fit reads is bounded by the different binned rows and FIT_ROWS, not by the table; weights keep their sum."""
+    d = spark.range(5000).select((F.col("id") % 4 / 4).alias("a"), (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 2).cast("double").alias("y"))
+    assert ML.tree_rows(d, ML.Inputs(["a"], ["c"]), "y")[1].count() == 5000
+    monkeypatch.setattr(ML, "FIT_ROWS", 100)
+    _, rows_, n = ML.tree_rows(d, ML.Inputs(["a"], ["c"]), "y")
+    s = rows_.agg(F.count("*"), F.sum("_w"), F.max("_w")).first()
+    assert n == 5000 and s[0] <= 100 + 4 * 3 * 2 and s[1] == pytest.approx(5000) and s[2] <= 50
+    m = ML.fit(d, "boosted", ML.Inputs(["a"], ["c"]), "y", maxIter=3, maxDepth=2)
+    assert ML.predict(m, d, "p").where("p is null or p < -0.5 or p > 1.5").count() == 0
+
+
+def test_permutation_importance_sorts_once(df, monkeypatch):
+    """Any number of repeats reads one stored order."""
+    calls = []
+    monkeypatch.setattr(ML, "with_rank", lambda *a, **k: calls.append(1) or SP.with_rank(*a, **k))
+    d = df.where("z is not null")
+    out = dict(rows(ML.permutation_importance(d, ML.fit(d, "linear", ML.Inputs(["x", "z"]), "y"), {"x": ["x"], "z": ["z"]}, "y", "id", 3).select("grp", "mae_increase")))
+    assert len(calls) == 1 and out["x"] > 0.1 and abs(out["z"]) < 0.05
