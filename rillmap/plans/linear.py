@@ -16,10 +16,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmap.session import small
+
 MOST_INPUTS, MOST_FOLDS = 64, 10_000
+PLAIN_INPUTS = 4                 # inputs whose sums fit into Spark's generated code
 RIDGE = tuple(float(x) for x in np.logspace(-3, 3, 25))
 L1_RATIOS = (0.1, 0.5, 0.9, 1.0)
 STEPS, SPAN = 50, 1e-3           # penalties of an elastic-net path, and the last one as a part of the first
@@ -68,20 +72,87 @@ def moments(df: DataFrame, columns: Sequence[str], target: str, fold: str) -> di
     names = [f"z{i}" for i in range(len(columns) + 1)]
     z = df.select(F.col(fold).alias("k"), *[F.col(c).cast("double").alias(n) for c, n in zip([*columns, target], names)])
     whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) for n in names])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    rows = z.where(whole).groupBy("k").agg(F.count("*").alias("n"), *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
-                                           *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).limit(MOST_FOLDS + 1).collect()
+    z = z.where(whole)
+    if len(columns) > PLAIN_INPUTS:
+        rows = _packed_moments(z, names).limit(MOST_FOLDS + 1).collect()
+    else:
+        pairs = [(i, j) for i in range(len(names)) for j in range(len(names))]
+        co = F.array(*[F.covar_pop(names[min(i, j)], names[max(i, j)]) * F.count("*") for i, j in pairs]).alias("co")
+        rows = z.groupBy("k").agg(F.count("*").cast("double").alias("n"), F.array(*[F.avg(n) for n in names]).alias("mean"), co).limit(MOST_FOLDS + 1).collect()
     if len(rows) > MOST_FOLDS:
         raise ValueError(f"more than {MOST_FOLDS} folds")
-    out = {}
-    for r in rows:
-        co = np.zeros((len(names), len(names)))
-        for i, j in pairs:
-            co[i, j] = co[j, i] = r[f"c{i}_{j}"] * r["n"]
-        out[r["k"]] = Moments(float(r["n"]), np.array([r[f"m{i}"] for i in range(len(names))]), co)
+    out = {r["k"]: Moments(r["n"], np.array(r["mean"]), np.array(r["co"]).reshape(len(names), len(names))) for r in rows}
     return dict(sorted(out.items(), key=lambda x: (x[0] is None, x[0])))
 
 
+def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names])
+
+
+def _by_fold(keys: pa.Array) -> list[tuple[object, np.ndarray]]:
+    """Each fold of a batch with the places of its rows."""
+    codes = keys.dictionary_encode(null_encoding="encode")
+    at, found = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+    order = np.argsort(at, kind="stable")
+    return list(zip(found, np.split(order, np.cumsum(np.bincount(at, minlength=len(found)))[:-1])))
+
+
+def _packed_moments(z: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(k, n, mean, co) of each fold as matrix products of Arrow batches, merged pairwise in each task and then by fold. Generated code holds the sums of few
+    inputs only; those of many would be taken one value at a time."""
+    kind = z.schema["k"].dataType.simpleString()
+    schema = f"k {kind}, n double, mean array<double>, co array<double>"
+    width = len(names)
+
+    def rows(found: dict, key: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), key), pa.array([m.n for m in found.values()], pa.float64()),
+                                           *[pa.array([np.ravel(v).tolist() for v in vs], pa.list_(pa.float64())) for vs in ([m.mean for m in found.values()], [m.co for m in found.values()])]],
+                                          names=["k", "n", "mean", "co"])
+
+    def of_task(batches):
+        found, key = {}, None
+        for b in batches:
+            key, x = b.column(0).type, _matrix(b, names)
+            for k, at in _by_fold(b.column(0)):
+                if len(at):
+                    own, mean = x[at], x[at].mean(axis=0)
+                    own = own - mean
+                    part = Moments(float(len(at)), mean, own.T @ own)
+                    found[k] = found[k] + part if k in found else part
+        if found:
+            yield rows(found, key)
+
+    def of_fold(table: pa.Table) -> pa.Table:
+        parts = [Moments(r["n"], np.array(r["mean"]), np.array(r["co"]).reshape(width, width)) for r in table.to_pylist()]
+        while len(parts) > 1:
+            parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return pa.Table.from_batches([rows({table["k"][0].as_py(): parts[0]}, table["k"].type)])
+
+    return z.mapInArrow(of_task, schema).groupBy("k").applyInArrow(of_fold, schema)
+
+
+def absolute_errors(df: DataFrame, columns: Sequence[str], target: str, fold: str, fits: Sequence[dict]) -> list[dict]:
+    """For each of ``fits`` ({fold: model}) the mean absolute error of every fold it has a model for; rows without a target take no part. One scan for all fits."""
+    keys = [k for k in fits[0] if k is not None]
+    weights = {k: np.column_stack([f[k].weights for f in fits]) for k in keys}
+    starts = {k: np.array([f[k].intercept for f in fits]) for k in keys}
+    names = [f"z{i}" for i in range(len(columns) + 1)]
+    z = df.where(F.col(target).isNotNull() & F.col(fold).isin(*keys)).select(F.col(fold).alias("k"), *[F.col(c).cast("double").alias(n) for c, n in zip([*columns, target], names)])
+
+    def of_batch(batches):
+        for b in batches:
+            x, out = _matrix(b, names), []
+            for k, at in _by_fold(b.column(0)):
+                if len(at):
+                    out.append((k, len(at), np.abs(x[at, :-1] @ weights[k] + starts[k] - x[at, -1:]).sum(axis=0)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.column(0).type), pa.array([o[1] for o in out], pa.int64()),
+                                              *[pa.array([float(o[2][i]) for o in out], pa.float64()) for i in range(len(fits))]], names=["k", "n", *[f"e{i}" for i in range(len(fits))]])
+
+    parts = z.mapInArrow(of_batch, f"k {z.schema['k'].dataType.simpleString()}, n bigint, " + ", ".join(f"e{i} double" for i in range(len(fits))))
+    rows = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(fits))]).collect()          # one row a fold
+    return [{r["k"]: r[f"e{i}"] / r["n"] for r in rows} for i in range(len(fits))]
+
+
 def complete_moments(df: DataFrame, columns: Sequence[str], target: str, fold: str, weight: str | None = None) -> dict | None:
     """The moments of each fold over rows with a target, or None if one of them lacks an input. With ``weight`` the counts and sums are weighted; the sums are
     taken around the plain means, so nothing cancels."""
@@ -253,20 +324,20 @@ def predict_folds(df: DataFrame, columns: Sequence[str], fold: str, models: dict
     """Add the prediction of the model that has not seen a row's fold: {fold: model}. Null where an input is null or the fold has no model."""
     rows = [(k, f.intercept, [float(x) for x in f.weights]) for k, f in models.items()]
     kind = dict(df.dtypes)[fold]
-    small = df.sparkSession.createDataFrame(rows, f"_k {kind}, _a double, _w array<double>")            # one row a fold
+    own = small(df.sparkSession, rows, f"_k {kind}, _a double, _w array<double>")            # one row a fold
     line = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(c).cast("double") for i, c in enumerate(columns)], F.col("_a"))
-    return df.join(small, df[fold].eqNullSafe(F.col("_k")), "left").select(*[df[c] for c in df.columns], line.alias(name))
+    return df.join(own, df[fold].eqNullSafe(F.col("_k")), "left").select(*[df[c] for c in df.columns], line.alias(name))
 
 
 def predict_held_out(df: DataFrame, fold: str, models: dict[str, tuple[Sequence[str], dict]]) -> DataFrame:
     """Rows of the folds that have models, with one prediction a name: {name: (columns, {fold: model})}. NaN where an input is null."""
     keys = list(next(iter(models.values()))[1])
-    rows = [(k, *[v for columns, own in models.values() for v in (own[k].intercept, [float(x) for x in own[k].weights])]) for k in keys]
-    small = df.sparkSession.createDataFrame(rows, f"_k {dict(df.dtypes)[fold]}" + "".join(f", _a{i} double, _w{i} array<double>" for i in range(len(models))))   # one row a fold
+    rows = [(k, *[v for columns, fits in models.values() for v in (fits[k].intercept, [float(x) for x in fits[k].weights])]) for k in keys]
+    own = small(df.sparkSession, rows, f"_k {dict(df.dtypes)[fold]}" + "".join(f", _a{i} double, _w{i} array<double>" for i in range(len(models))))   # one row a fold
     whole = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     lines = [reduce(lambda a, b: a + b, [F.col(f"_w{i}")[j] * whole(c) for j, c in enumerate(columns)], F.col(f"_a{i}")).alias(name)
              for i, (name, (columns, _)) in enumerate(models.items())]
-    return df.join(small, F.col(fold) == F.col("_k")).select(*[df[c] for c in df.columns], *lines)
+    return df.join(own, F.col(fold) == F.col("_k")).select(*[df[c] for c in df.columns], *lines)
 
 
 def ablate(parts: dict, columns: Sequence[str], sets: dict[str, Sequence[str]], path: Callable[[Moments], Linear] | None = None) -> dict[str, float]:

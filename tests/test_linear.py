@@ -3,7 +3,9 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
+from rillmap.operators import splits as SP
 from rillmap.plans import linear as LI
 
 COLUMNS = ["a", "b", "c", "d"]
@@ -113,3 +115,32 @@ def test_nothing_and_bounds(spark, frame):
         LI.moments(frame, ["a"] * 65, "y", "fold")
     flat = LI.moments(frame.selectExpr("0 AS fold", "1.0 AS a", "2.0 AS y").unionAll(frame.selectExpr("1", "1.0", "2.0")), ["a"], "y", "fold")
     assert LI.ridge_path(flat[0])[0].weights.tolist() == [0.0] and LI.net_penalties(flat[0], 0.5)[0] == 0.0
+
+
+def test_many_inputs_have_the_moments_of_few(spark, frame, monkeypatch):
+    plain = LI.moments(frame, COLUMNS, "y", "fold")
+    monkeypatch.setattr(LI, "PLAIN_INPUTS", 0)
+    packed = LI.moments(frame, COLUMNS, "y", "fold")
+    assert list(plain) == list(packed)
+    for k, m in plain.items():
+        assert m.n == packed[k].n and np.allclose(m.mean, packed[k].mean) and np.allclose(m.co, packed[k].co)
+
+
+def test_errors_of_many_fits_in_one_scan(frame, parts):
+    keys = [k for k in parts if k is not None]
+    rest = {k: m for k, m in LI.without_each({k: parts[k] for k in keys}).items()}
+    fits = [{k: LI.ridge_path(rest[k], [a])[0] for k in keys} for a in (0.0, 5.0)]
+    whole = frame.na.drop().where("b < 1e300")
+    found = LI.absolute_errors(whole, COLUMNS, "y", "fold", fits)
+    for own, errors in zip(fits, found):
+        p = LI.predict_held_out(whole, "fold", {"p": (COLUMNS, own)})
+        want = {r[0]: r[1] for r in p.groupBy("fold").agg(F.avg(F.abs(F.col("p") - F.col("y")))).collect()}
+        assert errors.keys() == want.keys() and all(abs(errors[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rows_meet_folds_and_models_without_a_shuffle(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("int").alias("g"), F.rand(1).alias("x"))
+    d = SP.group_kfold(SP.group_size_weight(df, "g", 0.5), "g", 5, 0)
+    p = LI.predict_held_out(d, "fold", {"p": (["x"], {k: LI.Linear(float(k), np.ones(1)) for k in range(5)})})
+    assert p.count() == 1000
+    assert "SortMergeJoin" not in p._jdf.queryExecution().toString() and "hashpartitioning" not in p._jdf.queryExecution().toString()
