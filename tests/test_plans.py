@@ -222,3 +222,29 @@ def test_permutation_importance_sorts_once(df, monkeypatch):
     d = df.where("z is not null")
     out = dict(rows(ML.permutation_importance(d, ML.fit(d, "linear", ML.Inputs(["x", "z"]), "y"), {"x": ["x"], "z": ["z"]}, "y", "id", 3).select("grp", "mae_increase")))
     assert len(calls) == 1 and out["x"] > 0.1 and abs(out["z"]) < 0.05
+
+
+def test_one_count_serves_the_trees_of_every_fold(spark, monkeypatch):
+    """The rows that a tree reads without a fold are those of a count of that training set alone; the table is counted once for all folds and input sets."""
+    d = spark.range(900).select(F.when(F.col("id") % 9 != 0, F.col("id") % 13 / 4).alias("a"), (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 5).cast("int").alias("fold"),
+                                (F.col("id") % 7 / 7).alias("b"), (F.col("id") % 2).cast("double").alias("y"))
+    calls = []
+    monkeypatch.setattr(ML, "stored", lambda df: calls.append(1) or df)
+    counted = ML.Binned(d, "fold", range(5), ML.Inputs(["a", "b"], ["c"]), "y")
+    assert len(calls) == 1
+    seen = lambda r: sorted((str(x["features"].toArray().tolist()), x["_y"], x["_w"]) for x in r.collect())
+    for k, inputs in ((1, ML.Inputs(["a", "b"], ["c"])), (4, ML.Inputs(["a"]))):
+        assert seen(counted.rows(k, inputs)[1]) == seen(ML.tree_rows(d.where(F.col("fold") != k), inputs, "y")[1])
+    ready, fit_rows, _ = counted.rows(1)
+    raw = ready.transform(d.where("fold <> 1")).select("features", F.col("y").alias("_y"), F.lit(1.0).alias("_w"))
+    assert seen(raw) == seen(fit_rows)          # the stages give raw rows the same bins
+
+
+def test_gaps_and_categories_of_a_linear_model_are_those_of_spark_ml(df):
+    from pyspark.ml import Pipeline
+    d, inputs = df.withColumn("w", F.lit(1.0)), ML.Inputs(["x", "z"], ["st"])
+    for kind in ("linear", "ridge"):
+        own, spark_ml = ML.fit(d, kind, inputs, "y"), Pipeline(stages=[*ML.preprocess(d, inputs), ML.maker(kind)().setLabelCol("y")]).fit(d)
+        assert len(own.stages) == 1
+        gap = ML.predict(own, ML.predict(spark_ml, d, "a"), "b").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
+        assert gap < 1e-6
