@@ -24,6 +24,7 @@ from rillmap.session import small
 
 MOST_INPUTS, MOST_FOLDS = 64, 10_000
 PLAIN_INPUTS = 4                 # inputs whose sums fit into Spark's generated code
+ORIGIN_ROWS = 1_000              # rows whose means are the origin of weighted sums
 RIDGE = tuple(float(x) for x in np.logspace(-3, 3, 25))
 L1_RATIOS = (0.1, 0.5, 0.9, 1.0)
 STEPS, SPAN = 50, 1e-3           # penalties of an elastic-net path, and the last one as a part of the first
@@ -49,6 +50,14 @@ class Moments:
         at = [*places, len(self.mean) - 1]
         return Moments(self.n, self.mean[at], self.co[np.ix_(at, at)])
 
+    def less(self, places: Sequence[int], model: "Linear") -> "Moments":
+        """The moments of the inputs and, last, what a model of the inputs at ``places`` leaves of the target."""
+        turn = np.eye(len(self.mean))
+        turn[-1, list(places)] -= model.weights
+        mean = turn @ self.mean
+        mean[-1] -= model.intercept
+        return Moments(self.n, mean, turn @ self.co @ turn.T)
+
 
 @dataclass(frozen=True)
 class Linear:
@@ -154,31 +163,52 @@ def absolute_errors(df: DataFrame, columns: Sequence[str], target: str, fold: st
 
 
 def complete_moments(df: DataFrame, columns: Sequence[str], target: str, fold: str, weight: str | None = None) -> dict | None:
-    """The moments of each fold over rows with a target, or None if one of them lacks an input. With ``weight`` the counts and sums are weighted; the sums are
-    taken around the plain means, so nothing cancels."""
-    rows = df.where(F.col(target).isNotNull())
-    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.abs(F.col(c).cast("double")) == float("inf")) | F.isnan(F.col(c).cast("double")) for c in columns], F.lit(False))
-    seen = rows.agg(F.count_if(gap).alias("gaps"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*columns, target])]).first()
-    if seen["gaps"]:
-        return None
-    if weight is None:
-        return moments(rows, columns, target, fold)
-    shift = np.array([seen[f"m{i}"] or 0.0 for i in range(len(columns) + 1)])
-    names = [f"z{i}" for i in range(len(shift))]
-    z = rows.select(F.col(fold).alias("k"), F.col(weight).cast("double").alias("w"), *[(F.col(c).cast("double") - F.lit(float(m))).alias(n) for c, m, n in zip([*columns, target], shift, names)])
+    """The moments of each fold over rows with a target, or None if one of them lacks an input. With ``weight`` the counts and sums are weighted."""
+    found = moments_by_weight(df, columns, target, fold, [weight])
+    return found and found[weight]
+
+
+def moments_by_weight(df: DataFrame, columns: Sequence[str], target: str, fold: str, weights: Sequence[str | None]) -> dict | None:
+    """{weight: ``complete_moments`` with it} by one scan, which counts the gaps too (None: every row counts once). More than ``PLAIN_INPUTS`` inputs without a
+    weight take a scan of their own. Weighted sums are taken around the means of some first rows, so nothing cancels; any place inside the data would do."""
+    if len(columns) > MOST_INPUTS:
+        raise ValueError(f"more than {MOST_INPUTS} inputs")
+    values = [F.col(c).cast("double") for c in [*columns, target]]
+    finite = [F.coalesce(F.abs(v) < float("inf"), F.lit(False)) for v in values]
+    rows, gap = df.where(F.col(target).isNotNull()), ~reduce(lambda a, b: a & b, finite[:-1], F.lit(True))
+    if list(weights) == [None] and len(columns) > PLAIN_INPUTS:
+        return None if rows.agg(F.count_if(gap)).first()[0] else {None: moments(rows, columns, target, fold)}
+    names, origin = [f"z{i}" for i in range(len(values))], np.zeros(len(values))
+    if any(weights):
+        some = np.array(rows.select(*values).head(ORIGIN_ROWS), dtype=float).reshape(-1, len(values))
+        some = some[np.isfinite(some).all(axis=1)]
+        origin = some.mean(axis=0) if len(some) else origin
+    z = rows.where(gap | finite[-1]).select(F.col(fold).alias("k"), gap.alias("gap"), *[(v - F.lit(float(o)) if o else v).alias(n) for v, o, n in zip(values, origin, names)],
+                                            *[F.col(w).cast("double").alias(f"w{i}") for i, w in enumerate(weights) if w])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = z.groupBy("k").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names],
-                              *[F.sum(F.col("w") * F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs]).limit(MOST_FOLDS + 1).collect()
-    if len(sums) > MOST_FOLDS:
+    sums = [F.count_if("gap").alias("gaps")]
+    for i, w in enumerate(weights):
+        if w:
+            sums += [F.sum(f"w{i}").alias(f"n{i}"), *[F.sum(F.col(f"w{i}") * F.col(n)).alias(f"m{i}_{a}") for a, n in enumerate(names)],
+                     *[F.sum(F.col(f"w{i}") * F.col(names[a]) * F.col(names[b])).alias(f"c{i}_{a}_{b}") for a, b in pairs]]
+        else:
+            sums += [F.count("*").cast("double").alias(f"n{i}"), *[F.avg(n).alias(f"m{i}_{a}") for a, n in enumerate(names)],
+                     *[(F.covar_pop(names[a], names[b]) * F.count("*")).alias(f"c{i}_{a}_{b}") for a, b in pairs]]
+    found = z.groupBy("k").agg(*sums).limit(MOST_FOLDS + 1).collect()
+    if len(found) > MOST_FOLDS:
         raise ValueError(f"more than {MOST_FOLDS} folds")
-    out = {}
-    for r in sums:
-        if r["n"]:
-            off = np.array([r[n] for n in names])
-            co = np.zeros((len(names), len(names)))
-            for i, j in pairs:
-                co[i, j] = co[j, i] = r[f"c{i}_{j}"] - off[i] * off[j] / r["n"]
-            out[r["k"]] = Moments(float(r["n"]), shift + off / r["n"], co)
+    if any(r["gaps"] for r in found):
+        return None
+    out: dict = {w: {} for w in weights}
+    for r in sorted(found, key=lambda r: (r["k"] is None, r["k"])):
+        for i, w in enumerate(weights):
+            n = r[f"n{i}"]
+            if not n:
+                continue
+            off, co = np.array([r[f"m{i}_{a}"] for a in range(len(names))]), np.zeros((len(names), len(names)))
+            for a, b in pairs:
+                co[a, b] = co[b, a] = r[f"c{i}_{a}_{b}"] - (off[a] * off[b] / n if w else 0.0)
+            out[w][r["k"]] = Moments(float(n), origin + (off / n if w else off), co)
     return out
 
 

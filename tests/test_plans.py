@@ -248,3 +248,19 @@ def test_gaps_and_categories_of_a_linear_model_are_those_of_spark_ml(df):
         assert len(own.stages) == 1
         gap = ML.predict(own, ML.predict(spark_ml, d, "a"), "b").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
         assert gap < 1e-6
+
+
+def test_a_stack_of_lines_reads_its_moments_once(df, monkeypatch):
+    """The fit on residuals follows from the moments of the first scan and equals two fits one after the other."""
+    d = SP.group_kfold(df, "huc", 3, 0).withColumn("u", F.col("id") % 11 / 10).persist()
+    calls, scan = [], ML.L.moments_by_weight
+    monkeypatch.setattr(ML.L, "moments_by_weight", lambda *a: calls.append(1) or scan(*a))
+    got = ML.residual_stack(d, "fold", range(3), ML.Inputs(["x"]), ML.Inputs(["u", "x"]), "y", "ridge")
+    assert len(calls) == 1
+    first = ML.oof(d, "fold", range(3), "ridge", ML.Inputs(["x"]), "y", "base").withColumn("left", F.col("y") - F.col("base"))
+    want = {r["id"]: r for r in ML.oof(first, "fold", range(3), "ridge", ML.Inputs(["u", "x"]), "left", "resid").collect()}
+    assert got.columns == [*d.columns, "base", "resid", "stacked"] and got.count() == len(want) == 600
+    for r in got.collect():
+        assert r["base"] == pytest.approx(want[r["id"]]["base"], abs=1e-9) and r["resid"] == pytest.approx(want[r["id"]]["resid"], abs=1e-9)
+    gaps = ML.residual_stack(d, "fold", range(3), ML.Inputs(["x"]), ML.Inputs(["z"]), "y", "linear")
+    assert gaps.count() == 600 and gaps.where("stacked IS NULL").count() == 0
