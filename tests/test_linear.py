@@ -144,3 +144,24 @@ def test_rows_meet_folds_and_models_without_a_shuffle(spark):
     p = LI.predict_held_out(d, "fold", {"p": (["x"], {k: LI.Linear(float(k), np.ones(1)) for k in range(5)})})
     assert p.count() == 1000
     assert "SortMergeJoin" not in p._jdf.queryExecution().toString() and "hashpartitioning" not in p._jdf.queryExecution().toString()
+
+
+def test_all_weights_share_one_scan(spark, monkeypatch):
+    from rillmap.plans import models as ML
+    d = spark.range(400).select((F.col("id") % 4).cast("int").alias("fold"), (1e6 + F.col("id") % 17).alias("x"), (F.col("id") % 17 * 0.3 + F.col("id") % 5).alias("y"),
+                                (1 + F.col("id") % 3).alias("w"), F.when(F.col("id") % 6 != 0, F.col("id") % 2 + 0.5).alias("v")).persist()
+    variants = {n: ML.Variant("linear", ML.Inputs(["x"]), weight=w) for n, w in (("plain", None), ("w", "w"), ("v", "v"))}
+    calls, scan = [], LI.moments_by_weight
+    monkeypatch.setattr(LI, "moments_by_weight", lambda *a: calls.append(a[-1]) or scan(*a))
+    found = ML.from_moments(d, "fold", variants, "y", ML.held_out(range(4)))
+    assert calls == [[None, "w", "v"]]
+    rows_ = [r.asDict() for r in d.collect()]
+    for name, weight in (("plain", None), ("w", "w"), ("v", "v")):
+        for k, line in found[name][1].items():
+            own = [r for r in rows_ if r["fold"] != k and (weight is None or r[weight] is not None)]
+            slope, start = np.polyfit([r["x"] - 1e6 for r in own], [r["y"] for r in own], 1, w=np.sqrt([float(r[weight]) if weight else 1.0 for r in own]))
+            assert abs(line.weights[0] - slope) < 1e-8 and abs(line.intercept + 1e6 * line.weights[0] - start) < 1e-5
+    assert LI.moments_by_weight(d.withColumn("x", F.when(F.col("w") < 3, F.col("x"))), ["x"], "y", "fold", [None, "w"]) is None
+    counts = SP.group_counts(d, "fold")
+    a, b = (sorted(map(tuple, SP.group_size_weight(d, "fold", 0.5, "s", c).collect()), key=str) for c in (None, counts))
+    assert a == b
