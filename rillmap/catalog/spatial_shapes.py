@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from rillmap.catalog.base import query
 from rillmap.operators import paths as PA
-from rillmap.operators import points as P
 from rillmap.operators import shapes as S
 
 T = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/nullif((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1),0.0), 0.0::DOUBLE)))"
@@ -65,7 +64,7 @@ cr AS (SELECT lid, b_lid, arg_min(ix, (seg, b_seg)) AS ix, arg_min(iy, (seg, b_s
 
 
 def crossings(t):
-    return S.crossing_points(t.px_lines, t.px_lines, "lid", 500.0, F.col("lid") < F.col("b_lid"))
+    return S.crossing_points(t.px_lines, t.px_lines, "lid", 500.0, F.col("lid") < F.col("b_lid"), overlaps=False)
 
 
 @query("line_intersections", f"WITH {CROSS} SELECT lid, b_lid, round(ix,6) AS ix, round(iy,6) AS iy FROM cr")
@@ -77,8 +76,7 @@ def _(t):
 SELECT count(*) AS n, round(avg(CASE WHEN d<=300 THEN 1.0 ELSE 0.0 END),6) AS within_300, round(avg(CASE WHEN d<=1000 THEN 1.0 ELSE 0.0 END),6) AS within_1000,
  round(avg(d),4) AS mean_m FROM d""")
 def _(t):
-    c = crossings(t).select((F.col("lid") * 1000003 + F.col("b_lid")).alias("cid"), F.col("ix").alias("sx"), F.col("iy").alias("sy"))
-    d = P.nearest(t.px_points, c, "pid", "cid")
+    d = S.nearest_crossing(t.px_points, t.px_lines, "pid", "lid", 500.0, overlaps=False)
     share = lambda m: F.round(F.avg((F.col("dist") <= m).cast("double")), 6)
     return d.agg(F.count("*").alias("n"), share(300).alias("within_300"), share(1000).alias("within_1000"), F.round(F.avg("dist"), 4).alias("mean_m"))
 
