@@ -14,6 +14,7 @@ import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from rillmap.session import shared_dir, stored
 MERGED = 1 << 20                 # rows that a task gathers before it merges equal ones
 CHUNK = 1 << 19                  # cells that are worked on at a time
 MOST_FEATURES = 512
+MOST_CODES = 4096                # combinations of codes that are predicted beforehand
 KEEP_ROUNDS = 16                 # rounds after which the lineage of the cells is cut
 MANY_PARTS = 64                  # partitions whose sums go to the driver as they are
 _WORD = 1 << 62
@@ -235,12 +237,22 @@ class Forest:
     """A fitted model: the sum of its trees' values, from places of inputs."""
     fit: Fit
     trees: tuple
+    held: dict = field(default_factory=dict, compare=False)
 
     def predict(self, places: Sequence[np.ndarray], n: int) -> np.ndarray:
-        """Predictions, for a classifier the probability of 1."""
-        codes, out = self.fit.codes(places), np.zeros(n)
+        """Predictions, for a classifier the probability of 1. Where few codes go together, each of their combinations is predicted once."""
+        codes, sizes = self.fit.codes(places), self.fit.sizes()
+        if not sizes or prod(sizes) > MOST_CODES:
+            return self._sum(codes, n)
+        if "table" not in self.held:
+            every = np.stack(np.unravel_index(np.arange(prod(sizes)), sizes), axis=1).astype(codes.dtype)
+            self.held["table"] = self._sum(every, len(every))
+        return self.held["table"][np.ravel_multi_index(tuple(codes.T), sizes)]
+
+    def _sum(self, codes: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
         for i, t in enumerate(self.trees):
-            out += (self.fit.of("stepSize") if i else 1.0) * (t[3][_walk(t, codes)] if len(codes) else t[3][0])
+            out += (self.fit.of("stepSize") if i else 1.0) * (t[3][_walk(t, codes)] if codes.shape[1] else t[3][0])
         return out if self.fit.kind == "boosted" else 1.0 / (1.0 + np.exp(-2.0 * out))
 
 

@@ -11,7 +11,7 @@ target or an input is null, NaN or infinite take no part; a fold without rows ha
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from rillmap.session import small
 
@@ -83,15 +85,10 @@ def moments(df: DataFrame, columns: Sequence[str], target: str, fold: str) -> di
     whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) for n in names])
     z = z.where(whole)
     if len(columns) > PLAIN_INPUTS:
-        rows = _packed_moments(z, names).limit(MOST_FOLDS + 1).collect()
-    else:
-        pairs = [(i, j) for i in range(len(names)) for j in range(len(names))]
-        co = F.array(*[F.covar_pop(names[min(i, j)], names[max(i, j)]) * F.count("*") for i, j in pairs]).alias("co")
-        rows = z.groupBy("k").agg(F.count("*").cast("double").alias("n"), F.array(*[F.avg(n) for n in names]).alias("mean"), co).limit(MOST_FOLDS + 1).collect()
-    if len(rows) > MOST_FOLDS:
-        raise ValueError(f"more than {MOST_FOLDS} folds")
-    out = {r["k"]: Moments(r["n"], np.array(r["mean"]), np.array(r["co"]).reshape(len(names), len(names))) for r in rows}
-    return dict(sorted(out.items(), key=lambda x: (x[0] is None, x[0])))
+        return collected(_packed_moments(z, names), len(names))
+    pairs = [(i, j) for i in range(len(names)) for j in range(len(names))]
+    co = F.array(*[F.covar_pop(names[min(i, j)], names[max(i, j)]) * F.count("*") for i, j in pairs]).alias("co")
+    return collected(z.groupBy("k").agg(F.count("*").cast("double").alias("n"), F.array(*[F.avg(n) for n in names]).alias("mean"), co), len(names))
 
 
 def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
@@ -107,39 +104,64 @@ def _by_fold(keys: pa.Array) -> list[tuple[object, np.ndarray]]:
 
 
 def _packed_moments(z: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(k, n, mean, co) of each fold as matrix products of Arrow batches, merged pairwise in each task and then by fold. Generated code holds the sums of few
-    inputs only; those of many would be taken one value at a time."""
-    kind = z.schema["k"].dataType.simpleString()
+    """(k, n, mean, co) of each fold as matrix products of Arrow batches. Generated code holds the sums of few inputs only; those of many would be taken one value at a time."""
+    def parts(b: pa.RecordBatch) -> Iterator[tuple]:
+        x = _matrix(b, names)
+        for k, at in _by_fold(b.column(0)):
+            if len(at):
+                yield k, of_rows(x[at])
+
+    return merged_moments(z, parts, z.schema["k"].dataType.simpleString(), len(names))
+
+
+def of_rows(x: np.ndarray, weight: np.ndarray | None = None) -> Moments:
+    """The moments of a batch of rows, the target last; with ``weight`` the counts and sums are weighted."""
+    if weight is None:
+        mean = x.mean(axis=0)
+        own = x - mean
+        return Moments(float(len(x)), mean, own.T @ own)
+    n = float(weight.sum())
+    mean = weight @ x / n if n else np.zeros(x.shape[1])
+    own = x - mean
+    return Moments(n, mean, own.T @ (own * weight[:, None]))
+
+
+def merged_moments(z: DataFrame, parts: Callable[[pa.RecordBatch], Iterator[tuple]], kind: str, width: int) -> DataFrame:
+    """(k, n, mean, co): the moments that ``parts`` gives for keys of Arrow batches, merged pairwise in each task and then by key."""
     schema = f"k {kind}, n double, mean array<double>, co array<double>"
-    width = len(names)
+    key = to_arrow_type(_parse_datatype_string(kind))
 
-    def rows(found: dict, key: pa.DataType) -> pa.RecordBatch:
+    def rows(found: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), key), pa.array([m.n for m in found.values()], pa.float64()),
                                            *[pa.array([np.ravel(v).tolist() for v in vs], pa.list_(pa.float64())) for vs in ([m.mean for m in found.values()], [m.co for m in found.values()])]],
                                           names=["k", "n", "mean", "co"])
 
     def of_task(batches):
-        found, key = {}, None
+        found = {}
         for b in batches:
-            key, x = b.column(0).type, _matrix(b, names)
-            for k, at in _by_fold(b.column(0)):
-                if len(at):
-                    own, mean = x[at], x[at].mean(axis=0)
-                    own = own - mean
-                    part = Moments(float(len(at)), mean, own.T @ own)
-                    found[k] = found[k] + part if k in found else part
+            for k, part in parts(b):
+                found[k] = found[k] + part if k in found else part
         if found:
-            yield rows(found, key)
+            yield rows(found)
 
     def of_fold(table: pa.Table) -> pa.Table:
         parts = [Moments(r["n"], np.array(r["mean"]), np.array(r["co"]).reshape(width, width)) for r in table.to_pylist()]
         while len(parts) > 1:
             parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return pa.Table.from_batches([rows({table["k"][0].as_py(): parts[0]}, table["k"].type)])
+        return pa.Table.from_batches([rows({table["k"][0].as_py(): parts[0]})])
 
     return z.mapInArrow(of_task, schema).groupBy("k").applyInArrow(of_fold, schema)
 
 
+def collected(found: DataFrame, width: int) -> dict:
+    """{k: moments} of a table of them, by key."""
+    rows = found.limit(MOST_FOLDS + 1).collect()
+    if len(rows) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    out = {r["k"]: Moments(r["n"], np.array(r["mean"]), np.array(r["co"]).reshape(width, width)) for r in rows}
+    return dict(sorted(out.items(), key=lambda x: (x[0] is None, x[0])))
+
+
 def absolute_errors(df: DataFrame, columns: Sequence[str], target: str, fold: str, fits: Sequence[dict]) -> list[dict]:
     """For each of ``fits`` ({fold: model}) the mean absolute error of every fold it has a model for; rows without a target take no part. One scan for all fits."""
     keys = [k for k in fits[0] if k is not None]

@@ -88,3 +88,21 @@ def test_cells_are_merged_exactly(monkeypatch):
             got[r["a"], r["y"]] = n + r["n"], v + r["v"]
     want = {(a, b): 2.0 * ((places[0] == a) & (y == b)).sum() for a, b in zip(places[0].tolist(), y.tolist())}
     assert got == {k: (n, n / 2) for k, n in want.items()}
+
+
+def test_weights_toward_every_group_come_from_one_split(df, monkeypatch):
+    """All held-out groups share one split and one count; the models are those of one group at a time, and a group's own target does not matter."""
+    d = df.select("id", F.when(F.col("id") % 11 != 0, F.col("fold")).alias("st"), (F.col("id") * 53 % 11 / 4 + F.col("fold") % 2 / 8).alias("b"), "y", (F.col("id") % 3 / 3).alias("u"))
+    calls = []
+    monkeypatch.setattr(ML.SP, "stratified_kfold", lambda t, rid, label, k, seed, name: calls.append(1) or t.withColumn(name, (F.col("id") % 7 % k).cast("int")))
+    inputs, run = ML.Inputs(["b", "u"]), lambda t, **k: ML.leave_group_out_variants(t, "st", range(5), {}, ML.Inputs(["b", "u"]), "y", "id", weight_params=SETTINGS, variants=("weighted",), **k)
+    got = predictions(run(d), "weighted")
+    assert len(calls) == 1 and len(got) == d.where("st is not null").count()
+    again = predictions(run(d.withColumn("y", F.when(F.col("st") == 2, 1000.0).otherwise(F.col("y")))).where("st = 2"), "weighted")
+    assert again and all(got[i] == pytest.approx(v, abs=1e-9) for i, v in again.items())
+    marked = d.select("id", (F.col("st") == 2).cast("int").alias("dom"), "y", "b", "u")
+    own = ML.fit(ML.domain_weights(marked.where("dom is not null"), "dom", "id", inputs, **SETTINGS), "linear", inputs, "y", "weight")
+    slow = predictions(ML.predict(own, d.where("st = 2"), "weighted"), "weighted")
+    assert max(abs(got[i] - v) for i, v in slow.items()) < 1e-6
+    gaps = run(d.withColumn("b", F.when(F.col("id") != 7, F.col("b"))))
+    assert gaps.count() == len(got) and gaps.where("weighted is null").count() == 0
