@@ -106,3 +106,18 @@ def test_weights_toward_every_group_come_from_one_split(df, monkeypatch):
     assert max(abs(got[i] - v) for i, v in slow.items()) < 1e-6
     gaps = run(d.withColumn("b", F.when(F.col("id") != 7, F.col("b"))))
     assert gaps.count() == len(got) and gaps.where("weighted is null").count() == 0
+
+
+def test_a_stack_of_all_folds_is_that_of_one_fold_at_a_time(df, monkeypatch):
+    """Inner and outer models of all folds come from one count and one scan of moments; the hook, fold by fold, gives the same predictions, with gaps."""
+    d = df.select("id", (F.col("id") % 23).cast("int").alias("huc"), F.col("fold").alias("old"), F.when(F.col("id") % 9 != 0, F.col("id") * 37 % 25 / 10).alias("a"), "b", "y",
+                  F.when(F.col("id") % 50 != 0, F.col("label").cast("double")).alias("poor"))
+    d = ML.SP.group_kfold(d, "huc", 4, 0).drop("old").withColumn("y", F.when(F.col("id") % 31 != 0, F.col("y"))).persist()
+    hook = ML.aux_stack_hook(ML.Inputs(["a", "b"]), "poor", "id", "huc", 3, **SETTINGS)
+    v, calls, once = {"p": ML.Variant("linear", ML.Inputs(["a", "b"], (), ("aux_p",)))}, [], BO.fit_forests
+    monkeypatch.setattr(BO, "fit_forests", lambda *a: calls.append(len(a[-1])) or once(*a))
+    got = ML.oof_many(d, "fold", range(4), v, "y", hook)
+    one = predictions(got, "p")
+    assert calls == [4 * (3 + 1)] and got.columns == [*d.columns, "p"] and len(one) == 1500
+    two = predictions(ML.oof_many(d, "fold", [0, 2], v, "y", lambda train, test: hook(train, test)), "p")
+    assert two and max(abs(one[i] - p) for i, p in two.items()) < 1e-6
