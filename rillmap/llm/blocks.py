@@ -35,6 +35,7 @@ class Block:
     stops: np.ndarray
     data: np.ndarray
     replies: dict[str, list[bytes]]
+    beside: np.ndarray | None = None
 
     def parts(self) -> Iterator[tuple[int, int]]:
         """Consecutive ranges of documents."""
@@ -52,8 +53,8 @@ class Block:
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of every bucket that sorted 64-bit keys reach; a bucket is a range of keys."""
-    top = [-(-(b << 64) // buckets) for b in range(1, buckets)]
+    """(bucket, from, to) of every bucket that sorted 64-bit keys reach; a bucket is a range of keys, and keys of one first half share it."""
+    top = [-(-(b << 32) // buckets) << 32 for b in range(1, buckets)]
     cut = [0, *np.searchsorted(keys, np.array(top, np.uint64)).tolist(), len(keys)]
     return [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
 
@@ -92,9 +93,17 @@ class Blocks:
         self.name = f"blocks_{uuid.uuid4().hex}"
         rows.write.option("path", scratch_path(self.spark, "blocks")).option("compression", "zstd").bucketBy(max(1, self.buckets // 2), "block").saveAsTable(self.name)
 
-    def run(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, replies: dict[str, DataFrame] | None = None) -> DataFrame:
-        """Apply ``work`` to every block, with the replies that were written for it."""
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """(block, beside), one row a block, written like the blocks, so that they meet without a shuffle."""
+        name = f"beside_{uuid.uuid4().hex}"
+        rows.write.option("path", scratch_path(self.spark, "beside")).option("compression", "zstd").bucketBy(max(1, self.buckets // 2), "block").saveAsTable(name)
+        return self.spark.table(name)
+
+    def run(self, work: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, replies: dict[str, DataFrame] | None = None, beside: DataFrame | None = None) -> DataFrame:
+        """Apply ``work`` to every block, with the replies that were written for it and what was kept beside it."""
         table = self.spark.table(self.name)
+        if beside is not None:
+            table = table.join(beside.hint("merge"), "block")
         if replies:
             each = [df.select("block", F.lit(kind).alias("kind"), "bucket", "flags") for kind, df in replies.items()]
             every = each[0]
@@ -113,7 +122,8 @@ class Blocks:
                     stops = np.cumsum(np.frombuffer(got["sizes"].as_py(), "<i8"))
                     starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
                     data = np.frombuffer(got["data"].as_buffer() if len(got["data"].as_buffer() or b"") else b"", np.uint8)
-                    yield from work(Block(got["block"].as_py(), np.frombuffer(got["doc_ids"].as_py(), "<i8"), starts, stops, data, held))
+                    own = np.frombuffer(got["beside"].as_buffer(), np.uint8) if "beside" in got else None
+                    yield from work(Block(got["block"].as_py(), np.frombuffer(got["doc_ids"].as_py(), "<i8"), starts, stops, data, held, own))
 
         return table.mapInArrow(each_block, schema)
 
@@ -154,13 +164,9 @@ def earlier(rows: pa.Table) -> list[bytes]:
     high, sizes = joined(rows, "keys", "<u8")
     low, _ = joined(rows, "more", "<u4")
     docs, _ = joined(rows, "docs", "<i8")
-    order = np.lexsort((docs, low, high))
-    h, lo, d = high[order], low[order], docs[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
-    least = d[first][np.cumsum(first) - 1]
-    flags = np.empty(len(h), np.uint8)
-    flags[order] = d > least
+    order, first = by_entry(high, low)
+    flags = np.empty(len(high), np.uint8)
+    flags[order] = docs[order] > np.minimum.reduceat(docs[order], np.flatnonzero(first))[np.cumsum(first) - 1]
     return split(flags, sizes)
 
 
@@ -184,20 +190,31 @@ def send_entries(block: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray],
                                       schema=schema)
 
 
-def distinct_entries(high: np.ndarray, low: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Sorted distinct (high, low) with the smallest document of each, and the entry of every row given."""
-    order = np.lexsort((docs, low, high))
+def by_entry(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of (high, low), and where each different one begins. Equal ``high`` with unequal ``low`` is rare, so one sort does."""
+    order = np.argsort(high)
     h, lo = high[order], low[order]
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
-    which = np.empty(len(h), np.int64)
+    first[1:] = h[1:] != h[:-1]
+    if (~first[1:] & (lo[1:] != lo[:-1])).any():
+        order = np.lexsort((low, high))
+        h, lo = high[order], low[order]
+        first[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+    return order, first
+
+
+def distinct_entries(high: np.ndarray, low: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Sorted distinct (high, low) with the smallest document of each, and the entry of every row given."""
+    order, first = by_entry(high, low)
+    which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(first) - 1
-    return (h[first], lo[first], docs[order][first]), which
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(first)) if len(order) else docs
+    return (high[order][first], low[order][first], least), which
 
 
 def distinct_keys(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, whether at least two documents hold each, and the distinct key of every row given."""
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys)
     k, d = keys[order], docs[order]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
@@ -205,7 +222,7 @@ def distinct_keys(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     group = np.cumsum(first) - 1
     which[order] = group
     several = np.zeros(int(first.sum()), bool)
-    several[group[1:][(d[1:] != d[:-1]) & ~first[1:]]] = True
+    several[group[1:][(d[1:] != d[:-1]) & ~first[1:]]] = True           # two documents stand next to each other somewhere, whatever the order of a key's rows
     return k[first], several, which
 
 

@@ -173,3 +173,29 @@ def test_substrings_of_words_with_equal_polynomials(spark):
         rows += [(n, f"{common} {x}"), (n + 1, f"{common} {y}"), (n + 2, f"{common} {y} z")]
     got = {r["doc_id"]: r["n_removed"] for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1024: 0, 1025: 0, 1026: 50, 2048: 0, 2049: 0, 2050: 50}
+
+
+def test_stretches_that_stand_alone_are_not_sorted(spark, monkeypatch):
+    """Only stretches whose gram has another one reach the suffix buckets, however many blocks hold the gram; whole copies are known without a sort. Runs are found twice, not in every pass."""
+    import numpy as np
+    import pyarrow as pa
+    entries = {"keys": [(7 << 32) + 1, (7 << 32) + 1, (7 << 32) + 2, (9 << 32) + 5], "more": [1, 1, 1, 1], "docs": [4, 3, 5, 6]}
+    table = pa.table({k: [np.array(v, {"keys": "<u8", "more": "<u4", "docs": "<i8"}[k]).tobytes()] for k, v in entries.items()})
+    assert list(suffix_dedup._later(10)(table)[0]) == [3, 2, 2, 0] and list(suffix_dedup._later(1)(table)[0]) == [7, 6, 6, 0]
+    edges = blocks.bucket_edges(np.array([5 << 32, (5 << 32) + 7, (1 << 63) + 3, (1 << 64) - 1], np.uint64), 3)
+    assert [(b, a, z) for b, a, z in edges] == [(0, 0, 2), (1, 2, 3), (2, 3, 4)]
+    assert not any(t % (1 << 32) for b in (3, 7, 1500) for t in [-(-(i << 32) // b) << 32 for i in range(1, b)])
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 123, 4000, dtype=np.uint8))
+    own, begin, windows = np.frombuffer(text[:200] + text[500:640] + text[100:160], np.uint8), np.array([0, 200, 340]), np.array([151, 91, 11])
+    left, places, at = suffix_dedup._candidates(own, begin, windows)
+    assert places.tolist() == [0, -1, 200] and len(left) == 260 and at.tolist() == [*range(100, 111), *range(200, 211)]
+    block = blocks.Block(0, np.array([9, 4]), np.array([0, 2000]), np.array([2000, 4000]), np.frombuffer(text, np.uint8), {})
+    runs = suffix_dedup._runs(block, True)
+    again = suffix_dedup._read(np.frombuffer(suffix_dedup._written(block, runs), np.uint8))
+    assert all((getattr(again, f) == (block.doc_ids[runs.doc] if f == "doc" else getattr(runs, f))).all() for f in suffix_dedup._KINDS)
+    plans, run = [], blocks.Blocks.run
+    monkeypatch.setattr(blocks.Blocks, "run", lambda self, *a: plans.append(run(self, *a)) or plans[-1])
+    docs = spark.createDataFrame([(i, text.decode()[i * 100:i * 100 + 700]) for i in range(20)], "doc_id long, text string")
+    assert [r["n_removed"] for r in sorted(dedup_suffixes(docs).collect())] == [0] + [600] * 19
+    assert len(plans) == 4
